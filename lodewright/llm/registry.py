@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import hilbert
+from . import exactdup, hilbert
 
-QUERIES = {"op1_hilbert_sharding": hilbert.op1_hilbert_sharding}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_hilbert_sharding": hilbert.op1_hilbert_sharding,
+    "op7_exact_dedup": exactdup.op7_exact_dedup,
+}
+ORACLES: dict[str, str] = {"op7_exact_dedup": exactdup.OP7_SQL}
