@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import exactdup, hilbert
+from . import exactdup, hilbert, linededup
 
 QUERIES = {
     "op1_hilbert_sharding": hilbert.op1_hilbert_sharding,
+    "op3_line_dedup": linededup.op3_line_dedup,
     "op7_exact_dedup": exactdup.op7_exact_dedup,
 }
-ORACLES: dict[str, str] = {"op7_exact_dedup": exactdup.OP7_SQL}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": linededup.OP3_SQL,
+    "op7_exact_dedup": exactdup.OP7_SQL,
+}
