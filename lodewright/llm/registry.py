@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import exactdup, hilbert, linededup
+from . import exactdup, hilbert, linededup, mixing, packing
 
 QUERIES = {
     "op1_hilbert_sharding": hilbert.op1_hilbert_sharding,
     "op3_line_dedup": linededup.op3_line_dedup,
+    "op5_source_mixing": mixing.op5_source_mixing,
     "op7_exact_dedup": exactdup.op7_exact_dedup,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
 ORACLES: dict[str, str] = {
     "op3_line_dedup": linededup.OP3_SQL,
+    "op5_source_mixing": mixing.op5_source_mixing,
+    "op5_source_mixing": mixing.OP5_SQL,
     "op7_exact_dedup": exactdup.OP7_SQL,
 }
