@@ -113,7 +113,7 @@ a AS (SELECT source, any_value(rate) AS rate, list(cdf) AS cdf FROM f GROUP BY s
 d AS (SELECT doc_id, d.source, rate, cdf,
         ('0x' || substr(md5('17:' || doc_id || ':1'), 1, 13))::BIGINT / 4503599627370496.0 AS u
       FROM documents d JOIN a ON d.source IS NOT DISTINCT FROM a.source),
-n AS (SELECT doc_id, source, rate, len(list_filter(cdf, x -> x <= u))::INT AS copies FROM d)
+n AS (SELECT doc_id, source, rate, len(list_filter(cdf, lambda x: x <= u))::INT AS copies FROM d)
 SELECT doc_id, source, round(rate, 6) AS rate, copies, copy::INT AS copy,
        ('0x' || substr(md5('17:' || doc_id || ':copy:' || copy), 1, 15))::BIGINT AS shuffle_key
 FROM (SELECT *, unnest(range(copies)) AS copy FROM n)

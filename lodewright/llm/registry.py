@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exactdup, hilbert, linededup, mixing, packing
+from . import exactdup, hilbert, linededup, mixing, packing, tiff
 
 QUERIES = {
     "op1_hilbert_sharding": hilbert.op1_hilbert_sharding,
     "op3_line_dedup": linededup.op3_line_dedup,
     "op5_source_mixing": mixing.op5_source_mixing,
+    "op6_tiff_media": tiff.op6_tiff_media,
     "op7_exact_dedup": exactdup.op7_exact_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
