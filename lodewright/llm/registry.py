@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exactdup, hilbert, linededup, mixing, packing, tiff
+from . import exactdup, hilbert, linededup, mixing, packing, tiff, warc
 
 QUERIES = {
     "op1_hilbert_sharding": hilbert.op1_hilbert_sharding,
+    "op2_warc_salvage": warc.op2_warc_salvage,
     "op3_line_dedup": linededup.op3_line_dedup,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_tiff_media": tiff.op6_tiff_media,
@@ -13,6 +14,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
 ORACLES: dict[str, str] = {
+    "op2_warc_salvage": warc.OP2_SQL,
     "op3_line_dedup": linededup.OP3_SQL,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op5_source_mixing": mixing.OP5_SQL,
