@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from . import exactdup, hilbert, linededup, mixing, packing, tiff, warc
+from . import exactdup, hilbert, linededup, mixing, packing, secrets, tiff, toxicity, warc
 
 QUERIES = {
     "op1_hilbert_sharding": hilbert.op1_hilbert_sharding,
     "op2_warc_salvage": warc.op2_warc_salvage,
     "op3_line_dedup": linededup.op3_line_dedup,
+    "op4_secret_scan": secrets.op4_secret_scan,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_tiff_media": tiff.op6_tiff_media,
     "op7_exact_dedup": exactdup.op7_exact_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op10_toxicity_chain": toxicity.op10_toxicity_chain,
 }
 ORACLES: dict[str, str] = {
     "op2_warc_salvage": warc.OP2_SQL,
     "op3_line_dedup": linededup.OP3_SQL,
-    "op5_source_mixing": mixing.op5_source_mixing,
     "op5_source_mixing": mixing.OP5_SQL,
     "op7_exact_dedup": exactdup.OP7_SQL,
 }
