@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exactdup, hilbert, linededup, mixing, packing, secrets, tiff, toxicity, warc
+from . import exactdup, hilbert, jaccard, linededup, mixing, packing, secrets, tiff, toxicity, warc
 
 QUERIES = {
     "op1_hilbert_sharding": hilbert.op1_hilbert_sharding,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_tiff_media": tiff.op6_tiff_media,
     "op7_exact_dedup": exactdup.op7_exact_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_jaccard_components": jaccard.op9_jaccard_components,
     "op10_toxicity_chain": toxicity.op10_toxicity_chain,
 }
 ORACLES: dict[str, str] = {
