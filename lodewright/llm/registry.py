@@ -4,6 +4,14 @@ from __future__ import annotations
 
 from . import exactdup, hilbert, jaccard, linededup, mixing, packing, secrets, tiff, toxicity, warc
 
+
+def pipeline(spark, sf_dir):
+    """All stages of ``corpus_pipeline.py``."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_hilbert_sharding": hilbert.op1_hilbert_sharding,
     "op2_warc_salvage": warc.op2_warc_salvage,
@@ -15,6 +23,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_jaccard_components": jaccard.op9_jaccard_components,
     "op10_toxicity_chain": toxicity.op10_toxicity_chain,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
     "op2_warc_salvage": warc.OP2_SQL,
