@@ -30,11 +30,14 @@ FINDINGS = 6_000
 TREES, DEPTH, SEED = 15, 7, 11
 
 _RUN = r"A-Za-z0-9+/_=.\-"
-#: A value after a telling name, or a long run with a digit in it. Never empty, so that splitting at it gives one part more.
-CANDIDATE = (
-    rf"(?<=(?i:{NAMES})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?)[^\s\"'<>:=]{{6,}}"
-    rf"|(?<![{_RUN}])(?=[{_RUN}]*[0-9])[{_RUN}]{{16,}}"
-)
+#: A telling name and what leads from it to its value.
+_LEAD = rf"(?i:{NAMES})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?"
+#: A lead with its value, or a long run with a digit in it. Never empty, so that splitting at it gives one part more.
+CANDIDATE = rf"{_LEAD}[^\s\"'<>:=]{{6,}}|(?<![{_RUN}])(?=[{_RUN}]*[0-9])[{_RUN}]{{16,}}"
+#: What stands before the value in a match.
+LEADING = rf"^([A-Za-z0-9_.\-]*{_LEAD})(?=[^\s\"'<>:=]{{6}})"
+#: A text without any of these has no candidate; most texts end here, at a single pass.
+NEEDED = "[0-9:=]"
 
 FEATURES = ["length", "turns", "digits", "uppers", "distinct", "vowels", "hex", "covered", "assigned", "named", "quoted", "harmless_words", "digest_words", "contact", "harmless_path", "code_path", "prefix"]
 
@@ -42,14 +45,17 @@ FEATURES = ["length", "turns", "digits", "uppers", "distinct", "vowels", "hex",
 def candidates(docs: DataFrame, ident: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """(doc_id, path, ordinal, before, candidate, after): every candidate of every text, with its neighbourhood."""
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{ident}`").alias("doc_id"), F.coalesce(F.col(f"`{path}`"), F.lit("")).alias("path"), whole.alias("t"))
+    rows = docs.select(F.col(f"`{ident}`").alias("doc_id"), F.coalesce(F.col(f"`{path}`"), F.lit("")).alias("path"), whole.alias("t")).filter(F.col("t").rlike(NEEDED))
     rows = rows.withColumn("found", F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0))).filter(F.size("found") > 0)
     parts = F.split("t", CANDIDATE, -1)
     near = F.transform(parts, lambda x: F.struct(F.substring(x, 1, NEAR).alias("head"), F.substring(x, -NEAR, NEAR).alias("tail")))
     rows = rows.select("doc_id", "path", "found", near.alias("near"))
     each = F.zip_with("found", F.slice("near", 2, F.size("found")), lambda c, after: F.struct(c.alias("c"), after["head"].alias("after")))
-    both = F.zip_with(each, F.slice("near", 1, F.size("found")), lambda c, before: F.struct(c["c"].alias("candidate"), before["tail"].alias("before"), c["after"].alias("after")))
-    return rows.select("doc_id", "path", F.posexplode(both)).select("doc_id", "path", F.col("pos").alias("ordinal"), "col.before", "col.candidate", "col.after")
+    both = F.zip_with(each, F.slice("near", 1, F.size("found")), lambda c, before: F.struct(c["c"].alias("match"), before["tail"].alias("before"), c["after"].alias("after")))
+    rows = rows.select("doc_id", "path", F.posexplode(both)).select("doc_id", "path", F.col("pos").alias("ordinal"), "col.*")
+    lead = F.regexp_extract("match", LEADING, 1)
+    value = F.expr("substring(match, length(lead) + 1)")
+    return rows.withColumn("lead", lead).select("doc_id", "path", "ordinal", F.concat("before", "lead").alias("before"), value.alias("candidate"), "after")
 
 
 def features(found: DataFrame) -> DataFrame:
