@@ -122,6 +122,8 @@ class Chain:
 
 def best_threshold(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     """The probability from which on to say yes: of 0.05 to 0.95, the nearest to a half whose F1 is within 0.002 of the best."""
+    if not (y == 1).any():
+        return 2.0  # nothing to learn from: never
     found = []
     for t in sorted(np.arange(1, 20) / 20, key=lambda t: abs(t - 0.5)):
         yes = p >= t
