@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewright.llm import jaccard, linededup, mixing, packing, toxicity
-from lodewright.llm.common import new_path, table
+from lodewright.llm.common import new_path, staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,12 +34,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of repeated rows with that id one stays. Rows without an id stay.
     """
     found = jaccard.jaccard_components(docs.select("doc_id", "text")).select("doc_id", "component_id").filter("doc_id is not null")
-    gone = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id")).filter("component_id <> doc_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    often = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    once = kept.join(often, "doc_id", "left_anti")
-    again = kept.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(COLUMNS).unionByName(again.select(COLUMNS))
+    found = staged(found, "near-copies")
+    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(few(gone), "doc_id", "left_anti").select(COLUMNS)
+    often = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not often.limit(1).count():
+        return kept
+    once = kept.join(few(often), "doc_id", "left_anti").select(COLUMNS)
+    return once.unionByName(kept.join(few(often), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS))
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """Ids that a task can hold are broadcast, so that texts stay where they are; more are joined by a shuffle."""
+    return F.broadcast(ids) if ids.limit(jaccard.BROADCAST_IDS + 1).count() <= jaccard.BROADCAST_IDS else ids
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
