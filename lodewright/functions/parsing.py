@@ -169,3 +169,16 @@ def extract_by_position(parts: Column, slots: list[Slot]) -> tuple[Column, Colum
             wrong = wrong.when(~given, F.lit(f"missing required field at position {i}: {s.name}")).when(value == "", F.lit(f"empty value at position {i}: {s.name}"))
         bad.append(wrong)
     return F.array_compact(F.array(*good)), F.array_compact(F.array(*bad))
+
+
+def extract_contextual(tokens: Column) -> Column:
+    """Attributes (name, value, source) of a parsed name: key-value pairs inside
+    and outside brackets, then bracketed texts without a key."""
+    texts = F.filter(tokens, lambda t: t["type"].isin("text", "quoted"))
+    pair = r"^\s*([^:=]+?)\s*[:=]\s*(.+?)\s*$"
+    keyed = F.transform(
+        F.filter(texts, lambda t: t["value"].rlike(pair)),
+        lambda t: F.struct(F.lower(F.regexp_extract(t["value"], pair, 1)).alias("name"), F.regexp_extract(t["value"], pair, 2).alias("value"), F.when(t["depth"] > 0, "bracket").otherwise("text").alias("source")),
+    )
+    inside = F.transform(F.filter(texts, lambda t: (t["depth"] > 0) & ~t["value"].rlike(pair)), lambda t: F.struct(F.lit("note").alias("name"), t["value"].alias("value"), F.lit("bracket").alias("source")))
+    return F.concat(keyed, inside)

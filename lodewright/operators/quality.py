@@ -243,3 +243,22 @@ def validate_before_ingest(name: str = "name", code: str = "code") -> tuple[Colu
         F.when((n != "") & ~n.rlike(r"\p{L}"), "no_letters"),
     ))
     return errors, warnings
+
+
+def kpved_accuracy(code: Column, confidence: Column) -> Column:
+    text = F.coalesce(code, F.lit(""))
+    score = 0.4 + F.when(validators.valid_kpved(F.trim(text)), 0.3).otherwise(0.0) + F.greatest(F.coalesce(confidence, F.lit(0.0)), F.lit(0.0)) * 0.3
+    return F.when(text == "", 0.0).otherwise(F.least(score, F.lit(1.0)))
+
+
+def data_enrichment(reasoning: Column, code: Column, level: Column) -> Column:
+    bonus = F.when(level == "benchmark", 0.3).when(level == "ai_enhanced", 0.2).otherwise(0.0)
+    told = F.when(F.octet_length(F.coalesce(reasoning, F.lit(""))) > 10, 0.4).otherwise(0.0)
+    return F.least(told + F.when(F.coalesce(code, F.lit("")) != "", 0.3).otherwise(0.0) + bonus, F.lit(1.0))
+
+
+def extended_score(base: Column, accuracy: Column, duplicate: Column, enrichment: Column) -> Column:
+    """The score over eight parts; ``base`` is the struct of ``quality_score``."""
+    weights = {"category": 0.15, "clarity": 0.20, "consistency": 0.15, "completeness": 0.10, "standardisation": 0.15}
+    parts = reduce(lambda a, b: a + b, (base[k] * w for k, w in weights.items()))
+    return F.least(parts + accuracy * 0.15 + F.when(duplicate, 0.0).otherwise(1.0) * 0.05 + enrichment * 0.05 + base["bonus"], F.lit(1.0))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewright.functions import dictionaries, names, parsing, patterns, validators
+from lodewright.functions import answers, dictionaries, names, parsing, patterns, validators
 from lodewright.functions.text import ascii_edges
 from lodewright.operators import classify, dedup, quality, reports, snapshots
 
@@ -278,6 +278,36 @@ def quality_score(spark, d):
     return q.select("id", *[F.round(f"q.{c}", 6).alias(c) for c in ("category", "clarity", "consistency", "completeness", "standardisation", "bonus", "overall")], "q.is_benchmark")
 
 
+@query(f"""WITH {NORMALIZED} SELECT id, round(CASE WHEN kpved_code = '' THEN 0 ELSE 0.4 + CASE WHEN kpved_code = '46.90.10' THEN 0.3 ELSE 0 END + kpved_confidence * 0.3 END, 6) AS accuracy,
+  round(least(1.0, CASE WHEN strlen(ai_reasoning) > 10 THEN 0.4 ELSE 0 END + CASE WHEN kpved_code <> '' THEN 0.3 ELSE 0 END + CASE processing_level WHEN 'benchmark' THEN 0.3 WHEN 'ai_enhanced' THEN 0.2 ELSE 0 END)::DOUBLE, 6) AS enrichment FROM normalized""")
+def extended_parts(spark, d):
+    """The parts that the extended score adds."""
+    n = normalized(spark, d)
+    accuracy = quality.kpved_accuracy(F.col("kpved_code"), F.col("kpved_confidence"))
+    return n.select("id", F.round(accuracy, 6).alias("accuracy"), F.round(quality.data_enrichment(F.col("ai_reasoning"), F.col("kpved_code"), F.col("processing_level")), 6).alias("enrichment"))
+
+
+@query()
+def extended_quality_score(spark, d):
+    """The score over eight parts."""
+    n = normalized(spark, d).withColumn("q", quality.quality_score(F.col("name"), F.col("normalized_name"), F.col("group_category"), F.col("ai_confidence"), F.col("processing_level"), "other", {"rings": ["ring"]}))
+    score = quality.extended_score(F.col("q"), quality.kpved_accuracy(F.col("kpved_code"), F.col("kpved_confidence")), F.col("id") % 9 == 0, quality.data_enrichment(F.col("ai_reasoning"), F.col("kpved_code"), F.col("processing_level")))
+    return n.select("id", F.round(score, 6).alias("overall"))
+
+
+@query("""SELECT page_id, CASE WHEN url LIKE '%://%' THEN rtrim(url, '/') END AS target, trim(regexp_replace(regexp_replace(url, '[\\\\/:*?"<>|\\s]', '_', 'g'), '_+', '_', 'g'), '_') AS file FROM pages""")
+def page_targets(spark, d):
+    p = table(spark, d, "pages")
+    return p.select("page_id", answers.target_url(F.col("url")).alias("target"), answers.file_name(F.col("url")).alias("file"))
+
+
+@query(f"""WITH {ITEMS} SELECT id, code, CASE WHEN id % 2 = 0 THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM items""")
+def model_answers(spark, d):
+    """Broken JSON answers of a model, mended and read."""
+    text = F.concat(F.lit('```json\n{"selected_code": "'), "code", F.lit('"\n "confidence": '), F.when(F.col("id") % 2 == 0, "null").otherwise(".9"), F.lit('\n "reasoning": "x"}\n```'))
+    return items(spark, d).select("id", answers.parse_answer(text).alias("a")).select("id", "a.code", "a.confidence")
+
+
 _RULES = {
     "require_kpved_code": "kpved_code = ''", "valid_kpved_format": "kpved_code = '4690'", "name_length": "length(normalized_name) < 3 OR length(normalized_name) > 100",
     "kpved_confidence_threshold": "kpved_code <> '' AND kpved_confidence < 0.7", "ai_confidence_threshold": "processing_level = 'ai_enhanced' AND ai_confidence < 0.8",
