@@ -66,12 +66,19 @@ def cosine_pairs(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
     return _shared(unit, "word").groupBy("a", "b").agg(F.sum(F.col("aw") * F.col("bw")).alias("score")).filter(F.round("score", 9) >= threshold)
 
 
-def fuzzy_pairs(items: DataFrame, name: str = "name", threshold: float = 0.85, prefix: int = 3, unit: str = "bytes") -> DataFrame:
-    """(a, b, score) of distinct names (id, name) whose first characters are equal and whose edit similarity is ``threshold`` or more."""
-    low = items.select("id", F.lower(F.trim(F.col(name))).alias("n")).filter("n <> ''").withColumn("block", F.substring("n", 1, prefix))
-    left, right = low.select("block", F.col("id").alias("a"), F.col("n").alias("x")), low.select("block", F.col("id").alias("b"), F.col("n").alias("y"))
+def fuzzy_pairs(items: DataFrame, name: str = "name", threshold: float = 0.85, prefix: int = 3, unit: str = "bytes", loose: bool = True) -> DataFrame:
+    """(a, b, score) of distinct names (id, name) with an edit similarity of
+    ``threshold`` or more whose first ``prefix`` characters are equal; with
+    ``loose`` one of them may differ. Each way to leave a character out is a
+    join key, so names still meet by equality alone."""
+    low = items.select("id", F.lower(F.trim(F.col(name))).alias("n")).filter("n <> ''").withColumn("p", F.substring("n", 1, prefix))
+    masks = [F.concat(F.lit(f"{i}:"), F.expr(f"overlay(p placing '*' from {i + 1})")) for i in range(prefix)]
+    keys = F.explode(F.filter(F.array(*masks), lambda m: F.length(m) == F.length("p") + 2)) if loose else F.concat(F.lit("="), "p")
+    keyed = low.withColumn("block", keys)
+    left, right = keyed.select("block", F.col("id").alias("a"), F.col("n").alias("x")), keyed.select("block", F.col("id").alias("b"), F.col("n").alias("y"))
     near = left.join(right, "block").filter("a < b").filter(F.abs(F.length("x") - F.length("y")) <= (1 - threshold) * F.greatest(F.octet_length("x"), F.octet_length("y")))
-    return near.select("a", "b", names.similarity(F.col("x"), F.col("y"), unit).alias("score")).filter(F.round("score", 9) >= threshold)
+    scored = near.select("a", "b", names.similarity(F.col("x"), F.col("y"), unit).alias("score")).filter(F.round("score", 9) >= threshold)
+    return scored.dropDuplicates(["a", "b"])
 
 
 def phonetic_pairs(items: DataFrame, name: str = "name", threshold: float = 0.9) -> DataFrame:

@@ -437,7 +437,7 @@ _WORDS = f"{_NAMES}, w AS (SELECT id, unnest(string_split(lower(name), ' ')) AS
 
 
 @query(f"""WITH {_NAMES} SELECT x.id AS a, y.id AS b, round(1 - levenshtein(lower(x.name), lower(y.name)) / greatest(strlen(x.name), strlen(y.name)), 6) AS score FROM n x JOIN n y ON x.id < y.id
-  AND substr(lower(x.name), 1, 3) = substr(lower(y.name), 1, 3) WHERE round(1 - levenshtein(lower(x.name), lower(y.name)) / greatest(strlen(x.name), strlen(y.name)), 9) >= 0.6""")
+  AND (x.name[1] = y.name[1])::INT + (x.name[2] = y.name[2])::INT + (x.name[3] = y.name[3])::INT >= 2 WHERE round(1 - levenshtein(lower(x.name), lower(y.name)) / greatest(strlen(x.name), strlen(y.name)), 9) >= 0.6""")
 def fuzzy_pairs(spark, d):
     return dedup.fuzzy_pairs(_names(spark, d), threshold=0.6).select("a", "b", F.round("score", 6).alias("score"))
 
