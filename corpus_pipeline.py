@@ -33,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Of repeated rows with that id one stays. Rows without an id stay.
     """
-    found = jaccard.jaccard_components(docs.select("doc_id", "text")).select("doc_id", "component_id").filter("doc_id is not null")
+    found = jaccard.jaccard_components(docs.select("doc_id", "text"), count_links=False).select("doc_id", "component_id").filter("doc_id is not null")
     found = staged(found, "near-copies")
     gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(few(gone), "doc_id", "left_anti").select(COLUMNS)

@@ -13,6 +13,9 @@
    a dual traversal leaves out pairs of tree nodes whose members cannot overlap
    enough or are linked already.
 6. Surviving pairs are verified on the whole sets; links give components.
+7. Links lie within components, so they are counted there: a component in which
+   not all pairs were found above is cut into tiles, and each tile compares all
+   its pairs of whole sets.
 """
 
 from __future__ import annotations
@@ -47,6 +50,11 @@ FIRST_BLOCKS = 8
 #: Centres of a block: the first of its members by name, one more with each doubling beyond 64.
 CENTRES = "greatest(1, length(bin(size(members))) - 6)"
 
+#: A tile of a component holds two chunks of its sets: so many shingles each, a set counting as LEAST_SET at least.
+CHUNK_SHINGLES, LEAST_SET = 1 << 20, 512
+#: Pairs that a shingle of a tile may have to be counted one by one; those of more go through a matrix product.
+FEW_PAIRS = 8192
+
 
 def _needed(x: int, y: int) -> int:
     """Least intersection of sets of these sizes that are linked."""
@@ -458,11 +466,116 @@ def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
     return lifted.unionByName(above.join(labels.select("k"), "k", "left_anti"))
 
 
-def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+# ---------------------------------------------------------------- the count of links
+
+
+def shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The number of common shingles of each set of ``x`` with each of ``y``."""
+    nx, ny = (np.array([len(s) for s in sets]) for sets in (x, y))
+    tokens, at = np.unique(np.concatenate(x + y), return_inverse=True)
+    ax, ay = at[: nx.sum()], at[nx.sum() :]
+    rows, cols = np.repeat(np.arange(len(x)), nx), np.repeat(np.arange(len(y)), ny)
+    dx, dy = np.bincount(ax, minlength=len(tokens)), np.bincount(ay, minlength=len(tokens))
+    out = np.zeros((len(x), len(y)), np.int32)
+    # shingles of many pairs: dense slabs
+    many = np.flatnonzero(dx * dy > FEW_PAIRS)
+    for i in range(0, len(many), 4096):
+        slab = many[i : i + 4096]
+        place = np.full(len(tokens), -1)
+        place[slab] = np.arange(len(slab))
+        a, b = np.zeros((len(x), len(slab)), np.float32), np.zeros((len(y), len(slab)), np.float32)
+        inx, iny = place[ax] >= 0, place[ay] >= 0
+        a[rows[inx], place[ax[inx]]] = 1
+        b[cols[iny], place[ay[iny]]] = 1
+        out += (a @ b.T).astype(np.int32)
+    # the others: each pair that shares one, in runs of bounded length
+    order = np.argsort(ay, kind="stable")
+    starts = np.concatenate(([0], np.cumsum(dy)))
+    few = np.flatnonzero((dy[ax] > 0) & (dx * dy <= FEW_PAIRS)[ax])
+    ends = np.cumsum(dy[ax[few]])
+    flat = out.reshape(-1)
+    at = 0
+    while at < len(few):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 22), "right")))
+        run = few[at:stop]
+        n = dy[ax[run]]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        other = cols[order[np.repeat(starts[ax[run]], n) + within]]
+        flat += np.bincount(np.repeat(rows[run], n) * len(y) + other, minlength=len(flat)).astype(np.int32)
+        at = stop
+    return out
+
+
+def linked(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Whether each set of ``x`` is linked with each of ``y``."""
+    nx, ny = (np.array([len(s) for s in sets]) for sets in (x, y))
+    return shared(x, y) >= _needed(nx[:, None], ny[None, :])
+
+
+def tiles(members: DataFrame) -> DataFrame:
+    """(k, label, u, v, second) of ``members`` (k, label, n): the tiles (label, u, v)
+    that a set takes part in, ``second`` if as one of chunk v. Chunks follow
+    sizes; each pair of sets whose sizes can be linked is in one tile."""
+    by_size = Window.partitionBy("label").orderBy("n", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = members.withColumn("chunk", F.floor(F.sum(F.greatest("n", F.lit(LEAST_SET))).over(by_size) / CHUNK_SHINGLES))
+    cut = staged(cut.select("k", "label", "n", "chunk"), "chunks")
+    ranges = cut.groupBy("label", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    u = ranges.select("label", F.col("chunk").alias("u"), F.col("high").alias("most"))
+    v = ranges.select("label", F.col("chunk").alias("v"), F.col("low").alias("least"))
+    met = staged(u.join(v, "label").filter(f"u = v or u < v and 100 * most >= {PERCENT} * least").select("label", "u", "v"), "tiles")
+    first = cut.join(met.withColumn("chunk", F.col("u")), ["label", "chunk"]).select("k", "label", "u", "v", F.lit(False).alias("second"))
+    other = cut.join(met.filter("u < v").withColumn("chunk", F.col("v")), ["label", "chunk"]).select("k", "label", "u", "v", F.lit(True).alias("second"))
+    return first.unionByName(other)
+
+
+def degrees(docs: DataFrame, nodes: DataFrame, marks: DataFrame, known: DataFrame, links: DataFrame) -> DataFrame:
+    """(k, links): the number of linked nodes of each node of ``known`` (k, label).
+    ``links`` are the pairs found; they suffice where they are all of a component's."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, halves = None, ({}, {})
+
+        def close() -> pa.RecordBatch:
+            (xk, x), (yk, y) = ((list(h), [np.frombuffer(s, np.uint64) for s in h.values()]) for h in halves)
+            if tile[1] == tile[2]:
+                found = linked(x, x)
+                keys, n = xk, found.sum(1) - 1
+            else:
+                found = linked(x, y)
+                keys, n = xk + yk, np.concatenate((found.sum(1), found.sum(0)))
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["k", "links"])
+
+        for b in batches:
+            for label, u, v, second, k, tokens in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
+                if tile != (label, u, v):
+                    if tile:
+                        yield close()
+                    tile, halves = (label, u, v), ({}, {})
+                halves[second][k] = tokens
+        if tile:
+            yield close()
+
+    ends = links.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").count().withColumnRenamed("count", "links")
+    found = staged(known.join(ends, "k").select("k", "label", "links"), "degrees")
+    sizes = found.groupBy("label").agg(F.count("*").alias("m"), F.sum("links").alias("ends"))
+    part = found.join(sizes.filter("ends < m * (m - 1)").select("label"), "label", "left_semi")
+    part = staged(part.join(marks.select("k", "n").dropDuplicates(["k"]), "k").select("k", "label", "n"), "unfinished")
+    if not part.limit(1).count():
+        return found.select("k", "links")
+    emit = _once(lambda k, s: (k, s.tobytes()), pa.schema([("k", pa.int64()), ("tokens", pa.binary())]))
+    sets = _sets(_again(docs, nodes, part.select("k")), emit, "k long, tokens binary")
+    placed = sets.join(tiles(part), "k").select("label", "u", "v", "second", "k", "tokens")
+    dealt = placed.repartition(partitions(docs.sparkSession), "label", "u", "v").sortWithinPartitions("label", "u", "v")
+    counted = staged(dealt.mapInArrow(count, "k long, links long").groupBy("k").agg(F.sum("links").alias("links")), "counted")
+    return counted.unionByName(found.select("k", "links").join(part.select("k"), "k", "left_anti"))
+
+
+def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text", count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, links): one row per row of ``docs``.
 
     ``component_id`` is the smallest id reachable by links, itself included;
-    ``links`` counts the linked nodes (distinct other sets) of the row's set.
+    ``links`` counts the linked nodes (distinct other sets) of the row's set, all
+    of them; without ``count_links`` the column is left out.
     Rows with equal sets are linked; empty sets are linked with nothing. Null
     ids and repeated rows are rows like the others, except that a set that only
     rows of null id have is linked to equal sets alone. An empty table gives no
@@ -484,14 +597,16 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
     labels = staged(merged(labels, second), "labels")
     rest = verified(docs, nodes, staged(tree_pairs(lists, marks, labels), "tree-pairs"))
     links = staged(first.union(second).union(rest).distinct(), "all-links")
-    known = merged(labels, rest)
-    degree = links.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").count().withColumnRenamed("count", "links")
-    grouped = nodes.join(known, "k", "left").join(degree, "k", "left").select("k", "rid", F.coalesce("label", "k").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+    known = staged(merged(labels, rest), "known")
+    grouped = nodes.join(known, "k", "left").select("k", "rid", F.coalesce("label", "k").alias("label"))
     smallest = grouped.groupBy("label").agg(F.min("rid").alias("component_id"))
-    named = grouped.join(smallest, "label").select("k", "component_id", "links")
-    full = rows.filter("n > 0").join(named, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "links")
-    empty = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("links"))
-    return full.unionByName(empty)
+    named = grouped.join(smallest, "label").select("k", "component_id")
+    full = rows.filter("n > 0").join(named, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "k")
+    empty = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    if not count_links:
+        return full.drop("k").unionByName(empty)
+    full = full.join(degrees(docs, nodes, marks, known, links), "k", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    return full.drop("k").unionByName(empty.withColumn("links", F.lit(0).cast("long")))
 
 
 def op9_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -381,6 +382,36 @@ def test_near_copies_of_odd_tables(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(None, 2, 3), (3, 2, 3), (3, 2, 3), (None, 0, None), (5, 1, 5)], key=str)
 
 
+def test_links_are_all_linked_sets(spark, monkeypatch):
+    r = random.Random(12)
+    texts = prose(60, 21)
+    for size, changes in ((3, 1), (90, 2), (40, 6)):
+        words = [f"w{r.randrange(10**6)}" for _ in range(120)]
+        for _ in range(size):
+            w = list(words)
+            for _ in range(r.randint(0, changes)):
+                w[r.randrange(len(w))] = f"v{r.randrange(10**6)}"
+            texts.append(" ".join(w[r.randint(0, 4) :]))
+    texts += texts[-5:] + ["", None]
+    sets = [frozenset(s.tolist()) for s in shingles.shingle_sets(pa.array(texts))]
+    distinct = {s for s in sets if s}
+    want = {s: sum(s is not t and 100 * len(s & t) >= 80 * len(s | t) for t in distinct) for s in distinct}
+    assert max(want.values()) > 50
+    for chunk in (jaccard.CHUNK_SHINGLES, 4096):
+        monkeypatch.setattr(jaccard, "CHUNK_SHINGLES", chunk)
+        got = {x.doc_id: x.links for x in jaccard.jaccard_components(documents(spark, texts)).select("doc_id", "links").collect()}
+        assert [got[i] for i in range(len(texts))] == [want.get(s, 0) for s in sets]
+
+
+def test_shared_shingles_by_either_way(monkeypatch):
+    r = random.Random(13)
+    sets = [np.array(sorted(r.sample(range(400), r.randint(1, 200))), np.uint64) for _ in range(150)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[60:]] for a in sets[:60]]
+    for few in (-1, 700, 1 << 30):
+        monkeypatch.setattr(jaccard, "FEW_PAIRS", few)
+        assert jaccard.shared(sets[:60], sets[60:]).tolist() == want
+
+
 # ---------------------------------------------------------------- 10 toxicity
 
 
