@@ -132,8 +132,11 @@ def masters(members: DataFrame, score: Column, group: str = "group_id", ident: s
     return members.groupBy(group).agg(F.max_by(ident, F.struct(score.alias("s"), (-F.col(ident)).alias("i"))).alias("master_id"), F.count("*").alias("size"))
 
 
-def duplicate_groups(items: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """All detectors over items (id, code, name), merged: (group_id, id)."""
+def duplicate_groups(items: DataFrame, threshold: float = 0.85, common_words: int = 1, keep_stop_words: bool = False) -> DataFrame:
+    """All detectors over items (id, code, name), merged: (group_id, id).
+
+    Names with ``common_words`` common words are linked, as the catalog's
+    analyzer does with 1 by default."""
     one = items.groupBy(F.lower(F.trim("name")).alias("name")).agg(F.min("id").alias("id"))
     found = []
     for key in ("code", "name"):
@@ -143,6 +146,13 @@ def duplicate_groups(items: DataFrame, threshold: float = 0.85) -> DataFrame:
     found.append(fuzzy_pairs(one, threshold=threshold).select("a", "b"))
     found.append(phonetic_pairs(one).select("a", "b"))
     found.append(cosine_pairs(tfidf(one, names.tokens(F.col("name"))), threshold).select("a", "b"))
+    words = names.tokens(F.col("name"), keep_stop_words)
+    if common_words == 1:  # each item with the first one of its words has the same components
+        each = one.select("id", F.explode(F.array_distinct(words)).alias("word"))
+        first = each.groupBy("word").agg(F.min("id").alias("a"))
+        found.append(each.join(first, "word").filter("a <> id").select("a", F.col("id").alias("b")))
+    else:
+        found.append(word_overlap_pairs(one, words, common_words).select("a", "b"))
     merged = found[0]
     for f in found[1:]:
         merged = merged.unionByName(f)

@@ -64,6 +64,21 @@ def test_word_overlap_is_that_of_all_pairs(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("common, keep", [(1, False), (1, True), (2, False)])
+def test_groups_by_common_words(spark, common, keep):
+    texts = ["hammer steel", "hammer wood", "saw для wood", "клей для обоев", "vise big red", "pump big red", "lamp", "big"]
+    rows = [(i, f"c{i}", t) for i, t in enumerate(texts)]
+    got = {r.id: r.group_id for r in dedup.duplicate_groups(spark.createDataFrame(rows, "id long, code string, name string"), 0.999, common, keep).collect()}
+    sets = [set(t.split()) - (set() if keep else {"для"}) for t in texts]
+    want = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(len(texts)):
+                if len(sets[a] & sets[b]) >= common:
+                    want[a] = want[b] = min(want[a], want[b])
+    assert got == {i: g for i, g in enumerate(want) if want.count(g) > 1}
+
+
 def test_upsert_and_latest(spark):
     stored = spark.createDataFrame([("a", 1), ("b", 2)], "code string, v int")
     new = spark.createDataFrame([("b", 3, 0), ("b", 4, 1), ("c", 5, 2)], "code string, v int, seq int")
