@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from lodewright.functions import names
 
-#: Words of more items than this link nothing by themselves, unless their share of all items is below 1 %.
-COMMON_WORDS = 50
+#: The items of a word are joined in splits of about so many.
+WORD_TILE = 1000
 
 
 def exact_groups(items: DataFrame, key: str, ident: str = "id") -> DataFrame:
@@ -31,23 +31,28 @@ def _shared(words: DataFrame, key: str) -> DataFrame:
     return left.join(right, key).filter("a < b")
 
 
-def word_overlap_pairs(items: DataFrame, tokens: Column, least: int = 1, measure: str = "jaccard", common: int = COMMON_WORDS) -> DataFrame:
+def word_overlap_pairs(items: DataFrame, tokens: Column, least: int = 1, measure: str = "jaccard", tile: int = WORD_TILE) -> DataFrame:
     """(a, b, common, score) of items (id) with at least ``least`` common words.
 
     ``measure`` is ``jaccard`` or ``longest`` (common words over the larger
-    set). A word so frequent that it would pair everything with everything is
-    no key, though it counts in the score of pairs that meet through another.
+    set). Words go rare first; two items meet in their first common word, which
+    is early enough in both to leave ``least`` in all. The items of a frequent
+    word are split by a hash, and each pair of splits is joined on its own.
     """
     sets = items.select("id", F.array_distinct(tokens).alias("set")).filter(F.size("set") > 0)
-    each = sets.select("id", F.explode("set").alias("word"), F.size("set").alias("w"))
+    each = sets.select("id", F.explode("set").alias("word"))
     usual = each.groupBy("word").agg(F.count("*").alias("df"))
-    total = F.lit(items.count() * 0.01)
-    keys = each.join(usual.filter(F.col("df") <= F.greatest(F.lit(common).cast("double"), total)).select("word"), "word", "left_semi")
-    met = _shared(keys, "word").select("a", "b").distinct()
-    both = met.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    n = F.size(F.array_intersect("x", "y"))
-    whole = F.size(F.array_union("x", "y")) if measure == "jaccard" else F.greatest(F.size("x"), F.size("y"))
-    return both.select("a", "b", n.alias("common"), (n / whole).alias("score")).filter(F.col("common") >= least)
+    ranked = each.join(usual, "word").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("r"))
+    keys = ranked.select("id", F.col("r.word").alias("set"), F.explode(F.slice("r", 1, F.greatest(F.size("r") - least + 1, F.lit(0)))).alias("k"))
+    cut = keys.select("id", "set", "k.word", F.ceil(F.col("k.df") / tile).alias("n")).withColumn("h", F.pmod(F.xxhash64("id"), "n"))
+    cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("u", F.least("h", "o")).withColumn("v", F.greatest("h", "o"))
+    left = cut.select("word", "u", "v", F.col("id").alias("a"), F.col("set").alias("x"), F.col("h").alias("ha"))
+    right = cut.select("word", "u", "v", F.col("id").alias("b"), F.col("set").alias("y"), F.col("h").alias("hb"))
+    met = left.join(right, ["word", "u", "v"]).filter("a < b and least(ha, hb) = u and greatest(ha, hb) = v")
+    both = met.withColumn("both", F.array_intersect("x", "y")).filter((F.element_at("both", 1) == F.col("word")) & (F.size("both") >= least))
+    n = F.size("both")
+    whole = F.size("x") + F.size("y") - n if measure == "jaccard" else F.greatest(F.size("x"), F.size("y"))
+    return both.select("a", "b", n.alias("common"), (n / whole).alias("score"))
 
 
 def tfidf(items: DataFrame, tokens: Column) -> DataFrame:

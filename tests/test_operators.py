@@ -79,6 +79,16 @@ def test_groups_by_common_words(spark, common, keep):
     assert got == {i: g for i, g in enumerate(want) if want.count(g) > 1}
 
 
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_word_overlap_of_frequent_words(spark, least):
+    texts = [f"big red {'steel ' if i % 3 else ''}w{i // 2}" if i % 7 else f"u{i} big" for i in range(150)]
+    items = spark.createDataFrame(list(enumerate(texts)), "id long, name string")
+    got = sorted((r.a, r.b, r.common) for tile in (1000, 40) for r in dedup.word_overlap_pairs(items, names.tokens(F.col("name")), least, tile=tile).collect())
+    sets = [set(t.split()) for t in texts]
+    want = [(a, b, len(sets[a] & sets[b])) for a in range(150) for b in range(a + 1, 150) if len(sets[a] & sets[b]) >= least]
+    assert got == sorted(want * 2)
+
+
 def test_upsert_and_latest(spark):
     stored = spark.createDataFrame([("a", 1), ("b", 2)], "code string, v int")
     new = spark.createDataFrame([("b", 3, 0), ("b", 4, 1), ("c", 5, 2)], "code string, v int, seq int")
