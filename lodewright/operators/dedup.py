@@ -87,9 +87,30 @@ def fuzzy_pairs(items: DataFrame, name: str = "name", threshold: float = 0.85, p
 
 
 def phonetic_pairs(items: DataFrame, name: str = "name", threshold: float = 0.9) -> DataFrame:
-    """As ``fuzzy_pairs`` over phonetic keys."""
-    keyed = items.select("id", names.phonetic_key(F.col(name)).alias("name"))
-    return fuzzy_pairs(keyed, "name", threshold)
+    """(a, b, score) of all names (id, name) whose phonetic keys have an edit
+    similarity of ``threshold`` or more; an empty key is like none.
+
+    ``d`` edits take away at most 2 * d distinct pairs of neighbouring
+    characters, so keys within ``d`` of one another share one of their first
+    2 * d + 1 in any common order (here rare ones first), unless both have no
+    more than 2 * d; those all meet."""
+    low = items.select("id", names.phonetic_key(F.col(name)).alias("n")).filter("n <> ''")
+    ascii_only = not low.filter(F.octet_length("n") > F.length("n")).limit(1).count()
+    # the other key's bytes are at most this key's and those of the edits
+    rest = 1 - (1 if ascii_only else 4) * (1 - threshold)
+    most = F.floor(F.octet_length("n") * (1 - threshold) / rest + 1e-6).cast("int") if rest > 0 else F.lit(1 << 29)
+    padded = F.concat(F.lit("^"), "n", F.lit("$"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("n") + 1), lambda i: F.substring(padded, i, F.lit(2))))
+    each = low.withColumn("most", 2 * most).select("id", "n", "most", F.explode(grams).alias("gram"))
+    usual = each.groupBy("gram").agg(F.count("*").alias("df"))
+    ranked = each.join(usual, "gram").groupBy("id", "n", "most").agg(F.sort_array(F.collect_list(F.struct("df", "gram")))["gram"].alias("g"))
+    every = F.when(F.size("g") <= F.col("most"), F.array(F.lit("*"))).otherwise(F.array().cast("array<string>"))
+    keyed = ranked.select("id", "n", F.concat(every, F.slice("g", 1, F.col("most") + 1)).alias("first")).withColumn("block", F.explode("first"))
+    left = keyed.select("block", F.col("id").alias("a"), F.col("n").alias("x"), F.col("first").alias("fx"))
+    right = keyed.select("block", F.col("id").alias("b"), F.col("n").alias("y"), F.col("first").alias("fy"))
+    fits = F.abs(F.length("x") - F.length("y")) <= (1 - threshold) * F.greatest(F.octet_length("x"), F.octet_length("y")) + 1e-6
+    near = left.join(right, "block").filter("a < b").filter(fits).filter(F.element_at(F.array_intersect("fx", "fy"), 1) == F.col("block"))
+    return near.select("a", "b", names.similarity(F.col("x"), F.col("y")).alias("score")).filter(F.round("score", 9) >= threshold)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators against brute force and the driver's contract."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -89,6 +90,23 @@ def test_word_overlap_of_frequent_words(spark, least):
     assert got == sorted(want * 2)
 
 
+@pytest.mark.parametrize("threshold", [0.9, 0.7])
+@pytest.mark.parametrize("letters", ["abcdxyz0123456789", "клмнрстуabc", "𐐨𐐩a"])
+def test_phonetic_pairs_are_those_of_all_pairs(spark, letters, threshold):
+    r = random.Random(5)
+    texts = ["", "", "a", "aaaaaaaaaaaa", "aaaaaaaaaaaaa"]
+    for _ in range(12):
+        t = "".join(r.choice(letters) for _ in range(r.randint(8, 40)))
+        at = r.randrange(len(t))
+        texts += [t, t[1:], r.choice(letters) + t, t[1] + t[0] + t[2:], t[:at] + t[at + 1 :], r.choice(letters) * 2 + t[1:]]
+    items = spark.createDataFrame(list(enumerate(texts)), "id long, name string")
+    keys = items.select("id", names.phonetic_key(F.col("name")).alias("k"))
+    all_pairs = keys.toDF("a", "x").crossJoin(keys.toDF("b", "y")).filter("a < b and x <> '' and y <> ''")
+    want = all_pairs.filter(F.round(names.similarity(F.col("x"), F.col("y")), 9) >= threshold).select("a", "b").collect()
+    got = dedup.phonetic_pairs(items, threshold=threshold).select("a", "b").collect()
+    assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_upsert_and_latest(spark):
     stored = spark.createDataFrame([("a", 1), ("b", 2)], "code string, v int")
     new = spark.createDataFrame([("b", 3, 0), ("b", 4, 1), ("c", 5, 2)], "code string, v int, seq int")
