@@ -69,30 +69,32 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def positions(df: DataFrame, cls: str, ident: Column, order: list[Column], out: str, least: int = 256) -> tuple[DataFrame, dict[int, int]]:
+def positions(df: DataFrame, cls: str, order: list[Column], out: str, least: int = 64) -> tuple[DataFrame, dict[int, int]]:
     """Add ``out``, the gapless position (from 0) of each row in the order of
     the int column ``cls``, without any global sort; also return the count of
     each class.
 
     The caller vouches that ``cls`` has a bounded number of values (a few
-    thousand), so counts by class go to the driver. A class larger than about
-    a quarter of a task's share is split by a hash of ``ident``; the position
-    is then an offset of (class, split) plus the row number in it. Positions in
-    a class follow (split, ``order``). ``df`` is evaluated three times; the
-    first two read only what ``cls`` and ``ident`` need.
+    thousand), so counts by class go to the driver. Rows are written with a
+    number of their own first, so that null or repeated ones are told apart and
+    every later reading sees the same. A class larger than about a quarter of a
+    task's share is split by a hash of that number; the position is then an
+    offset of (class, split) plus the row number in it. Positions in a class
+    follow (split, ``order``).
     """
     spark = df.sparkSession
+    row, nsub, sub = f"{P}row", f"{P}nsub", f"{P}sub"
+    df = staged(df.withColumn(row, F.monotonically_increasing_id()), "positions")
     counts = dict(df.groupBy(cls).count().collect())
     target = max(least, sum(counts.values()) // (4 * partitions(spark)))
-    nsub, sub = f"{P}nsub", f"{P}sub"
     splits = spark.createDataFrame([(c, math.ceil(n / target)) for c, n in counts.items()] or [(0, 1)], f"{cls} int, {nsub} int")
-    cut = df.join(F.broadcast(splits), cls).withColumn(sub, F.pmod(F.xxhash64(ident), F.col(nsub)).cast("int")).drop(nsub)
+    cut = df.join(F.broadcast(splits), cls).withColumn(sub, F.pmod(F.xxhash64(row), F.col(nsub)).cast("int")).drop(nsub)
     rows = sorted(cut.groupBy(cls, sub).count().collect())
     offsets, at = [], 0
     for c, s, n in rows:
         offsets.append((c, s, at))
         at += n
     starts = spark.createDataFrame(offsets or [(0, 0, 0)], f"{cls} int, {sub} int, {P}start long")
-    number = F.row_number().over(Window.partitionBy(cls, sub).orderBy(*order))
+    number = F.row_number().over(Window.partitionBy(cls, sub).orderBy(*order, row))
     placed = cut.join(F.broadcast(starts), [cls, sub]).withColumn(out, F.col(f"{P}start") + number - 1)
-    return placed.drop(sub, f"{P}start"), counts
+    return placed.drop(sub, row, f"{P}start"), counts

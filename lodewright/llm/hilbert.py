@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import P, positions
+from .common import P, partitions, positions, table
 
 
 def curve_index(point: tuple[int, ...], bits: int) -> int:
@@ -72,12 +72,13 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 16, dims: tuple[str, ...] =
     """All columns of ``docs`` plus ``hilbert`` (int), ``shard`` (int, from 0)
     and ``slot`` (long, gapless from 0 in each shard).
 
-    Shards hold runs of the curve with row counts at most one apart. Rows of
-    one cell are ordered by a hash of ``ident``, so a hot cell is split freely.
-    Null or missing dimensions take the lowest level; null identifiers and
-    repeated rows are rows like any other; an empty table gives no rows. Of
-    input columns named like an output column, the output column wins.
-    At most 4096 cells: ``len(dims) * bits`` is 12 or less.
+    Shards hold runs of the curve with row counts at most one apart. A hot cell
+    is split freely among its rows. Null or missing dimensions take the lowest
+    level; null identifiers and repeated rows are rows like any other, told
+    apart by their place in the input; an empty table gives no rows. Of input
+    columns named like an output column, the output column wins. All columns
+    travel, so leave texts out where only the assignment is wanted. At most
+    4096 cells: ``len(dims) * bits`` is 12 or less.
     """
     docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("hilbert", "shard", "slot")])
     dims = [d for d in dims if d in docs.columns]
@@ -95,7 +96,7 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 16, dims: tuple[str, ...] =
     curve = F.split(F.lit(",".join(map(str, curve_table(len(dims), bits)))), ",")
     onto = docs.withColumn("hilbert", F.element_at(curve, cell + 1).cast("int"))
     order = [F.col(f"`{ident}`"), *[F.col(f"`{d}`") for d in dims]]
-    placed, counts = positions(onto, "hilbert", F.col(f"`{ident}`"), order, f"{P}pos")
+    placed, counts = positions(onto, "hilbert", order, f"{P}pos")
     total = max(1, sum(counts.values()))
     # integer arithmetic: positions may exceed what doubles hold exactly
     shard = F.expr(f"({P}pos * {n_shards}) div {total}")
@@ -103,22 +104,23 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 16, dims: tuple[str, ...] =
     return placed.withColumn("shard", shard.cast("int")).withColumn("slot", F.col(f"{P}pos") - first).drop(f"{P}pos")
 
 
-def op1_hilbert_sharding(spark, sf_dir: str) -> DataFrame:
-    """``documents`` in 16 shards by the law ``rows``."""
-    from .common import table
+def write_shards(docs: DataFrame, path: str, n_shards: int = 16, file_rows: int = 1_000_000, **options) -> None:
+    """``hilbert_shards`` written as Parquet under ``path``: a folder per shard,
+    files of about ``file_rows`` rows in curve order.
+
+    Whole rows are dealt once, by shard and run of slots, so a file covers a
+    short stretch of the curve and its footer's minima and maxima are narrow in
+    every dimension. Options are those of ``hilbert_shards``.
+    """
+    placed = hilbert_shards(docs, n_shards, **options)
+    run = F.expr(f"slot div {file_rows}")
+    dealt = placed.repartition(partitions(docs.sparkSession), "shard", run).sortWithinPartitions("shard", "slot")
+    dealt.write.partitionBy("shard").option("maxRecordsPerFile", file_rows).parquet(path)
 
-    placed = hilbert_shards(table(spark, sf_dir, "documents"))
+
+def op1_hilbert_sharding(spark, sf_dir: str) -> DataFrame:
+    """``documents`` in 16 shards by the law ``rows``. Texts are measured where they are read and don't travel."""
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return placed.select(
-        "doc_id",
-        (F.length(raw) + 1).cast("long").alias("size"),
-        F.crc32(raw).cast("long").alias("text_crc32"),
-        F.lit("rows").alias("law"),
-        "shard",
-        "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
-        "hilbert",
-        "lang",
-        "source",
-        "n_chars",
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.length(raw) + 1).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32"), "lang", "source", "n_chars")
+    placed = hilbert_shards(docs)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert", "lang", "source", "n_chars")

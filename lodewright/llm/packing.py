@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import P, positions, staged, table
+from .common import P, positions, table
 
 CAPACITY = 1024
 #: Follows every document.
 END = 2
 #: Texts of these characters alone are split alike by both libraries; others go to the reference one.
 PLAIN = r"[\x00-\x1b\x20-\x7e¡-¬®-ɏ]*"
-#: Texts of more characters are encoded by the reference library's batch call, one at a time.
+#: Texts that a task encodes at once.
 TEXTS = 64
 
 
@@ -151,7 +151,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, ranks: str | None = None, cap
 
     Only documents of more than ``capacity`` tokens are cut; all their pieces
     but the first are full. ``ids`` holds little-endian unsigned 32-bit ids.
-    A null text is empty, so its piece is ``end`` alone.
+    A null text is empty, so its piece is ``end`` alone. Null ids and repeated
+    rows give pieces like any other; other columns of ``docs``, whatever their
+    names, are not read; an empty table gives no rows.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,14 +180,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (long column ``length``, 1 to ``capacity``, and doc_id, piece)
     plus ``sequence_id`` and ``offset``: the place in a sequence.
 
-    Offsets in a sequence are gapless from 0. Repeated rows are pieces of their
-    own. An empty table gives no rows. ``pieces`` is read three times and
-    should be a written table.
+    Offsets in a sequence are gapless from 0. Null ids and repeated rows are
+    pieces of their own. An empty table gives no rows. ``pieces`` is evaluated
+    once and written.
     """
     spark = pieces.sparkSession
     size = f"{P}size"
-    ident = F.struct("doc_id", "piece", "start")
-    placed, counts = positions(pieces.withColumn(size, F.col("length").cast("int")), size, ident, [F.col("doc_id"), F.col("piece")], f"{P}pos", 4096)
+    placed, counts = positions(pieces.withColumn(size, F.col("length").cast("int")), size, [F.col("doc_id"), F.col("piece")], f"{P}pos")
     before, starts = 0, {}
     for s in sorted(counts):
         starts[s], before = before, before + counts[s]
@@ -205,7 +206,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """Tokenise, cut and pack; see ``token_pieces`` and ``pack``."""
-    return pack(staged(token_pieces(docs, vocabulary, ranks, capacity, end, with_ids), "pieces"), capacity)
+    return pack(token_pieces(docs, vocabulary, ranks, capacity, end, with_ids), capacity)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
