@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import P, partitions, table
+from .common import P, partitions, staged, table
 
 #: Seed of all hashes.
 SEED = 17
@@ -22,7 +22,7 @@ SEED = 17
 TEMPERATURE = 0.5
 #: A rate above this is a sum of several Poisson variables, as exp(-rate) would underflow.
 PART = 256.0
-#: Rates of up to so many sources are broadcast.
+#: Rates of up to so many sources are broadcast; beyond it they are joined by source, large sources in splits.
 BROADCAST_SOURCES = 10_000
 #: exp as Java and C++ round it may differ in the last place; rates are cut to so many places first.
 PLACES = 9
@@ -41,7 +41,7 @@ def shuffle_key(*parts: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None, epochs: float, source: str) -> DataFrame:
-    """(src, rate, parts, cdf): the mean copies of each source's documents, and
+    """(src, n, rate, parts, cdf): documents of each source, their mean copies, and
     the cumulative distribution of a Poisson variable with mean rate / parts.
 
     ``weights`` are relative; a source that they lack gets no copies.
@@ -56,41 +56,60 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, epochs: floa
     scale = epochs * (totals[0] or 0.0) / totals[1] if totals[1] else 0.0
     rate = F.round(F.col("w") * scale / F.col("n"), PLACES)
     mean = F.col("rate") / F.col("parts")
-    out = weighed.select("src", rate.alias("rate")).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
+    out = weighed.select("src", "n", rate.alias("rate")).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
     out = out.withColumn("r", mean).withColumn("last", F.ceil(F.col("r") + 12 * F.sqrt("r") + 30).cast("int"))
     cdf = F.expr(
         "aggregate(sequence(1, last), named_struct('t', exp(-r), 'c', exp(-r), 'l', array(exp(-r))),"
         " (a, k) -> named_struct('t', a.t * r / k, 'c', a.c + a.t * r / k, 'l', array_append(a.l, a.c + a.t * r / k)), a -> a.l)"
     )
-    return out.select("src", "rate", "parts", cdf.alias("cdf"))
+    return out.select("src", "n", "rate", "parts", cdf.alias("cdf"))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, source: str = "source", ident: str = "doc_id", seed: int = SEED) -> DataFrame:
+def _joined(docs: DataFrame, rates: DataFrame, source: Column, key: Column, most: int) -> DataFrame:
+    """``docs`` with their source's ``rates`` (src, n, ...), broadcast up to ``most`` sources."""
+    spark = docs.sparkSession
+    src, salt = F.col(f"{P}src"), f"{P}salt"
+    held = rates.drop("n").limit(most + 1).collect()
+    if len(held) <= most:
+        return docs.join(F.broadcast(spark.createDataFrame(held, rates.drop("n").schema)), source.eqNullSafe(src), "inner").drop(src)
+    p = partitions(spark)
+    total = rates.agg(F.sum("n")).first()[0]
+    # at most 4 * p sources are larger than that
+    large = rates.filter(F.col("n") > total / (4 * p)).select(src, F.ceil(F.col("n") * 4 * p / total).cast("int").alias(f"{P}of"))
+    large = F.broadcast(spark.createDataFrame(large.collect(), large.schema))
+    salted = docs.join(large, source.eqNullSafe(src), "left").drop(src).withColumn(salt, F.pmod(F.xxhash64(key), F.coalesce(f"{P}of", F.lit(1))).cast("int")).drop(f"{P}of")
+    of = large.withColumnRenamed(f"{P}src", f"{P}big")
+    copies = rates.drop("n").join(of, src.eqNullSafe(F.col(f"{P}big")), "left").withColumn(f"{P}at", F.explode(F.sequence(F.lit(0), F.coalesce(f"{P}of", F.lit(1)) - 1))).drop(f"{P}of", f"{P}big")
+    return salted.join(copies, source.eqNullSafe(src) & (F.col(salt) == F.col(f"{P}at")), "inner").drop(f"{P}src", f"{P}at", salt)
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, source: str = "source", ident: str = "doc_id", seed: int = SEED, most: int = BROADCAST_SOURCES) -> DataFrame:
     """Every copy of every document: the columns of ``docs`` plus ``rate``,
     ``copies``, ``copy`` (from 0) and ``shuffle_key``, in global order of
     ``shuffle_key``: partitions hold rising ranges of it and are sorted.
 
     The expected number of rows is ``epochs`` times that of ``docs``. A null
-    source is a source like the others; repeated rows draw the same number of
-    copies, each its own; a null id draws as the word null. An empty table
-    gives no rows. Of input columns named like a new one the new one wins.
+    source is a source like the others. Rows of null id draw each for itself:
+    they are written once with a number of their own, which stands for the id.
+    Repeated rows of one id draw the same number of copies, each its own. An
+    empty table gives no rows. Of input columns named like a new one the new
+    one wins.
     """
     spark = docs.sparkSession
     new = ("rate", "copies", "copy", "shuffle_key")
     docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
-    rates = source_rates(docs, weights, epochs, source).select(F.col("src").alias(f"{P}src"), "rate", F.col("parts").alias(f"{P}parts"), F.col("cdf").alias(f"{P}cdf"))
-    held = rates.limit(BROADCAST_SOURCES + 1).collect()
-    if len(held) <= BROADCAST_SOURCES:
-        rates = F.broadcast(spark.createDataFrame(held, rates.schema))
-    joined = docs.join(rates, F.col(f"`{source}`").eqNullSafe(F.col(f"{P}src")), "inner")
-    drawn = F.transform(F.sequence(F.lit(1), F.col(f"{P}parts")), lambda p: F.size(F.filter(F.col(f"{P}cdf"), lambda c: c <= _uniform(F.lit(seed), F.col(f"`{ident}`"), p))))
+    rates = source_rates(docs, weights, epochs, source).select(F.col("src").alias(f"{P}src"), "n", "rate", F.col("parts").alias(f"{P}parts"), F.col("cdf").alias(f"{P}cdf"))
+    given, key = F.col(f"`{ident}`"), F.col(f"{P}key")
+    numbered = staged(docs.filter(given.isNull()).withColumn(f"{P}key", F.concat(F.lit("null "), F.monotonically_increasing_id())), "null-ids")
+    docs = docs.filter(given.isNotNull()).withColumn(f"{P}key", given.cast("string")).unionByName(numbered)
+    joined = _joined(docs, rates, F.col(f"`{source}`"), key, most)
+    drawn = F.transform(F.sequence(F.lit(1), F.col(f"{P}parts")), lambda p: F.size(F.filter(F.col(f"{P}cdf"), lambda c: c <= _uniform(F.lit(seed), key, p))))
     # the draw of the usual single part stays outside a lambda, so that its hash is taken once
-    u = _uniform(F.lit(seed), F.col(f"`{ident}`"), F.lit(1))
-    one = joined.withColumn(f"{P}u", u)
+    one = joined.withColumn(f"{P}u", _uniform(F.lit(seed), key, F.lit(1)))
     copies = F.when(F.col(f"{P}parts") == 1, F.size(F.filter(F.col(f"{P}cdf"), lambda c: c <= F.col(f"{P}u")))).otherwise(F.aggregate(drawn, F.lit(0), lambda a, b: a + b))
-    counted = one.withColumn("copies", copies.cast("int")).filter("copies > 0").drop(f"{P}src", f"{P}parts", f"{P}cdf", f"{P}u")
+    counted = one.withColumn("copies", copies.cast("int")).filter("copies > 0").drop(f"{P}parts", f"{P}cdf", f"{P}u")
     each = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    keyed = each.withColumn("shuffle_key", shuffle_key(F.lit(seed), F.col(f"`{ident}`"), F.lit("copy"), F.col("copy")))
+    keyed = each.withColumn("shuffle_key", shuffle_key(F.lit(seed), key, F.lit("copy"), F.col("copy"))).drop(f"{P}key")
     n = partitions(spark)
     width = math.ceil((1 << 60) / n)
     dealt = keyed.repartitionById(n, F.expr(f"cast(shuffle_key div {width} as int)"))
