@@ -1,27 +1,32 @@
 """Exact deduplication behind static binary-fuse filters.
 
-An immutable snapshot holds one exact bucket (digest, smallest id, rows) per
-distinct text and one binary-fuse filter per shard of digests. Digests of an
-incoming batch are grouped among themselves first, then screened by the
-filters; only positives join the exact buckets, where the digest's 256 bits and
-the byte length decide. Negatives never meet the snapshot.
+An immutable snapshot holds one exact bucket (digest, size, smallest id, rows)
+per distinct text and one binary-fuse filter per shard of digests; it is
+written once and serves any number of batches. Digests of an incoming batch are
+grouped among themselves first, then screened by the filters; only positives
+join the exact buckets. The texts of groups of two rows or more are then
+compared byte by byte: each task passes on one copy of each of its texts, and a
+digest that turns out to stand for several texts is taken apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import P, staged, table
+from .common import P, new_path, staged, table
 
 #: Broadcast filters up to this many bytes in all; beyond it digests travel to the filters.
 BROADCAST_BYTES = 48 << 20
 #: Digests in a shard of the snapshot, about.
 SHARD_KEYS = 500_000
+#: Keys (8 bytes) of groups and batch rows are broadcast up to so many; beyond it they are joined by a shuffle.
+BROADCAST_KEYS = 2_000_000
 
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -150,41 +155,92 @@ def normalised(text: str | Column) -> Column:
     return F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def exact_groups(rows: DataFrame, limit: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """``rows`` has id (long), digest (string), size (long) and old (boolean:
-    already in the snapshot). One row per group of equal texts: digest, size,
-    keep_id (the smallest id), group_size.
-    """
-    key = F.xxhash64("digest")
-    grouped = rows.groupBy("old", "digest", "size").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
-    grouped = staged(grouped.withColumn("key", key), "exact-groups")
-    buckets, batch = grouped.filter("old").drop("old"), grouped.filter("not old").drop("old")
+@dataclass
+class Snapshot:
+    """Exact buckets (digest, size, key, keep_id, group_size) and the filters over their keys."""
+
+    buckets: DataFrame
+    filters: DataFrame
+    shards: int
+
+
+def write_snapshot(grouped: DataFrame, path: str, shard_keys: int = SHARD_KEYS) -> None:
+    """Writes ``grouped`` (digest, size, keep_id, group_size) and its filters under ``path``, once for all batches."""
+    spark = grouped.sparkSession
+    grouped.withColumn("key", F.xxhash64("digest")).write.parquet(f"{path}/buckets")
+    buckets = spark.read.parquet(f"{path}/buckets")
     shards = max(1, buckets.count() // shard_keys)
-    filters = staged(snapshot_filters(buckets, shards), "exact-filters")
-    screened = staged(screen(batch, filters, shards, limit), "exact-screened").drop("key")
-    exact, maybe = ["digest", "size"], screened.filter("maybe").drop("maybe")
-    known = maybe.select(*exact, F.col("keep_id").alias("new_id"), F.col("group_size").alias("new_size"))
-    seen = buckets.drop("key").join(known, exact, "left").select(*exact, F.least("keep_id", "new_id").alias("keep_id"), (F.col("group_size") + F.coalesce("new_size", F.lit(0))).alias("group_size"))
-    false = maybe.join(buckets.select(*exact), exact, "left_anti").select(seen.columns)
-    return seen.unionByName(false).unionByName(screened.filter("not maybe").select(seen.columns))
+    snapshot_filters(buckets, shards).withColumn("shards", F.lit(shards)).write.parquet(f"{path}/filters")
+
+
+def read_snapshot(spark: SparkSession, path: str) -> Snapshot:
+    filters = spark.read.parquet(f"{path}/filters")
+    first = filters.select("shards").first()
+    return Snapshot(spark.read.parquet(f"{path}/buckets"), filters.drop("shards"), first[0] if first else 1)
+
+
+def _small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Broadcast if it has no more rows than ``BROADCAST_KEYS``."""
+    most = BROADCAST_KEYS if most is None else most
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def dedup_batch(batch: DataFrame, snapshot: Snapshot, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """``batch`` has a row (digest, size, keep_id, group_size) per distinct text.
+    The buckets that it touches, with their new smallest id and rows, and the
+    rows of texts that the snapshot lacks."""
+    exact, columns = ["digest", "size"], ["digest", "size", "keep_id", "group_size"]
+    screened = staged(screen(batch.withColumn("key", F.xxhash64("digest")), snapshot.filters, snapshot.shards, limit), "exact-screened").drop("key")
+    maybe = screened.filter("maybe").select(*exact, F.col("keep_id").alias("new_id"), F.col("group_size").alias("new_size"))
+    hit = staged(snapshot.buckets.join(_small(maybe), exact), "exact-hits")
+    seen = hit.select(*exact, F.least("keep_id", "new_id").alias("keep_id"), (F.col("group_size") + F.col("new_size")).alias("group_size"))
+    fresh = screened.join(_small(hit.select(*exact)), exact, "left_anti").select(columns)
+    return seen, fresh
+
+
+def clashes(texts: DataFrame, multi: DataFrame) -> DataFrame:
+    """(digest, size) of ``multi`` whose rows of ``texts`` (digest, size, norm)
+    differ in a byte. A task passes on each of its texts once."""
+    keys = _small(multi.select(F.xxhash64("digest").alias("key")).distinct())
+    by = ["digest", "size", "norm"]
+    mine = texts.withColumn("key", F.xxhash64("digest")).join(keys, "key", "left_semi")
+    return mine.groupBy(*by).agg(F.count("*").alias("n")).groupBy("digest", "size").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest", "size")
+
+
+def sha256(norm: Column) -> Column:
+    return F.sha2(F.encode(norm, "UTF-8"), 256)
 
 
-def exact_dedup(docs: DataFrame, old: Column, ident: str = "doc_id", text: str = "text", limit: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
+def exact_dedup(docs: DataFrame, old: Column, ident: str = "doc_id", text: str = "text", limit: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     ``old`` tells the rows that the snapshot holds. A null text counts as
     empty. Of repeated rows with the smallest id of their group one is kept;
     null ids come last, and a group of null ids alone keeps one row with a null
-    ``keep_id``. An empty table gives no rows.
+    ``keep_id``. An empty table gives no rows. Texts of one ``digest`` that
+    differ are groups of their own.
     """
+    spark, exact = docs.sparkSession, ["digest", "size"]
     norm = docs.select(F.col(f"`{ident}`").cast("long").alias("id"), normalised(F.col(f"`{text}`")).alias("norm"), F.coalesce(old, F.lit(False)).alias("old"))
-    rows = norm.select("id", "old", F.sha2(F.encode("norm", "UTF-8"), 256).alias("digest"), F.octet_length("norm").cast("long").alias("size"))
-    rows = staged(rows.groupBy("id", "old", "digest", "size").agg(F.count("*").alias("n")), "exact-rows")
-    multi = exact_groups(rows, limit, shard_keys).filter("group_size > 1")
-    copies = F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))
-    out = rows.groupBy("id", "digest", "size").agg(F.sum("n").alias("n")).join(multi, ["digest", "size"], "left").withColumn("copy", copies)
+    told = norm.select("id", "old", "norm", digest(F.col("norm")).alias("digest"), F.octet_length("norm").cast("long").alias("size"))
+    rows = staged(told.groupBy("id", "old", *exact).agg(F.count("*").alias("n")), "exact-rows")
+    grouped = staged(rows.groupBy("old", *exact).agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size")), "exact-groups")
+    path = new_path(spark, "snapshot")
+    write_snapshot(grouped.filter("old").drop("old"), path, shard_keys)
+    snapshot = read_snapshot(spark, path)
+    seen, fresh = dedup_batch(grouped.filter("not old").drop("old"), snapshot, limit)
+    multi = seen.unionByName(fresh).unionByName(snapshot.buckets.select(seen.columns).join(_small(seen.select(*exact)), exact, "left_anti")).filter("group_size > 1")
+    multi = staged(multi, "exact-multi")
+    apart = staged(clashes(told.select("digest", "size", "norm"), multi), "exact-clashes")
+    by_id = rows.groupBy("id", *exact).agg(F.sum("n").alias("n"))
+    out = by_id.join(multi, exact, "left").select("id", "digest", "n", "keep_id", "group_size")
+    if apart.limit(1).count():
+        mine = told.join(_small(apart), exact, "left_semi").groupBy("id", *exact, "norm").agg(F.count("*").alias("n"))
+        texts = mine.groupBy(*exact, "norm").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
+        split = mine.join(texts, [*exact, "norm"]).select("id", "digest", "n", "keep_id", "group_size")
+        out = by_id.join(apart, exact, "left_anti").join(multi, exact, "left").select("id", "digest", "n", "keep_id", "group_size").unionByName(split)
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
-    return out.select(
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select(
         F.col("id").alias("doc_id"),
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
