@@ -1,11 +1,11 @@
 """Removal of lines that occur in many documents, through a minimal perfect hash.
 
-Lines are counted by a 128-bit hash of their key. The hashes that reach the
-threshold are cut into shards; each shard gets a minimal perfect hash, which
-numbers its lines from 0 without holding them, and two compact arrays over
-those numbers: a 64-bit fingerprint and the count. Documents probe the arrays;
-a fingerprint that differs means that the line is not indexed, so its count is
-below the threshold. Lines themselves are never joined.
+Lines are counted by a 128-bit hash of their key. All distinct hashes are cut
+into shards; each shard gets a minimal perfect hash, which numbers its lines
+from 0 without holding them, and two compact arrays over those numbers: a
+32-bit fingerprint and the count of documents. Documents probe the arrays, and
+the count found there decides; a fingerprint that differs tells of a line that
+isn't indexed. Lines themselves are never joined.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ MIN_DOCS = 10
 BROADCAST_BYTES = 48 << 20
 #: Line hashes in a shard, about.
 SHARD_KEYS = 1_000_000
-#: Documents of one bucket when hashes travel, about.
-BUCKET_DOCS = 2_000
+#: Documents of one bucket when hashes travel, and probes of a shard in one task, about.
+BUCKET_DOCS, PROBES = 2_000, 1_000_000
 #: Line counts that a task holds before it passes them on.
 HELD = 200_000
 
@@ -38,99 +38,105 @@ SPACE = b" \t\n\x0b\x0c\r"
 _GOLD = 0x9E3779B97F4A7C15
 
 
-def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-    """Cell of each uint64 key in a level of ``size`` cells."""
+def _place(keys: np.ndarray, prints: np.ndarray, level: int, size: int) -> np.ndarray:
+    """Cell of each 128-bit hash in a level of ``size`` cells."""
     with np.errstate(over="ignore"):
-        h = (keys ^ np.uint64((level + 1) * _GOLD & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (keys ^ np.uint64((level + 1) * _GOLD & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xFF51AFD7ED558CCD) + prints
         h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD)
     return ((h >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
 
 
 class PerfectHash:
     """Minimal perfect hash by levels: a key that is alone in its cell of a
     level is numbered by the rank of that cell; the others go one level down.
+    A level is a bit per cell, in words of 64, and the rank of each word.
     """
 
-    def __init__(self, levels: list[np.ndarray]):
-        self.levels = levels  # of 0/1 cells
+    def __init__(self, levels: list[tuple[int, np.ndarray]]):
+        self.levels = levels  # (cells, words)
         self.ranks, before = [], 0
-        for cells in levels:
-            ranks = np.cumsum(cells, dtype=np.int64) - cells + before
-            before += int(cells.sum())
-            self.ranks.append(ranks)
+        for _, words in levels:
+            ones = np.bitwise_count(words).astype(np.int64)
+            self.ranks.append((np.cumsum(ones) - ones + before).astype(np.uint32))
+            before += int(ones.sum())
         self.n = before
 
     @classmethod
-    def of(cls, keys: np.ndarray) -> PerfectHash:
-        """Over distinct uint64 keys."""
-        levels: list[np.ndarray] = []
+    def of(cls, keys: np.ndarray, prints: np.ndarray) -> PerfectHash:
+        """Over distinct pairs of uint64."""
+        levels: list[tuple[int, np.ndarray]] = []
         while len(keys):
             size = max(64, 2 * len(keys))
-            at = _place(keys, len(levels), size)
-            alone = np.bincount(at, minlength=size) == 1
-            levels.append(alone.astype(np.uint8))
-            keys = keys[~alone[at]]
+            at = _place(keys, prints, len(levels), size)
+            alone = np.bincount(at, minlength=-(-size // 64) * 64) == 1
+            levels.append((size, np.packbits(alone, bitorder="little").view("<u8")))
+            left = ~alone[at]
+            keys, prints = keys[left], prints[left]
             if len(levels) > 64:
                 raise ValueError("keys are not distinct")
         return cls(levels)
 
-    def index(self, keys: np.ndarray) -> np.ndarray:
+    def index(self, keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
         """A number below ``n`` for each key, its own for those of the set; -1 for some of the others."""
         out = np.full(len(keys), -1, np.int64)
         left = np.arange(len(keys))
-        for k, cells in enumerate(self.levels):
-            at = _place(keys[left], k, len(cells))
-            got = cells[at] == 1
-            out[left[got]] = self.ranks[k][at[got]]
+        for k, (size, words) in enumerate(self.levels):
+            at = _place(keys[left], prints[left], k, size)
+            word, bit = words[at >> 6], (at & 63).astype(np.uint64)
+            got = (word >> bit & np.uint64(1)) == 1
+            below = np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
+            out[left[got]] = (self.ranks[k][at >> 6] + below)[got]
             left = left[~got]
         return out
 
     def dump(self) -> bytes:
-        return struct.pack("<I", len(self.levels)) + b"".join(struct.pack("<Q", len(c)) + np.packbits(c).tobytes() for c in self.levels)
+        return struct.pack("<I", len(self.levels)) + b"".join(struct.pack("<QQ", size, len(w)) + w.tobytes() for size, w in self.levels)
 
     @classmethod
     def load(cls, blob: bytes) -> tuple[PerfectHash, int]:
         """The hash, and where its bytes end."""
         (k,), at, levels = struct.unpack_from("<I", blob), 4, []
         for _ in range(k):
-            (size,) = struct.unpack_from("<Q", blob, at)
-            at += 8
-            levels.append(np.unpackbits(np.frombuffer(blob, np.uint8, -(-size // 8), at))[:size])
-            at += -(-size // 8)
+            size, words = struct.unpack_from("<QQ", blob, at)
+            levels.append((size, np.frombuffer(blob, "<u8", words, at + 16)))
+            at += 16 + 8 * words
         return cls(levels), at
 
 
 class Shard:
-    """A perfect hash with its fingerprint and count arrays."""
+    """A perfect hash with its fingerprint and count arrays; counts end at what their type holds."""
 
     def __init__(self, mph: PerfectHash, prints: np.ndarray, counts: np.ndarray):
         self.mph, self.prints, self.counts = mph, prints, counts
 
     @classmethod
-    def of(cls, keys: np.ndarray, prints: np.ndarray, counts: np.ndarray) -> Shard:
-        keys, first = np.unique(keys, return_index=True)
-        mph = PerfectHash.of(keys)
-        at = mph.index(keys)
-        p, c = np.zeros(mph.n, np.uint64), np.zeros(mph.n, np.uint32)
-        p[at], c[at] = prints[first], np.minimum(counts[first], 0xFFFFFFFF)
+    def of(cls, keys: np.ndarray, prints: np.ndarray, counts: np.ndarray, least: int = MIN_DOCS) -> Shard:
+        """Counts are told apart up to ``least``."""
+        mph = PerfectHash.of(keys, prints)
+        at = mph.index(keys, prints)
+        kind = np.dtype("u1" if least < 256 else "<u2" if least < 65536 else "<u4")
+        p, c = np.zeros(mph.n, "<u4"), np.zeros(mph.n, kind)
+        p[at], c[at] = prints & np.uint64(0xFFFFFFFF), np.minimum(counts, np.iinfo(kind).max)
         return cls(mph, p, c)
 
     def count(self, keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
         """Documents with each line; 0 if the line is not indexed."""
-        at = self.mph.index(keys)
+        at = self.mph.index(keys, prints)
         ok = at >= 0
-        ok[ok] = self.prints[at[ok]] == prints[ok]
+        ok[ok] = self.prints[at[ok]] == (prints[ok] & np.uint64(0xFFFFFFFF))
         out = np.zeros(len(keys), np.int64)
         out[ok] = self.counts[at[ok]]
         return out
 
     def dump(self) -> bytes:
-        return self.mph.dump() + self.prints.astype("<u8").tobytes() + self.counts.astype("<u4").tobytes()
+        return self.mph.dump() + struct.pack("<I", self.counts.itemsize) + self.prints.tobytes() + self.counts.tobytes()
 
     @classmethod
     def load(cls, blob: bytes) -> Shard:
         mph, at = PerfectHash.load(blob)
-        return cls(mph, np.frombuffer(blob, "<u8", mph.n, at), np.frombuffer(blob, "<u4", mph.n, at + 8 * mph.n))
+        (width,) = struct.unpack_from("<I", blob, at)
+        return cls(mph, np.frombuffer(blob, "<u4", mph.n, at + 4), np.frombuffer(blob, f"<u{width}", mph.n, at + 4 + 4 * mph.n))
 
 
 def line_keys(text: bytes | None) -> list[bytes]:
@@ -151,8 +157,8 @@ def _longs(values: list[int] | np.ndarray) -> pa.Array:
     return pa.array(np.asarray(values, np.uint64).view(np.int64))
 
 
-def line_counts(docs: DataFrame, text: str = "text", least: int = MIN_DOCS) -> DataFrame:
-    """(key, print, docs) of each line hash that at least ``least`` documents have."""
+def line_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(key, print, docs): each distinct line hash and the documents that have it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -171,15 +177,15 @@ def line_counts(docs: DataFrame, text: str = "text", least: int = MIN_DOCS) -> D
             yield flush()
 
     hashed = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "key long, print long, docs long")
-    return hashed.groupBy("key", "print").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least)
+    return hashed.groupBy("key", "print").agg(F.sum("docs").alias("docs"))
 
 
-def line_index(counts: DataFrame, shards: int) -> DataFrame:
+def line_index(counts: DataFrame, shards: int, least: int = MIN_DOCS) -> DataFrame:
     """(shard, n, blob): the arrays of each shard."""
 
     def build(group: pa.Table) -> pa.Table:
         u = [group.column(c).to_numpy().view(np.uint64) for c in ("key", "print")]
-        blob = Shard.of(*u, group.column("docs").to_numpy()).dump()
+        blob = Shard.of(*u, group.column("docs").to_numpy(), least).dump()
         return pa.table({"shard": group.column("shard")[:1], "n": pa.array([len(group)], pa.int64()), "blob": pa.array([blob], pa.binary())})
 
     cut = counts.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
@@ -204,20 +210,20 @@ def _rewrite(texts: list[bytes | None], frequent) -> tuple[list[bytes], list[int
     return kept, sizes, gone
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, text: str = "text", ident: str = "doc_id", limit: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, text: str = "text", limit: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS, probes_a_task: int = PROBES) -> DataFrame:
     """``docs`` with ``text`` rewritten, plus ``n_lines`` (before) and ``n_dropped``.
 
     A line's key is the line stripped of ASCII white space, A-Z lowered; empty
     keys never count. A line in ``min_docs`` documents or more goes everywhere.
     A null or empty text is one empty line and comes out empty. Repeated rows
-    count as documents of their own. Of input columns named like a new column
+    count as documents of their own; ids, null ones too, play no part. Of input columns named like a new column
     the new one wins. An empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")])
-    counts = staged(line_counts(docs, text, min_docs), "line-counts")
+    counts = staged(line_counts(docs, text), "line-counts")
     shards = max(1, counts.count() // shard_keys)
-    index = staged(line_index(counts, shards), "line-index")
+    index = staged(line_index(counts, shards, min_docs), "line-index")
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in docs.schema.fields] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at = docs.columns.index(text)
 
@@ -245,8 +251,10 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, text: str = "
 
         return docs.mapInArrow(local, schema)
 
-    buckets = max(1, docs.count() // BUCKET_DOCS)
-    dealt = docs.withColumn("__lw_bucket", F.pmod(F.xxhash64(F.col(f"`{ident}`")), F.lit(buckets)))
+    # rows get a number of their own, so that buckets are even whatever ids and texts repeat
+    rows = staged(docs.withColumn("__lw_row", F.monotonically_increasing_id()), "line-rows")
+    buckets = max(1, rows.count() // BUCKET_DOCS)
+    dealt = rows.withColumn("__lw_bucket", F.pmod(F.xxhash64("__lw_row"), F.lit(buckets))).drop("__lw_row")
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -275,8 +283,12 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, text: str = "
 
     empty = to_arrow_schema(schema)
     asked = dealt.select("__lw_bucket", F.col(f"`{text}`")).mapInArrow(probes, "bucket long, key long, print long").distinct()
-    asked = asked.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
-    found = asked.groupBy("shard").cogroup(index.select("shard", "blob").groupBy("shard")).applyInArrow(answer, "bucket long, key long, print long")
+    asked = staged(asked.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")), "line-probes")
+    # a shard that is asked often is copied to several tasks
+    splits = asked.groupBy("shard").agg(F.ceil(F.count("*") / probes_a_task).cast("int").alias("of"))
+    sent = asked.join(F.broadcast(splits), "shard").withColumn("split", F.pmod("bucket", "of").cast("int"))
+    there = index.select("shard", "blob").join(F.broadcast(splits), "shard").withColumn("split", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    found = sent.groupBy("shard", "split").cogroup(there.select("shard", "split", "blob").groupBy("shard", "split")).applyInArrow(answer, "bucket long, key long, print long")
     found = found.withColumnRenamed("bucket", "__lw_bucket")
     return dealt.groupBy("__lw_bucket").cogroup(found.groupBy("__lw_bucket")).applyInArrow(apply, schema)
 
