@@ -43,6 +43,40 @@ def test_shards_differ_by_one_row_and_slots_are_gapless(spark):
             assert runs == sorted(runs)
 
 
+def test_sizes_checksums_and_pruning(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r for r in hilbert.op1_hilbert_sharding(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        assert (got[r.doc_id].size, got[r.doc_id].text_crc32, got[r.doc_id].law) == (len(raw) + 1, zlib.crc32(raw), "rows")
+    hilbert.write_shards(docs.filter("n_chars is not null"), str(tmp_path / "h"), 16)
+    files = spark.read.parquet(str(tmp_path / "h")).groupBy(F.input_file_name()).agg(F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"), F.countDistinct("lang").alias("langs"), F.countDistinct("source").alias("sources")).toPandas()
+    middle = docs.agg(F.median("n_chars")).first()[0]
+    # a file of unordered rows would have all languages and most lengths
+    assert len(files) == 16 and ((files.lo <= middle) & (files.hi >= middle)).mean() < 0.5 and files.langs.mean() < docs.select("lang").distinct().count()
+
+
+def test_cells_are_those_of_an_independent_walk(spark):
+    docs = spark.range(64).selectExpr("id as doc_id", "id % 8 as x", "id div 8 as y")
+    got = {(r.x, r.y): r.hilbert for r in hilbert.hilbert_shards(docs, 4, ("x", "y"), 3).collect()}
+
+    def walk(n, x, y):  # the textbook recursion over quadrants
+        d, s = 0, n // 2
+        while s:
+            rx, ry = int(x & s > 0), int(y & s > 0)
+            d += s * s * ((3 * rx) ^ ry)
+            if not ry:
+                if rx:
+                    x, y = n - 1 - x, n - 1 - y
+                x, y = y, x
+            s //= 2
+        return d
+
+    same = [got[x, y] == walk(8, x, y) for x in range(8) for y in range(8)]
+    turned = [got[x, y] == walk(8, y, x) for x in range(8) for y in range(8)]
+    assert all(same) or all(turned)
+
+
 # ---------------------------------------------------------------- 2 archives
 
 
@@ -91,7 +125,41 @@ def test_salvage_loses_only_what_is_damaged():
 
 def test_large_members_end_in_zero():
     raw = random.Random(2).randbytes((16 << 20) + 5)
-    assert warc.member(raw)[-1] == 0 and warc._inflate(warc.member(raw), 0)[0] == raw
+    assert warc.member(raw)[-1] == 0 and warc._inflate(warc.member(raw), 0)[::2] == (raw, None)
+
+
+def test_damaged_members_of_several_records():
+    r = random.Random(14)
+    bodies = [r.randbytes(300) for _ in range(9)]
+    records = [warc.make_record(i, f"u{i}", x, warc.base32(hashlib.sha1(x).digest()), None) for i, x in enumerate(bodies)]
+    ids = lambda raw: [int(m[1]) for x in warc.salvage(raw) if x[0] == "record" and (m := re.search(r"page:(\d+)", x[3][0].get("warc-record-id", "")))]
+    gaps = lambda raw: [x[1:] for x in warc.salvage(raw) if x[0] == "gap"]
+    bad = records[1][:-40] + b"#" * 36 + records[1][-4:]
+    sound = warc.member(records[0] + bad + records[2]) + warc.member(records[3])
+    assert ids(sound) == [0, 2, 3] and len(gaps(sound)) == 1 and "of the content" in gaps(sound)[0][2]
+    whole = warc.member(b"".join(records))
+    cut = whole[: len(whole) * 2 // 3]
+    assert ids(cut) == list(range(len(ids(cut)))) and 4 <= len(ids(cut)) <= 6 and gaps(cut)[-1][:2] == (0, len(cut))
+    crc = bytearray(whole)
+    crc[-6] ^= 1
+    assert ids(bytes(crc) + warc.member(records[0])) == [*range(9), 0]
+    flipped = bytearray(whole)
+    flipped[len(whole) // 2] ^= 0xFF
+    assert ids(bytes(flipped) + warc.member(records[8]))[:3] == [0, 1, 2] and ids(bytes(flipped) + warc.member(records[8]))[-1] == 8
+    assert [x[3][2] is None for x in warc.salvage(bytes(flipped) + warc.member(records[8])) if x[0] == "record"][-1:] == [True] != [x[3][2] is None for x in warc.salvage(bytes(flipped)) if x[0] == "record"][-1:]
+    hostile = (b"\x1f\x8b\x08" + b"\0" * 7) * 20_000
+    assert ids(hostile + warc.member(records[5])) == [5]
+
+
+def test_archives_of_bounded_size_with_junk(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"u{i}", random.Random(i).randbytes(400).hex()) for i in range(200)], "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "w"), file_bytes=5_000, junk_every=7)
+    files = [f.stat().st_size for f in (tmp_path / "w").rglob("part-*")]
+    assert len(files) > 10 and max(files) < 7_000
+    got = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert sorted(r.page_id for r in got if r.kind == "record") == list(range(200))
+    assert {r.page_id for r in got if r.kind == "record" and r.gap_before == warc.JUNK} == set(range(0, 200, 7))
+    assert all(r.length == warc.JUNK for r in got if r.kind == "gap") and sum(r.kind == "gap" for r in got) == 29
 
 
 # ---------------------------------------------------------------- 3 lines
@@ -108,12 +176,13 @@ def brute_lines(texts, least):
     return out
 
 
-@pytest.mark.parametrize("limit, keys", [(1 << 30, 1000), (1 << 30, 2), (0, 2)])
-def test_lines_dropped_as_by_counting(spark, limit, keys):
+@pytest.mark.parametrize("limit, keys, probes", [(1 << 30, 1000, 9), (1 << 30, 2, 9), (0, 2, 1000), (0, 10, 3)])
+def test_lines_dropped_as_by_counting(spark, limit, keys, probes, monkeypatch):
+    monkeypatch.setattr(linededup, "BUCKET_DOCS", 20)
     r = random.Random(4)
     common_lines = ["Terms apply", " terms APPLY\t", "footer é", "É", "é", "one two", "x", ""]
     texts = ODD + ["\n".join(r.choice(common_lines + [f"own {i} {j}"]) for j in range(r.randint(0, 6))) for i in range(60)]
-    got = linededup.drop_frequent_lines(documents(spark, texts, "n_lines key docs bucket print"), 5, limit=limit, shard_keys=keys)
+    got = linededup.drop_frequent_lines(documents(spark, texts, "n_lines key docs bucket print"), 5, limit=limit, shard_keys=keys, probes_a_task=probes)
     rows = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in got.collect()}
     assert [rows[i] for i in range(len(texts))] == brute_lines(texts, 5)
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "key", "docs", "bucket", "print", "n_lines", "n_dropped"]
@@ -126,10 +195,15 @@ def test_lines_of_an_empty_table(spark):
 def test_perfect_hash_is_minimal():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 20_000).astype(np.uint64)
     keys = np.unique(keys)
-    mph, _ = linededup.PerfectHash.load(linededup.PerfectHash.of(keys).dump())
-    assert sorted(mph.index(keys)) == list(range(len(keys)))
-    shard = linededup.Shard.load(linededup.Shard.of(keys, keys ^ np.uint64(5), np.arange(len(keys))).dump())
-    assert (shard.count(keys, keys ^ np.uint64(5)) == np.arange(len(keys))).all() and not shard.count(keys + np.uint64(1), keys).any()
+    keys = np.concatenate((keys, keys[:5]))  # equal first halves, other second ones
+    prints = np.arange(len(keys)).astype(np.uint64)
+    mph, _ = linededup.PerfectHash.load(linededup.PerfectHash.of(keys, prints).dump())
+    assert sorted(mph.index(keys, prints)) == list(range(len(keys)))
+    for least, top in ((10, 255), (1000, 65535), (70_000, 1 << 32)):
+        blob = linededup.Shard.of(keys, prints, np.arange(len(keys)), least).dump()
+        shard = linededup.Shard.load(blob)
+        assert (shard.count(keys, prints) == np.minimum(np.arange(len(keys)), top)).all()
+        assert shard.count(keys + np.uint64(1), prints).sum() == 0 and len(blob) < (11 if least == 70_000 else 9) * len(keys)
 
 
 # ---------------------------------------------------------------- 4 secrets
@@ -190,6 +264,20 @@ def test_copies_are_inverted_poisson_numbers(spark):
         assert all(sorted(r.copy for r in got if r.doc_id == i) == list(range(k)) for i, k in list(want.items())[:20])
 
 
+def test_rows_of_null_id_draw_each_for_itself(spark):
+    rows = spark.range(4000).selectExpr("cast(null as bigint) as doc_id", "'same' as text", "'s' as source")
+    got = mixing.mix_sources(rows.unionByName(spark.createDataFrame([(7, "t", "s")] * 3, rows.schema)), epochs=1.0)
+    sizes = got.filter("doc_id is null").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert abs(sizes.sum() - 4000) < 6 * math.sqrt(4000) and len(sizes) == 8 and sizes.max() < 2 * sizes.mean()
+    assert len(Counter(r.n for r in got.filter("doc_id = 7").groupBy("copy").agg(F.count("*").alias("n")).collect())) <= 1
+
+
+def test_many_sources_as_few(spark):
+    docs = documents(spark, prose(300)).withColumn("source", F.when(F.col("doc_id") % 3 > 0, "hot").when(F.col("doc_id") > 30, F.col("source")))
+    many = mixing.mix_sources(docs, most=0)
+    assert sorted(map(tuple, many.collect()), key=str) == sorted(map(tuple, mixing.mix_sources(docs).collect()), key=str)
+
+
 def test_high_rates_and_empty_tables(spark):
     docs = documents(spark, ["a", "b", "c", "d"])
     got = Counter(r.doc_id for r in mixing.mix_sources(docs, {"s0": 1.0}, epochs=500.0).select("doc_id").collect())
@@ -225,8 +313,19 @@ def test_texts_as_media(spark):
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         payload = raw.ljust(max(1, -(-len(raw) // 64)) * 64, b"\0")
+        counts = [payload.count(bytes((k,))) for k in range(256)]
+        entropy = -sum(c / len(payload) * math.log2(c / len(payload)) for c in counts if c)
+        parts = dict(x.split("=") for x in got[i].feature.split(";"))
+        assert (int(parts["pages"]), int(parts["rows"]), int(parts["zeros"]), int(parts["levels"])) == (-(-len(payload) // 65536), len(payload) // 64, counts[0], sum(c > 0 for c in counts))
+        assert abs(float(parts["entropy"]) - entropy) < 1e-4 and abs(float(parts["mean"]) - sum(k * c for k, c in enumerate(counts)) / len(payload)) < 1e-4
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert got[7].media_sha256 == got[8].media_sha256 and got[7].feature == got[8].feature
+    used = {(r.compression, r.tiled) for r in tiff.decode_pages(files).collect()}
+    assert used >= {(c, False) for c in tiff.CODES} and any(t for _, t in used)
+    odd = spark.createDataFrame([(None, "é" * 70_000), (3, None), (3, "q" * 200_000), (3, "q" * 200_000)], "doc_id long, text string")
+    twice = tiff.encode_texts(odd).withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
+    assert sorted((str(r.doc_id), r.n_bytes) for r in tiff.payload_features(tiff.decode_pages(twice)).collect()) == [("3", 0), ("3", 200_000), ("3", 200_000), ("None", 140_000)]
+    assert tiff.payload_features(tiff.decode_pages(files.limit(0))).count() == 0
 
 
 def test_broken_files_are_told(spark):
@@ -252,6 +351,29 @@ def test_exact_groups_are_those_of_a_dictionary(spark, limit, keys):
     assert len(got) == len(texts)
 
 
+def test_texts_of_one_digest_are_compared(spark):
+    texts = [f"{k} same" for k in "abcab"] + ["zz"] + ["x" * 9, "x" * 8 + "y"] * 2 + [None, ""]
+    docs = documents(spark, texts)
+    got = exactdup.exact_dedup(docs.unionByName(docs.filter("doc_id = 0")), F.col("doc_id") % 2 == 0, digest=lambda norm: F.substring(norm, -4, 4)).collect()
+    norm = [t or "" for t in texts]
+    for r in got:
+        same = [i for i, t in enumerate(norm) if t == norm[r.doc_id]]
+        assert (r.keep_id, r.group_size) == (same[0], len(same) + (0 in same))
+    assert len(got) == len(texts) + 1 and sum(r.kept for r in got) == len(set(norm))
+
+
+def test_a_snapshot_serves_several_batches(spark, tmp_path, monkeypatch):
+    rows = lambda ids: spark.createDataFrame([(f"{i % 50:064x}", 3, i, 1) for i in ids], "digest string, size long, keep_id long, group_size long")
+    exactdup.write_snapshot(rows(range(40)), str(tmp_path / "s"), 7)
+    for most in (exactdup.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(exactdup, "BROADCAST_KEYS", most)
+        for ids in (range(35, 45), range(95, 100), []):
+            snapshot = exactdup.read_snapshot(spark, str(tmp_path / "s"))
+            seen, fresh = exactdup.dedup_batch(rows(ids), snapshot)
+            assert sorted(r.keep_id for r in seen.collect()) == [i % 50 for i in ids if i % 50 < 40] and all(r.group_size == 2 for r in seen.collect())
+            assert sorted(r.keep_id for r in fresh.collect()) == [i for i in ids if i % 50 >= 40]
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = [(1, "a"), (1, "a"), (None, "a"), (None, "b"), (None, "b"), (2, "c")]
     got = exactdup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") == 1).collect()
@@ -273,6 +395,25 @@ def test_filters_never_miss_and_seldom_err():
 # ---------------------------------------------------------------- 8 packing
 
 
+def test_packing_of_odd_rows_and_its_bins(spark):
+    import public_tokenizers as P
+
+    rows = [(None, "a b"), (None, "a b"), (1, None), (1, None), (2, "word " * 1500)]
+    docs = spark.createDataFrame(rows * 9, "doc_id long, text string").withColumn("sequence_id", F.lit("x"))
+    got = packing.pack_documents(docs, P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")).collect()
+    assert len(got) == 9 * 6 and len({(r.sequence_id, r.offset) for r in got}) == len(got)
+    real = packing.pack_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")).agg(F.countDistinct("sequence_id"), F.sum("length")).first()
+    assert real[0] <= 1.01 * -(-real[1] // 1024)  # the least possible number of bins, and one percent
+
+
+def test_both_tokenizers_agree_on_all_documents(spark):
+    import public_tokenizers as P
+
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    quick, slow = packing.encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")), packing.encoder(P.path("byte_bpe_50k.json"))
+    assert all(np.array_equal(a, b) for a, b in zip(quick(texts), slow(texts), strict=True))
+
+
 def test_plan_fills_bins():
     r = random.Random(8)
     for trial in range(60):
@@ -448,6 +589,6 @@ def test_chain_without_labels_or_texts(spark):
 
 def test_positions_split_hot_classes(spark):
     rows = spark.range(5000).withColumn("c", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).cast("int"))
-    got, counts = common.positions(rows, "c", F.col("id"), [F.col("id")], "at", least=16)
+    got, counts = common.positions(rows, "c", [F.col("id")], "at", least=16)
     found = got.select("c", "at").orderBy("at").collect()
     assert [r["at"] for r in found] == list(range(5000)) and [r.c for r in found] == sorted(r.c for r in found) and sum(counts.values()) == 5000
