@@ -4,14 +4,14 @@
 2. Frequent shingles are found; each node's prefix (so many shingles that two
    sets of the wanted similarity must share one of them) takes rare ones first.
 3. Nodes that share a prefix shingle form a block. Most blocks of a family of
-   copies have the same members and collapse into one.
+   copies have the same members and collapse into one. The block of a shingle
+   that very many nodes have is dealt in pieces.
 4. Some centres of each block, one for a small block, are compared with its
-   other members, then some members of each large label with members of other
-   labels; what is linked by then needs no comparison among itself.
-5. What remains of a block is joined with itself by a signature tree: each tree
-   node holds the OR of its members' bitmaps and their range of set sizes, and
-   a dual traversal leaves out pairs of tree nodes whose members cannot overlap
-   enough or are linked already.
+   other members; what is linked by then needs no comparison among itself.
+5. What remains of a block is joined with itself by signature trees, each two
+   pieces in a task of their own: each tree node holds the OR of its members'
+   bitmaps and their range of set sizes, and a dual traversal leaves out pairs
+   of tree nodes whose members cannot overlap enough or are linked already.
 6. Surviving pairs are verified on the whole sets; links give components.
 7. Links lie within components, so they are counted there: a component in which
    not all pairs were found above is cut into tiles, and each tile compares all
@@ -42,8 +42,8 @@ MOST_FREQUENT = 4_000_000
 BROADCAST_IDS = 2_000_000
 #: Bits of a bitmap for each shingle, rounded up to a power of two within these bounds.
 BITS, LEAST_BITS, MOST_BITS = 4, 256, 1 << 17
-#: From so many members of a block with one label on, some of these are compared with the members of other labels.
-LARGE_LABEL, HEADS = 4, 8
+#: Members of a piece of a block, about; blocks of up to twice as many are whole.
+PIECE = 512
 FAN_OUT = 4
 #: Blocks by which two members tell whether a pair is another block's: enough for near copies, which share most.
 FIRST_BLOCKS = 8
@@ -51,7 +51,7 @@ FIRST_BLOCKS = 8
 CENTRES = "greatest(1, length(bin(size(members))) - 6)"
 
 #: A tile of a component holds two chunks of its sets: so many shingles each, a set counting as LEAST_SET at least.
-CHUNK_SHINGLES, LEAST_SET = 1 << 20, 512
+CHUNK_SHINGLES, LEAST_SET = 1 << 19, 512
 #: Pairs that a shingle of a tile may have to be counted one by one; those of more go through a matrix product.
 FEW_PAIRS = 8192
 
@@ -178,6 +178,20 @@ def block_pairs(members: list[Member]) -> Iterator[tuple[Member, Member]]:
             yield from dual_join(tree, trees[2 * w], 0, 1)
 
 
+def cross_pairs(left: list[Member], right: list[Member]) -> Iterator[tuple[Member, Member]]:
+    """As ``block_pairs``, of a member of each list."""
+    trees: tuple[dict[int, Node], dict[int, Node]] = ({}, {})
+    for side, members in enumerate((left, right)):
+        by: dict[int, list[Member]] = {}
+        for m in members:
+            by.setdefault(m.width, []).append(m)
+        trees[side].update({w: build_tree(ms) for w, ms in by.items()})
+    for w, tree in trees[0].items():
+        for other, i, j in ((w, 0, 0), (2 * w, 0, 1), (w // 2, 1, 0)):
+            if other in trees[1]:
+                yield from dual_join(tree, trees[1][other], i, j)
+
+
 # ---------------------------------------------------------------- the passes over texts
 
 
@@ -202,7 +216,7 @@ def describe(docs: DataFrame) -> DataFrame:
         one = {k: s for k, s in zip(keys, sets, strict=True)}
         if len(one) > 2:
             tokens, counts = np.unique(np.concatenate(list(one.values())), return_counts=True)
-            often = counts >= 3
+            often = counts >= 2
             nothing = pa.nulls(int(often.sum()), pa.int64())
             yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, _longs(tokens[often]), pa.array(counts[often])], names)
 
@@ -210,99 +224,137 @@ def describe(docs: DataFrame) -> DataFrame:
     return _sets(docs, emit, "doc_id long, n long, k long, token long, sets long")
 
 
-def frequent_shingles(counts: DataFrame, n_docs: int) -> np.ndarray:
-    """Sorted hashes of the frequent shingles. They only set the order of prefixes, so a missed one costs time, not links."""
+def frequent_shingles(counts: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the frequent shingles, and the pieces that the block of
+    each is dealt in. They set the order of prefixes and the split of blocks, so
+    one that is missed costs time, not links."""
     summed = staged(counts.groupBy("token").agg(F.sum("sets").alias("sets")).filter(F.col("sets") >= FREQUENT), "frequent")
     least = max(FREQUENT, n_docs // FREQUENT_SHARE)
     while summed.filter(F.col("sets") >= least).count() > MOST_FREQUENT:
         least *= 2
-    found = summed.filter(F.col("sets") >= least).select("token").toArrow()
-    return np.sort(found.column(0).to_numpy().view(np.uint64))
+    found = summed.filter(F.col("sets") >= least).select("token", F.ceil(F.col("sets") / PIECE).cast("int").alias("pieces")).toArrow()
+    tokens, pieces = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], pieces[order]
 
 
 def prefixes(docs: DataFrame, frequent) -> DataFrame:
-    """(token, k): each set's prefix, once for each batch that has the set."""
+    """(token, piece, k): each set's prefix, once for each batch that has the
+    set; piece is -1 but for shingles whose blocks are dealt in pieces."""
 
     def emit(ids: pa.Array, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        hot = frequent.value
+        hot, pieces = frequent.value
         seen: set[int] = set()
-        tokens, keys = [], []
+        tokens, parts, keys = [], [], []
         for s in sets:
             k = set_key(s)
             if k in seen or not len(s):
                 continue
             seen.add(k)
             p = prefix_length(len(s))
+            part = np.full(p, -1, np.int32)
             if len(hot):
                 at = np.searchsorted(hot, s)
                 at[at == len(hot)] = 0
                 often = hot[at] == s
+                rare = int((~often).sum())
                 s = np.concatenate((s[~often], s[often]))
+                if rare < p:
+                    of = pieces[at[often]][: p - rare]
+                    part[rare:] = np.where(of > 1, (k & 0x7FFFFFFF) % of, -1)
             tokens.append(s[:p])
+            parts.append(part)
             keys.append(np.full(p, k, np.int64))
         if tokens:
-            yield pa.RecordBatch.from_arrays([_longs(np.concatenate(tokens)), pa.array(np.concatenate(keys))], ["token", "k"])
+            yield pa.RecordBatch.from_arrays([_longs(np.concatenate(tokens)), pa.array(np.concatenate(parts)), pa.array(np.concatenate(keys))], ["token", "piece", "k"])
 
-    return _sets(docs, emit, "token long, k long")
+    return _sets(docs, emit, "token long, piece int, k long")
 
 
 def blocks(prefix: DataFrame) -> DataFrame:
-    """(block, members): the distinct lists of two or more nodes that share a prefix shingle."""
+    """(block, piece, members): the lists of two or more nodes that share a
+    prefix shingle, equal ones once. Blocks of many members come in pieces of
+    one block, numbered from 0; the piece of a whole block is -1."""
+    piece_members = PIECE
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def closed(tokens: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-            new = np.ones(len(tokens), bool)
-            new[1:] = (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])
-            tokens, keys = tokens[new], keys[new]
-            starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+        def lists(names: np.ndarray, pieces: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+            values = np.concatenate([keys[a : a + n] for a, n in zip(starts, sizes, strict=True)] or [keys[:0]])
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            return pa.RecordBatch.from_arrays([_longs(names), pa.array(pieces, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["block", "piece", "members"])
+
+        def closed(tokens: np.ndarray, parts: np.ndarray, keys: np.ndarray, more: int) -> pa.RecordBatch:
+            """``more``: the pieces that the first run has given already."""
+            starts = np.flatnonzero(np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (parts[1:] != parts[:-1]))))
             sizes = np.diff(np.append(starts, len(tokens)))
-            names = mix(np.add.reduceat(mix(keys.view(np.uint64)), starts) ^ sizes.astype(np.uint64))
-            many = np.flatnonzero(sizes > 1)
-            names, first = np.unique(names[many], return_index=True)
-            first = many[first]
-            values = np.concatenate([keys[starts[f] : starts[f] + sizes[f]] for f in first] or [keys[:0]])
-            offsets = np.concatenate(([0], np.cumsum(sizes[first]))).astype(np.int32)
-            return pa.RecordBatch.from_arrays([_longs(names), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["block", "members"])
-
-        tail_t, tail_k = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            pieces = np.where(parts[starts] >= 0, parts[starts].astype(np.int64) << 32, -1)
+            if more:
+                pieces[0] = (max(int(parts[0]), 0) << 32) + more
+            whole = pieces < 0
+            names = np.where(whole, mix(np.add.reduceat(mix(keys.view(np.uint64)), starts) ^ sizes.astype(np.uint64)), tokens[starts].view(np.uint64))
+            many = np.flatnonzero(~whole | (sizes > 1))
+            _, first = np.unique(np.stack([names[many].view(np.int64), pieces[many]]), axis=1, return_index=True)
+            at = many[first]
+            return lists(names[at], pieces[at], starts[at], sizes[at], keys)
+
+        tail, more = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)], 0
         with np.errstate(over="ignore"):
             for b in batches:
-                t = np.concatenate((tail_t, b.column(0).to_numpy()))
-                k = np.concatenate((tail_k, b.column(1).to_numpy()))
-                cut = int(np.searchsorted(t, t[-1])) if len(t) else 0
-                tail_t, tail_k = t[cut:], k[cut:]
+                if not len(b):
+                    continue
+                t, p, k = (np.concatenate((x, b.column(i).to_numpy())) for i, x in enumerate(tail))
+                new = np.ones(len(t), bool)
+                new[1:] = (t[1:] != t[:-1]) | (p[1:] != p[:-1]) | (k[1:] != k[:-1])
+                t, p, k = t[new], p[new], k[new]
+                last = np.flatnonzero((t != t[-1]) | (p != p[-1]))
+                cut = int(last[-1]) + 1 if len(last) else 0
                 if cut:
-                    yield closed(t[:cut], k[:cut])
-            if len(tail_t):
-                yield closed(tail_t, tail_k)
-
-    dealt = prefix.repartition(partitions(prefix.sparkSession), "token").sortWithinPartitions("token", "k")
-    found = dealt.mapInArrow(gather, "block long, members array<long>").dropDuplicates(["block"])
+                    yield closed(t[:cut], p[:cut], k[:cut], more)
+                    more = 0
+                tail = [t[cut:], p[cut:], k[cut:]]
+                while len(tail[0]) > 2 * piece_members:
+                    part = (max(int(tail[1][0]), 0) << 32) + more
+                    yield lists(tail[0][:1].view(np.uint64), np.array([part]), np.array([0]), np.array([piece_members]), tail[2])
+                    more += 1
+                    tail = [x[piece_members:] for x in tail]
+            if len(tail[0]):
+                yield closed(*tail, more)
+
+    dealt = prefix.repartition(partitions(prefix.sparkSession), "token", "piece").sortWithinPartitions("token", "piece", "k")
+    found = dealt.mapInArrow(gather, "block long, piece long, members array<long>").dropDuplicates(["block", "piece"])
     near = found.withColumn("home", F.array_min("members")).repartition(partitions(prefix.sparkSession), "home").sortWithinPartitions("home", F.desc(F.size("members")), "block")
-    return near.mapInArrow(widest, "block long, members array<long>")
+    return near.mapInArrow(widest, "block long, piece long, members array<long>")
 
 
 def widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks (block, members, home; by home, larger ones first) without those
-    whose members are all in a block of the same home: its pairs are there too."""
+    """Blocks (block, piece, members, home; by home, larger ones first) without
+    those whose members are all in one of the first whole blocks of the same
+    home: its pairs are there too."""
     home, kept = None, []
     for b in batches:
         keep = []
-        for h, members in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for h, piece, members in zip(b.column(3).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             if h != home:
                 home, kept = h, []
+            if piece >= 0:
+                keep.append(True)
+                continue
             m = frozenset(members)
             keep.append(not any(m <= k for k in kept))
-            if keep[-1]:
+            if keep[-1] and len(kept) < 64:
                 kept.append(m)
-        yield b.select(["block", "members"]).filter(pa.array(keep, pa.bool_()))
+        yield b.select(["block", "piece", "members"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast if it has no more rows than ``BROADCAST_IDS``."""
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
 
 
 def _again(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for the nodes ``keys`` (column k), and rows that share their ids."""
     ids = staged(nodes.join(keys, "k", "left_semi").select(F.col("rid").alias("doc_id")), "again")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return docs.join(_small(ids), "doc_id", "left_semi")
 
 
 def _once(make, schema: pa.Schema):
@@ -376,40 +428,56 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return staged(both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long").distinct(), "links")
 
 
+def stars(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a block's centres with its members; a block in pieces has one more centre for all of them."""
+    own = lists.select("members", F.explode(F.slice("members", 1, F.expr(CENTRES))).alias("c"))
+    pieces = lists.filter("piece >= 0").select("block", "members")
+    first = pieces.groupBy("block").agg(F.min(F.array_min("members")).alias("c"))
+    centres = own.unionByName(pieces.join(_small(first), "block").select("members", "c"))
+    pairs = centres.select("c", F.explode("members").alias("m")).filter("c <> m")
+    return pairs.select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b")).distinct()
+
+
 def labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """(block, k, centre, label) of the blocks whose members bear two labels or more."""
-    each = lists.filter(F.size("members") > 2).select("block", F.expr(CENTRES).alias("c"), F.posexplode("members").alias("at", "k"))
-    told = each.join(labels, "k", "left").select("block", "k", (F.col("at") < F.col("c")).alias("centre"), F.coalesce("label", "k").alias("label"))
+    """(block, piece, k, centre, label) of the blocks whose members bear two labels or more."""
+    each = lists.filter("size(members) > 2 or piece >= 0").select("block", "piece", F.expr(CENTRES).alias("c"), F.posexplode("members").alias("at", "k"))
+    told = each.join(labels, "k", "left").select("block", "piece", "k", (F.col("at") < F.col("c")).alias("centre"), F.coalesce("label", "k").alias("label"))
     told = staged(told, "labelled")
     mixed = told.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("block")
-    return staged(told.join(mixed, "block", "left_semi"), "mixed")
+    return staged(told.join(_small(mixed), "block", "left_semi"), "mixed")
 
 
-def label_pairs(told: DataFrame) -> DataFrame:
-    """Pairs of some members of each large label in a block with the block's members of other labels."""
-    own = Window.partitionBy("block", "label")
-    ranked = told.withColumn("n", F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy(F.xxhash64("k"))))
-    heads = ranked.filter((F.col("n") >= LARGE_LABEL) & (F.col("at") <= HEADS)).select("block", F.col("label").alias("own"), F.col("k").alias("head"))
-    met = told.join(heads, "block").filter("label <> own")
-    return met.select(F.least("head", "k").alias("a"), F.greatest("head", "k").alias("b")).distinct()
+def in_tiles(rows: DataFrame) -> DataFrame:
+    """``rows`` (block, piece, ...) plus u and v, the two pieces that a tile
+    compares: a row goes to a tile for each piece of its block."""
+    whole = rows.filter("piece < 0").withColumns({"u": F.col("piece"), "v": F.col("piece")})
+    pieces = staged(rows.filter("piece >= 0").select("block", "piece").distinct(), "pieces")
+    met = pieces.withColumnRenamed("piece", "u").join(pieces.withColumnRenamed("piece", "v"), "block").filter("u <= v")
+    sides = met.withColumn("piece", F.explode(F.array_distinct(F.array("u", "v"))))
+    return whole.unionByName(rows.filter("piece >= 0").join(_small(sides), ["block", "piece"]).select(whole.columns))
 
 
 def tree_pairs(lists: DataFrame, marks: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs that the signature trees of the blocks let through, each by the
     first of the blocks that both members are in, as far as the first few of
     each member tell; the pairs with a block's centres have been looked at
-    before."""
+    before. A member is in as many blocks as its prefix has shingles at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
-        block: list[tuple] = []
+        tile, rows = None, []
 
         def close() -> None:
-            name = block[0][0]
-            where = {r[1]: frozenset(r[6]) for r in block}
-            for x, y in block_pairs([_member(*r[1:6]) for r in where_once(block) if not r[7]]):
+            block, u, v = tile
+            where = {r[4]: frozenset(r[9]) for r in rows}
+            if u == v:
+                pairs = block_pairs(list({r[4]: _member(*r[4:9]) for r in rows if not r[10]}.values()))
+            else:
+                left, right = ({r[4]: _member(*r[4:9]) for r in rows if r[3] == side} for side in (u, v))
+                pairs = cross_pairs(list(left.values()), list(right.values()))
+            for x, y in pairs:
                 common = where[x.key] & where[y.key]
-                if x.label != y.label and (not common or min(common) == name):
+                if x.label != y.label and (not common or min(common) == block):
                     found.append((min(x.key, y.key), max(x.key, y.key)))
 
         def flush() -> pa.RecordBatch:
@@ -418,27 +486,25 @@ def tree_pairs(lists: DataFrame, marks: DataFrame, labels: DataFrame) -> DataFra
             return batch
 
         for b in batches:
-            for r in zip(*[b.column(i).to_pylist() for i in range(8)], strict=True):
-                if block and block[0][0] != r[0]:
-                    close()
-                    block.clear()
+            for r in zip(*[b.column(i).to_pylist() for i in range(11)], strict=True):
+                if tile != r[:3]:
+                    if tile:
+                        close()
+                    tile, rows = r[:3], []
                     if len(found) > 50_000:
                         yield flush()
-                block.append(r)
-        if block:
+                rows.append(r)
+        if tile:
             close()
         if found:
             yield flush()
 
-    def where_once(rows: list[tuple]) -> list[tuple]:
-        return list({r[1]: r for r in rows}.values())
-
     told = labelled(lists, labels)
-    homes = told.groupBy("k").agg(F.min("label").alias("label"), F.collect_set(F.struct("block", "centre")).alias("in"))
+    homes = told.groupBy("k").agg(F.min("label").alias("label"), F.collect_set(F.struct("block", "piece", "centre")).alias("in"))
     rows = homes.join(marks, "k").withColumn("blocks", F.slice(F.array_sort("in.block"), 1, FIRST_BLOCKS)).withColumn("here", F.explode("in"))
-    rows = rows.select("here.block", "k", "n", "label", "least", "bits", "blocks", "here.centre")
-    dealt = rows.repartition(partitions(rows.sparkSession), "block").sortWithinPartitions("block")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    rows = in_tiles(rows.select("here.block", "here.piece", "k", "n", "label", "least", "bits", "blocks", "here.centre"))
+    dealt = rows.repartition(partitions(rows.sparkSession), "block", "u", "v").sortWithinPartitions("block", "u", "v")
+    return dealt.select("block", "u", "v", "piece", "k", "n", "label", "least", "bits", "blocks", "centre").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -516,8 +582,11 @@ def tiles(members: DataFrame) -> DataFrame:
     """(k, label, u, v, second) of ``members`` (k, label, n): the tiles (label, u, v)
     that a set takes part in, ``second`` if as one of chunk v. Chunks follow
     sizes; each pair of sets whose sizes can be linked is in one tile."""
-    by_size = Window.partitionBy("label").orderBy("n", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = members.withColumn("chunk", F.floor(F.sum(F.greatest("n", F.lit(LEAST_SET))).over(by_size) / CHUNK_SHINGLES))
+    # a row per size: where its sets start and end, in shingles; a size of many sets is spread over its chunks
+    sizes = members.groupBy("label", "n").agg(F.sum(F.greatest("n", F.lit(LEAST_SET))).alias("w"))
+    upto = F.sum("w").over(Window.partitionBy("label").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    spans = sizes.withColumn("end", upto).select("label", "n", F.floor((F.col("end") - F.col("w")) / CHUNK_SHINGLES).alias("from"), F.floor((F.col("end") - 1) / CHUNK_SHINGLES).alias("to"))
+    cut = members.join(_small(staged(spans, "spans")), ["label", "n"]).withColumn("chunk", F.col("from") + F.pmod(F.xxhash64("k"), F.col("to") - F.col("from") + 1))
     cut = staged(cut.select("k", "label", "n", "chunk"), "chunks")
     ranges = cut.groupBy("label", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     u = ranges.select("label", F.col("chunk").alias("u"), F.col("high").alias("most"))
@@ -586,17 +655,14 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
     told = staged(describe(docs), "described")
     rows = told.filter("n is not null").select("doc_id", "n", "k")
     nodes = staged(rows.filter("n > 0").groupBy("k").agg(F.min("doc_id").alias("rid")), "nodes")
+    # at most MOST_FREQUENT hashes of 8 bytes, and 4 for their pieces
     hot = spark.sparkContext.broadcast(frequent_shingles(told.filter("n is null"), rows.count()))
     lists = staged(blocks(prefixes(docs, hot)), "blocks")
     marks = signatures(docs, nodes, lists.select(F.explode("members").alias("k")).distinct())
-    centres = lists.select("members", F.explode(F.slice("members", 1, F.expr(CENTRES))).alias("c"))
-    stars = centres.select("c", F.explode("members").alias("m")).filter("c <> m").select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b")).distinct()
-    first = verified(docs, nodes, staged(may_link(stars, marks), "stars"))
+    first = verified(docs, nodes, staged(may_link(stars(lists), marks), "stars"))
     labels = components(first)
-    second = verified(docs, nodes, staged(may_link(label_pairs(labelled(lists, labels)), marks), "label-pairs"))
-    labels = staged(merged(labels, second), "labels")
     rest = verified(docs, nodes, staged(tree_pairs(lists, marks, labels), "tree-pairs"))
-    links = staged(first.union(second).union(rest).distinct(), "all-links")
+    links = staged(first.union(rest).distinct(), "all-links")
     known = staged(merged(labels, rest), "known")
     grouped = nodes.join(known, "k", "left").select("k", "rid", F.coalesce("label", "k").alias("label"))
     smallest = grouped.groupBy("label").agg(F.min("rid").alias("component_id"))

@@ -544,6 +544,47 @@ def test_links_are_all_linked_sets(spark, monkeypatch):
         assert [got[i] for i in range(len(texts))] == [want.get(s, 0) for s in sets]
 
 
+def test_hot_blocks_and_both_sides_of_each_bound(spark, monkeypatch):
+    r = random.Random(15)
+    words = [f"w{i}" for i in range(60)]
+    texts = prose(80, 31)
+    for i in range(2500):  # a family whose members share nearly all shingles, in rings that only some links join
+        w = list(words)
+        for j in range(i % 3):
+            w[(i * 7 + 13 * j) % 60] = f"y{i % 40}"
+        texts.append(" ".join(w) + f" e{i}")
+    docs = documents(spark, texts)
+    sets = [frozenset(s.tolist()) for s in shingles.shingle_sets(pa.array(texts))]
+    names = sorted({s for s in sets if s}, key=sorted)
+    at = {s: i for i, s in enumerate(names)}
+    tokens = {t: i for i, t in enumerate({t for s in names for t in s})}
+    grid = np.zeros((len(names), len(tokens)), np.float32)
+    for i, s in enumerate(names):
+        grid[i, [tokens[t] for t in s]] = 1
+    n = grid.sum(1)
+    linked = 180 * (grid @ grid.T) >= 80 * (n[:, None] + n[None, :])
+    degree = linked.sum(1) - 1
+    label = np.arange(len(names))
+    for _ in range(len(names)):
+        low = np.where(linked, label[None, :], len(names)).min(1)
+        if (low == label).all():
+            break
+        label = low
+    root = {}
+    for i, s in enumerate(sets):
+        if s:
+            root.setdefault(label[at[s]], i)
+    want = [(len(s), root[label[at[s]]] if s else i, int(degree[at[s]]) if s else 0) for i, s in enumerate(sets)]
+    assert max(w[2] for w in want) > 500
+    for piece, ids, most, least in ((512, 2_000_000, 4_000_000, 64), (40, 0, 0, 64), (100, 2_000_000, 4_000_000, 1 << 30)):
+        monkeypatch.setattr(jaccard, "PIECE", piece)
+        monkeypatch.setattr(jaccard, "BROADCAST_IDS", ids)
+        monkeypatch.setattr(jaccard, "MOST_FREQUENT", most)
+        monkeypatch.setattr(jaccard, "FREQUENT", least)
+        got = {x.doc_id: (x.n_shingles, x.component_id, x.links) for x in jaccard.jaccard_components(docs).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_shared_shingles_by_either_way(monkeypatch):
     r = random.Random(13)
     sets = [np.array(sorted(r.sample(range(400), r.randint(1, 200))), np.uint64) for _ in range(150)]
