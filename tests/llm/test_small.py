@@ -210,27 +210,73 @@ def test_perfect_hash_is_minimal():
 
 
 @pytest.fixture(scope="module")
-def forest(spark):
-    return secrets.train_forest(secrets.labelled_findings(spark, 3000))
+def language(spark):
+    return secrets.learn_language(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
 
 
-def test_forest_on_held_out_findings(spark, forest):
+@pytest.fixture(scope="module")
+def forest(spark, language):
+    return secrets.train_forest(secrets.labelled_findings(spark, 4200), language)
+
+
+def test_language_is_that_of_counting(spark, language):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    seen = Counter(w for t in texts for w in set(re.split("[^a-z]+", t)) if 3 <= len(w) <= 20)
+    best = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: secrets.WORDS]
+    assert language == secrets.Language.of(best)
+    assert secrets.learn_language(documents(spark, ["a"]).limit(0)).pairs["ab"] == 0.0
+
+
+def test_forest_on_held_out_findings(spark, forest, language):
     held = secrets.labelled_findings(spark, 9000).withColumn("n", F.monotonically_increasing_id()).filter("n >= 6000")
     score = sum(forest[1:], forest[0]) / len(forest)
-    got = secrets.features(held).select("label", (score >= 0.5).cast("int").alias("said")).collect()
+    got = secrets.features(held, language).select("label", (score >= 0.5).cast("int").alias("said")).collect()
     assert np.mean([r.label == r.said for r in got]) > 0.97
 
 
-def test_secrets_found_and_false_positives_removed(spark, forest):
-    texts = ['see token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and', "call (499) 555-6503 or mail2.user.92@mail2.example.com", None, "", "card 4785380592391139", "commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff in", "x" * 200_000, "password: changeme123"]
-    got = secrets.scan_secrets(documents(spark, texts, "before candidate col pos"), forest).collect()
-    assert {r.doc_id for r in got if r.secret} == {0} and {4, 5} <= {r.doc_id for r in got}
-    assert next(r.candidate for r in got if r.doc_id == 0) == "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
-    assert secrets.scan_secrets(documents(spark, ["a"]).limit(0), forest).count() == 0
-
-
-def test_secret_scan_runs_no_python(spark, forest):
-    plan = secrets.scan_secrets(documents(spark, ["a"]), forest)._jdf.queryExecution().executedPlan().toString()
+def test_features_over_whole_candidates(spark, language):
+    long = "a" * 300 + "bcd0"
+    row = secrets.features(spark.createDataFrame([("p", "", long, ""), ("p", "", "zq", ""), ("p", "", "q", "")], "path string, before string, candidate string, after string"), language).collect()
+    assert row[0].distinct == 5 / len(secrets.ALPHABET) and row[1].distinct == 1.0
+    pair = lambda t: np.mean([language.pairs.get(x + y, -2.0) for x, y in zip(t, t[1:], strict=False)])
+    assert abs(row[0].transitions - pair(long)) < 1e-9 and abs(row[1].transitions - pair("zq")) < 1e-9 and row[2].transitions == 0.0
+
+
+def planted(n):
+    """Texts with one secret or one false alarm each, by another rule than the training data."""
+    r = random.Random(16)
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    some = lambda k, of=alnum: "".join(r.choice(of) for _ in range(k))
+    text = lambda: " ".join(r.choice("lake moon tower bread salt copper wind paper road green under never always small".split()) for _ in range(30))
+    good = [
+        lambda: f"DB_PASSWORD={some(18)}", lambda: f'apiKey: "{some(32, "0123456789abcdef")}"', lambda: f"access_token = {some(40)}", lambda: f"secret: '{some(28)}'",
+        lambda: f"Authorization token={some(36)}", lambda: f"AKIA{some(16, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')}", lambda: f"ghp_{some(36)}", lambda: f'"client_secret":"{some(24)}"',
+    ]
+    bad = [
+        lambda: f"commit {some(40, '0123456789abcdef')}", lambda: f"sha256 {some(64, '0123456789abcdef')}", lambda: f"call +1-{some(3, '0123456789')}-{some(3, '0123456789')}-{some(4, '0123456789')}",
+        lambda: "password = changeme123", lambda: "https://www.lake.com/moon/tower2.html", lambda: f"card {some(16, '0123456789')}", lambda: "api_key: your_api_key_here", lambda: "docs/bread/salt_copper_v12.json",
+    ]
+    return [(f"{text()} {r.choice(good if i % 2 else bad)()} {text()}", i % 2) for i in range(n)]
+
+
+def test_planted_secrets_are_found_and_false_alarms_left(spark, forest, language):
+    rows = planted(800)
+    got = secrets.scan_secrets(documents(spark, [t for t, _ in rows]), forest, language).filter("secret").select("doc_id").distinct().collect()
+    found = {r.doc_id for r in got}
+    assert np.mean([i in found for i, (_, y) in enumerate(rows) if y]) >= 0.9
+    assert np.mean([i in found for i, (_, y) in enumerate(rows) if not y]) <= 0.1
+
+
+def test_secrets_in_odd_tables(spark, forest, language):
+    rows = [(None, 'token = "Zk3vQ9xTn7Lw2RbY8mHd5JcF1sGp6AqE"', None), (3, None, "x"), (3, "", "x"), (4, "x1" * 100_000, None)]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, source string").withColumn("candidate", F.lit("q"))
+    got = secrets.scan_secrets(docs, forest, language).collect()
+    assert sorted((str(r.doc_id), len(r.candidate), r.secret) for r in got) == [("4", 200_000, False), ("None", 32, True), ("None", 32, True)]
+    assert secrets.scan_secrets(docs.limit(0), forest, language).count() == 0
+
+
+def test_secret_scan_runs_no_python(spark, forest, language):
+    plan = secrets.scan_secrets(documents(spark, ["a"]), forest, language)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
