@@ -59,6 +59,51 @@ def extract_attributes(name: Column) -> Column:
     return F.array_distinct(F.concat(articles, codes, widths, heights, amounts))
 
 
+# What is looked for behind a size, a number or a code, by name, with its confidence.
+MATERIALS = "сталь металл пластик дерево стекло алюминий бетон кирпич steel metal plastic wood glass aluminum concrete brick".split()
+COLORS = "белый черный серый красный синий зеленый желтый коричневый бежевый white black gray grey red blue green yellow brown beige".split()
+COATINGS = "оцинкован покрашен полирован матовый глянцевый galvanized painted polished matte glossy".split()
+TYPES = "панель лист профиль труба уголок швеллер panel sheet profile pipe angle channel".split()
+RELATED = {
+    "dimension": [("material", MATERIALS, 0.8), ("color", COLORS, 0.75), ("coating", COATINGS, 0.75)],
+    "article_code": [("type", TYPES, 0.8)],
+    "technical_code": [],
+}
+THICKNESS = r"(\d+\.?\d*)\s*(mm|см|мм|cm|m|м)(?![\p{L}\p{Nd}])"
+
+
+def related_attributes(low: Column, pattern: str, kind: str, reach: int = 100) -> Column:
+    """Array of (type, name, value, unit, confidence) found within ``reach``
+    characters behind the first match of ``pattern`` in a lowered name: behind a
+    size a thickness and words for material, colour and coating, behind an
+    article a size, a quantity and the type of thing, behind a technical code up
+    to three quantities. Of each list of words the first that is there counts;
+    word ends are those of letters in any script."""
+    text = F.coalesce(low, F.lit(""))
+    match = F.regexp_extract(text, pattern, 0)
+    after = F.when(match != "", F.substring(text, F.instr(text, match) + F.length(match), F.lit(reach))).otherwise("")
+    one = lambda t, n, v, u, c: F.struct(F.lit(t).alias("type"), n.alias("name"), v.alias("value"), u.alias("unit"), F.lit(c).alias("confidence"))
+    none = F.lit("")
+    found = []
+    if kind == "dimension":
+        value = F.regexp_extract(after, THICKNESS, 1)
+        found.append(F.when(value != "", one("numeric_value", F.lit("thickness"), value, F.regexp_extract(after, THICKNESS, 2), 0.9)))
+    glued = rf"(\d+\.?\d*)({D.UNITS_GLUED})"
+    if kind == "article_code":
+        size = F.regexp_extract(after, DIMENSION, 0)
+        found += [F.when(size != "", one("dimension", F.lit(n), F.regexp_extract(size, p, 1), none, 0.85)) for n, p in (("width", r"^(\d+)"), ("height", r"(\d+)$"))]
+        quantity = F.regexp_extract(after, glued, 0)
+        found.append(F.when(quantity != "", one("numeric_value", unit_meaning(F.regexp_extract(quantity, glued, 2)), F.regexp_extract(quantity, glued, 1), F.regexp_extract(quantity, glued, 2), 0.85)))
+    for name, words, sure in RELATED[kind]:
+        first = F.coalesce(*[F.nullif(F.regexp_extract(after, rf"(?<!\p{{L}})({w}[а-яa-z]*)(?!\p{{L}})", 1), none) for w in words])
+        found.append(F.when(first.isNotNull(), one("text_value", F.lit(name), first, none, sure)))
+    made = F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<type:string,name:string,value:string,unit:string,confidence:double>>")
+    if kind == "technical_code":
+        few = F.slice(F.regexp_extract_all(after, F.lit(glued), F.lit(0)), 1, 3)
+        made = F.transform(few, lambda x: one("numeric_value", unit_meaning(F.regexp_extract(x, glued, 2)), F.regexp_extract(x, glued, 1), F.regexp_extract(x, glued, 2), 0.8))
+    return made
+
+
 def _words(text: Column) -> Column:
     bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\s]+", " ")
     return F.split(squeeze(bare), " ")

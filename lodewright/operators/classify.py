@@ -14,25 +14,41 @@ from lodewright.functions import dictionaries as D
 from lodewright.functions.text import any_contains, ascii_edges, squeeze
 
 # Root word, code and confidence of known goods.
-KEYWORDS = {
-    "25.93.11": {0.98: "болт винт гайка шайба", 0.97: "саморез", 0.96: "заклепка"},
-    "25.73.11": {0.95: "ключ"},
-    "25.99.12": {0.97: "сверло", 0.96: "фреза", 0.95: "коронка"},
-    "28.15.32": {0.99: "подшипник"},
-    "23.69.19": {0.90: "панель"},
-    "24.10.73": {0.96: "уголок"},
-    "24.10.11": {0.94: "арматура"},
-    "27.11.21": {0.94: "автомат"},
-    "27.32.11": {0.98: "кабель", 0.95: "контрольный"},
-    "28.14.11": {0.95: "муфта", 0.96: "тройник"},
-    "28.13.11": {0.98: "пневмоцилиндр"},
-    "28.15.11": {0.97: "редуктор"},
-    "28.29.11": {0.95: "фильтр"},
-    "28.29.12": {0.96: "сальник"},
-    "25.99.19": {0.90: "лоток"},
-    "25.11.11": {0.95: "фасонные isopan изопан", 0.90: "элемент", 0.98: "isowall сэндвич sandwich"},
-    "26.51.52": {0.98: "преобразователь датчик"},
-}
+KEYWORDS = [
+    ("болт", "25.93.11", 0.98),
+    ("винт", "25.93.11", 0.98),
+    ("гайка", "25.93.11", 0.98),
+    ("шайба", "25.93.11", 0.98),
+    ("саморез", "25.93.11", 0.97),
+    ("заклепка", "25.93.11", 0.96),
+    ("ключ", "25.73.11", 0.95),
+    ("сверло", "25.99.12", 0.97),
+    ("фреза", "25.99.12", 0.96),
+    ("коронка", "25.99.12", 0.95),
+    ("подшипник", "28.15.32", 0.99),
+    ("панель", "23.69.19", 0.9),
+    ("уголок", "24.10.73", 0.96),
+    ("арматура", "24.10.11", 0.94),
+    ("автомат", "27.11.21", 0.94),
+    ("кабель", "27.32.11", 0.98),
+    ("контрольный", "27.32.11", 0.95),
+    ("муфта", "28.14.11", 0.95),
+    ("тройник", "28.14.11", 0.96),
+    ("пневмоцилиндр", "28.13.11", 0.98),
+    ("редуктор", "28.15.11", 0.97),
+    ("фильтр", "28.29.11", 0.95),
+    ("сальник", "28.29.12", 0.96),
+    ("лоток", "25.99.19", 0.9),
+    ("фасонные", "25.11.11", 0.95),
+    ("isopan", "25.11.11", 0.95),
+    ("изопан", "25.11.11", 0.95),
+    ("элемент", "25.11.11", 0.9),
+    ("isowall", "25.11.11", 0.98),
+    ("сэндвич", "25.11.11", 0.98),
+    ("sandwich", "25.11.11", 0.98),
+    ("преобразователь", "26.51.52", 0.98),
+    ("датчик", "26.51.52", 0.98),
+]
 # Phrases that decide before single words, in order.
 PHRASES = [
     ("сэндвич панель", "сэндвич"), ("сэндвич-панель", "сэндвич"), ("sandwich panel", "sandwich"), ("панель сэндвич", "сэндвич"),
@@ -47,18 +63,14 @@ NOISE = [
 ]
 
 
-def keyword_entries(table: dict[str, dict[float, str]] = KEYWORDS) -> list[tuple[str, str, float]]:
-    return [(word, code, sure) for code, by in table.items() for sure, words in by.items() for word in words.split()]
-
-
 def clean_name(name: Column) -> Column:
     return F.lower(squeeze(reduce(lambda c, p: F.regexp_replace(c, ascii_edges(p), " "), NOISE, name)))
 
 
-def root_word(name: Column, words: list[str], phrases: list[tuple[str, str]] = PHRASES) -> Column:
-    """The word that names the thing: of a phrase, else the longest known word
-    (in bytes; the first of equals), else the first word."""
-    clean = clean_name(name)
+def root_word(clean: Column, words: list[str], phrases: list[tuple[str, str]] = PHRASES) -> Column:
+    """The word that names the thing, of a name as ``clean_name`` leaves it: of a
+    phrase, else the longest known word (in bytes; the first of equals), else the
+    first word."""
     each = F.split(clean, " ")
     known = F.filter(each, lambda w: w.isin(words))
     longest = F.aggregate(known, F.lit(""), lambda a, w: F.when(F.octet_length(w) > F.octet_length(a), w).otherwise(a))
@@ -66,8 +78,8 @@ def root_word(name: Column, words: list[str], phrases: list[tuple[str, str]] = P
     return F.when(phrase != "", phrase).when(longest != "", longest).otherwise(F.get(each, F.lit(0)))
 
 
-def product_kind(name: Column) -> Column:
-    clean = clean_name(name)
+def product_kind(clean: Column) -> Column:
+    """The kind of thing, of a name as ``clean_name`` leaves it."""
     has = lambda *ws: any_contains(clean, list(ws))
     return (
         F.when(has(*SANDWICH), "sandwich_panel")
@@ -86,9 +98,11 @@ def classify_by_keyword(items: DataFrame, name: str = "normalized_name", entries
 
     The dictionary is a fixed list of some dozens, so it is broadcast.
     """
-    entries = entries or keyword_entries()
+    entries = entries or KEYWORDS
     words = F.broadcast(items.sparkSession.createDataFrame(entries, "root string, code string, confidence double"))
-    told = items.withColumn("root", root_word(F.col(name), [e[0] for e in entries], phrases)).withColumn("kind", product_kind(F.col(name)))
+    # each distinct name is cleaned once; long expressions stay in projections of their own
+    once = items.select(F.col(name).alias("_name")).distinct().withColumn("_clean", clean_name(F.col("_name")))
+    told = once.select("_name", root_word(F.col("_clean"), [e[0] for e in entries], phrases).alias("root"), product_kind(F.col("_clean")).alias("kind"))
     joined = told.join(words, "root", "left")
     panel = (F.col("kind") == "sandwich_panel") & F.col("root").isin("панель", "isowall", "сэндвич", "sandwich", "isopan")
     sure = (
@@ -99,7 +113,8 @@ def classify_by_keyword(items: DataFrame, name: str = "normalized_name", entries
         .when((F.col("kind") == "cable") & F.col("root").isin("кабель", "контрольный"), 0.98)
         .otherwise(F.col("confidence"))
     )
-    return joined.withColumn("confidence", sure).withColumn("code", F.when(panel & (F.col("root") == "панель"), "25.11.11").otherwise(F.col("code")))
+    found = joined.withColumn("confidence", sure).withColumn("code", F.when(panel & (F.col("root") == "панель"), "25.11.11").otherwise(F.col("code")))
+    return items.join(found, F.col(name).eqNullSafe(F.col("_name")), "left").drop("_name")
 
 
 def learned_keywords(results: DataFrame, least: float = 0.8) -> DataFrame:
@@ -244,3 +259,118 @@ def reset_classification(items: DataFrame, where: Column, status: str | None = N
         return items.withColumn("validation_status", F.when(where, status).otherwise(F.col("validation_status")))
     empty = {"kpved_code": F.lit(""), "kpved_name": F.lit(""), "kpved_confidence": F.lit(0.0)}
     return items.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in empty.items()})
+
+
+# ---------------------------------------------------------------- gates, mending, levels
+
+#: Name parts that show goods besides those of ``PRODUCT_WORDS``.
+TOOL_WORDS = ["ключ", "сверло", "фреза", "коронка", "инструмент"]
+#: Units, sizes and codes that make a name technical, as parts of the lowered name.
+TECHNICAL_PARTS = ["мм", "см", "м", "л", "кг", "г", "вт", "в", "а", "мл", "км", "т", "x", "х", "арт", "код"]
+#: Codes of services among the codes of goods, and parts of names that show services.
+SERVICE_CODES = ["71.20.1", "71.20.11", "71.20.12", "71.20.13", "71.20.14", "71.20.19", "96.09.1", "96.09.11", "96.09.12", "96.09.13", "96.09.19"]
+SERVICE_NAMES = ["услуг", "работ", "обслуживание", "монтаж", "установка", "ремонт", "проектирование", "консультация", "испытание", "анализ", "исследование"]
+#: The code of things that fit nowhere, and mistakes: part of the name, wrong code, part of its title, right code, part of its title.
+REST_CODE = "32.99.5"
+MISTAKES = [
+    (["кабель"], "26.12.1", "плат", "27.32.11", "кабел"),
+    (["датчик", "преобразователь"], "71.20.1", "испытан", "26.51.52", "прибор"),
+    (["фасонные"], "96.09.1", "услуг", "25.11.11", "конструкц"),
+]
+
+
+def likely_product(name: Column, root: Column, known: list[str]) -> Column:
+    """Whether a name is one of goods: its root word is known, or it has a telling part or a technical trait."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    trait = reduce(lambda a, b: a | b, (low.rlike(ascii_edges(t)) for t in D.PRODUCT_TRAITS))
+    return F.coalesce(root.isin(known), F.lit(False)) | any_contains(low, D.PRODUCT_WORDS + TOOL_WORDS) | trait
+
+
+def requires_model(name: Column, category: Column, other: str = D.OTHER) -> Column:
+    """Whether rules are not enough for a name: an open category, many bytes or words, many digits or signs, technical parts."""
+    text = F.coalesce(name, F.lit(""))
+    n = F.length(text)
+    share = lambda p: F.length(F.regexp_replace(text, p, "")) / n
+    odd = F.when(n > 0, (share(r"\P{Nd}") > 0.3) | (share(r"[\p{L}\p{Nd}\s]") > 0.1)).otherwise(False)
+    words = F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(squeeze(text), " ")))
+    return F.coalesce(category == other, F.lit(False)) | (F.octet_length(text) > 50) | (words > 5) | odd | any_contains(F.lower(text), TECHNICAL_PARTS)
+
+
+def is_service_code(code: Column, title: Column | None = None) -> Column:
+    """Whether a code is one of services: class 33 to 99, a listed code or one below it, or a title that tells so."""
+    section = F.regexp_extract(code, r"^(\d{2})\d*(?:\.|$)", 1)
+    listed = code.isin(SERVICE_CODES) | reduce(lambda a, b: a | b, (code.startswith(c + ".") for c in SERVICE_CODES))
+    told = any_contains(F.lower(F.coalesce(title, F.lit(""))), SERVICE_NAMES) if title is not None else F.lit(False)
+    return F.coalesce((F.length(code) >= 2) & (((section != "") & section.cast("int").between(33, 99)) | listed | told), F.lit(False))
+
+
+def mend(name: Column, code: Column, title: Column, confidence: Column, word_code: Column, word_title: Column, word_confidence: Column, product: Column) -> Column:
+    """Struct of code, title, confidence and what was done, after a model's
+    answer was held against that of the keywords (null code: none). The checks
+    run in order: goods under a code of services, goods under the code of the
+    rest, then known mistakes."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    own = F.coalesce(title, F.lit(""))
+    other = F.coalesce(word_title, F.lit(""))
+    known = word_code.isNotNull()
+    taken = lambda why: F.struct(word_code.alias("code"), word_title.alias("title"), word_confidence.alias("confidence"), F.lit(why).alias("mended"))
+    service = product & is_service_code(code, title)
+    out = F.when(service & known & ~is_service_code(word_code, word_title), taken("service"))
+    out = out.when(service, F.struct(code.alias("code"), title.alias("title"), (confidence * 0.5).alias("confidence"), F.lit("doubtful").alias("mended")))
+    out = out.when(((code == REST_CODE) | own.contains("прочие")) & product & known & (word_code != REST_CODE) & ~other.contains("прочие"), taken("rest"))
+    for parts, wrong, wrong_title, right, right_title in MISTAKES:
+        out = out.when(any_contains(low, parts) & ((code == wrong) | own.contains(wrong_title)) & known & ((word_code == right) | other.contains(right_title)), taken("mistake"))
+    return out.otherwise(F.struct(code.alias("code"), title.alias("title"), confidence.alias("confidence"), F.lit("").alias("mended")))
+
+
+def descend(names: DataFrame, tree: DataFrame, model: Callable[[list[tuple[str, str]]], list[tuple[str, float]]], depth: int = 6, least: float = 0.7) -> DataFrame:
+    """(name, code, confidence, steps): from the top of ``tree`` (code, parent_code,
+    level) down, a level at a time: the model sees (name, code so far) and names
+    a child and its confidence; where it is less sure than ``least``, names no
+    child, or there are none, the name stays where it is. Each distinct name is
+    asked once a level."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            asked = list(zip(f["name"], f["code"], strict=True))
+            got = model(asked) if asked else []
+            yield f.assign(child=[g[0] for g in got], sure=[float(g[1]) for g in got])[["name", "code", "confidence", "steps", "child", "sure"]]
+
+    children = tree.select(F.col("code").alias("child"), F.col("parent_code").alias("code"))
+    at = names.select("name").distinct().select("name", F.lit("").alias("code"), F.lit(1.0).alias("confidence"), F.lit(0).alias("steps"), F.lit(True).alias("open"))
+    for _ in range(depth):
+        asked = at.filter("open").drop("open").mapInPandas(run, "name string, code string, confidence double, steps int, child string, sure double")
+        down = asked.join(children.withColumn("ok", F.lit(True)), ["child", "code"], "left")
+        go = F.coalesce("ok", F.lit(False)) & (F.col("sure") >= least)
+        moved = down.select("name", F.when(go, F.col("child")).otherwise(F.col("code")).alias("code"), F.when(go, F.least("confidence", "sure")).otherwise(F.col("confidence")).alias("confidence"), (F.col("steps") + F.when(go, 1).otherwise(0)).alias("steps"), go.alias("open"))
+        at = at.filter("not open").unionByName(moved)
+    return at.drop("open")
+
+
+def existing_paths(paths: DataFrame, tree_paths: DataFrame, key: str = "path") -> DataFrame:
+    """The rows whose path is in the tree."""
+    return paths.join(tree_paths.select(key).distinct(), key, "left_semi")
+
+
+def find_codes(tree: DataFrame, text: str) -> DataFrame:
+    """Nodes whose code starts with the text or whose name contains it, in any case."""
+    low = text.lower()
+    return tree.filter(F.lower("code").startswith(low) | F.lower("name").contains(low))
+
+
+def with_levels(items: DataFrame, path: Column, depth: int = 5, strategy: str = "top") -> DataFrame:
+    """``items`` with category_level1 to ``depth`` from a path folded by the strategy; missing levels are empty."""
+    folded = fold_path(path, depth, strategy)
+    told = items.withColumn("_folded", folded)
+    return told.withColumns({f"category_level{i + 1}": F.coalesce(F.get("_folded", F.lit(i)), F.lit("")) for i in range(depth)}).drop("_folded")
+
+
+def reclassify(items: DataFrame, name: str = "normalized_name", where: Column | None = None, entries: list[tuple[str, str, float]] | None = None, phrases: list[tuple[str, str]] = PHRASES) -> DataFrame:
+    """A new version of ``items`` (kpved_code, kpved_confidence): rows ``where``
+    (default: without a code) get the keywords' answer where there is one;
+    ``reclassified`` tells which."""
+    where = F.coalesce(F.col("kpved_code"), F.lit("")) == "" if where is None else where
+    found = classify_by_keyword(items, name, entries, phrases)
+    new = where & F.col("code").isNotNull() if "code" not in items.columns else where
+    taken = {"kpved_code": F.when(new, F.col("code")).otherwise(F.col("kpved_code")), "kpved_confidence": F.when(new, F.col("confidence")).otherwise(F.col("kpved_confidence"))}
+    return found.withColumn("reclassified", new).withColumns(taken).select(*items.columns, "reclassified")

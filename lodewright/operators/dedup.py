@@ -1,21 +1,22 @@
 """Duplicate groups: exact, phonetic, fuzzy, word overlap and TF-IDF; components and masters.
 
-Similarity operators return pairs (a, b, score) with a < b. All of them meet
-through equal keys, never through a cross product; names are made distinct
-first, so a name held by a third of all rows is one row.
+Similarity operators return pairs (a, b, score) with a < b, and all of them:
+candidates meet through equal keys that no pair within the threshold lacks, and
+frequent keys are split over tasks. Give them distinct names, so that a name
+held by a third of all rows is one row.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodewright.functions import names
 
-#: The items of a word are joined in splits of about so many.
-WORD_TILE = 1000
+from .staging import Rounds, written
+
+#: The items of a frequent key are joined in splits of about so many.
+TILE = 1000
 
 
 def exact_groups(items: DataFrame, key: str, ident: str = "id") -> DataFrame:
@@ -24,35 +25,37 @@ def exact_groups(items: DataFrame, key: str, ident: str = "id") -> DataFrame:
     return items.filter(F.coalesce(F.col(key), F.lit("")) != "").groupBy(low.alias("key")).agg(F.count("*").alias("size"), F.min(ident).alias("first_id")).filter("size >= 2")
 
 
-def _shared(words: DataFrame, key: str) -> DataFrame:
-    """Pairs (a, b, w, aw, bw) of items with a common ``key``; ``words`` has id, key and w."""
-    left = words.select(F.col(key), F.col("id").alias("a"), F.col("w").alias("aw"))
-    right = words.select(F.col(key), F.col("id").alias("b"), F.col("w").alias("bw"))
-    return left.join(right, key).filter("a < b")
+def _meet(keyed: DataFrame, key: str, tile: int = TILE) -> DataFrame:
+    """Pairs of rows with a common ``key``: the columns of ``keyed`` (id, key and
+    others) twice, with a_ and b_ before their names and a_id < b_id. The rows
+    of a frequent key are split by a hash, and each pair of splits is joined on
+    its own."""
+    keyed = written(keyed, "keyed")
+    sizes = keyed.groupBy(key).agg(F.ceil(F.count("*") / tile).alias("_n"))
+    cut = keyed.join(sizes, key).withColumn("_h", F.pmod(F.xxhash64("id"), "_n"))
+    cut = cut.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).withColumn("_u", F.least("_h", "_o")).withColumn("_v", F.greatest("_h", "_o"))
+    rest = [c for c in keyed.columns if c != key]
+    left, right = (cut.select(key, "_u", "_v", F.col("_h").alias(f"{x}_h"), *[F.col(c).alias(f"{x}_{c}") for c in rest]) for x in "ab")
+    return left.join(right, [key, "_u", "_v"]).filter("a_id < b_id and least(a_h, b_h) = _u and greatest(a_h, b_h) = _v").drop("_u", "_v", "a_h", "b_h")
 
 
-def word_overlap_pairs(items: DataFrame, tokens: Column, least: int = 1, measure: str = "jaccard", tile: int = WORD_TILE) -> DataFrame:
+def word_overlap_pairs(items: DataFrame, tokens: Column, least: int = 1, measure: str = "jaccard", tile: int = TILE) -> DataFrame:
     """(a, b, common, score) of items (id) with at least ``least`` common words.
 
     ``measure`` is ``jaccard`` or ``longest`` (common words over the larger
     set). Words go rare first; two items meet in their first common word, which
-    is early enough in both to leave ``least`` in all. The items of a frequent
-    word are split by a hash, and each pair of splits is joined on its own.
+    is early enough in both to leave ``least`` in all.
     """
     sets = items.select("id", F.array_distinct(tokens).alias("set")).filter(F.size("set") > 0)
     each = sets.select("id", F.explode("set").alias("word"))
     usual = each.groupBy("word").agg(F.count("*").alias("df"))
     ranked = each.join(usual, "word").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("r"))
-    keys = ranked.select("id", F.col("r.word").alias("set"), F.explode(F.slice("r", 1, F.greatest(F.size("r") - least + 1, F.lit(0)))).alias("k"))
-    cut = keys.select("id", "set", "k.word", F.ceil(F.col("k.df") / tile).alias("n")).withColumn("h", F.pmod(F.xxhash64("id"), "n"))
-    cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("u", F.least("h", "o")).withColumn("v", F.greatest("h", "o"))
-    left = cut.select("word", "u", "v", F.col("id").alias("a"), F.col("set").alias("x"), F.col("h").alias("ha"))
-    right = cut.select("word", "u", "v", F.col("id").alias("b"), F.col("set").alias("y"), F.col("h").alias("hb"))
-    met = left.join(right, ["word", "u", "v"]).filter("a < b and least(ha, hb) = u and greatest(ha, hb) = v")
-    both = met.withColumn("both", F.array_intersect("x", "y")).filter((F.element_at("both", 1) == F.col("word")) & (F.size("both") >= least))
+    keyed = ranked.select("id", F.col("r.word").alias("set"), F.explode(F.slice("r.word", 1, F.greatest(F.size("r") - least + 1, F.lit(0)))).alias("word"))
+    both = _meet(keyed, "word", tile).withColumn("both", F.array_intersect("a_set", "b_set"))
+    both = both.filter((F.element_at("both", 1) == F.col("word")) & (F.size("both") >= least))
     n = F.size("both")
-    whole = F.size("x") + F.size("y") - n if measure == "jaccard" else F.greatest(F.size("x"), F.size("y"))
-    return both.select("a", "b", n.alias("common"), (n / whole).alias("score"))
+    whole = F.size("a_set") + F.size("b_set") - n if measure == "jaccard" else F.greatest(F.size("a_set"), F.size("b_set"))
+    return both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), n.alias("common"), (n / whole).alias("score"))
 
 
 def tfidf(items: DataFrame, tokens: Column) -> DataFrame:
@@ -64,41 +67,43 @@ def tfidf(items: DataFrame, tokens: Column) -> DataFrame:
     return each.join(df, "word").select("id", "word", (F.col("tf") * F.log(F.lit(float(n)) / F.col("df"))).alias("w"))
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(a, b, score) of vectors (id, word, w) with a cosine of ``threshold`` or more."""
-    norms = vectors.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).filter("norm > 0")
-    unit = vectors.filter("w > 0").join(norms, "id").select("id", "word", (F.col("w") / F.col("norm")).alias("w"))
-    return _shared(unit, "word").groupBy("a", "b").agg(F.sum(F.col("aw") * F.col("bw")).alias("score")).filter(F.round("score", 9) >= threshold)
-
-
-def fuzzy_pairs(items: DataFrame, name: str = "name", threshold: float = 0.85, prefix: int = 3, unit: str = "bytes", loose: bool = True) -> DataFrame:
-    """(a, b, score) of distinct names (id, name) with an edit similarity of
-    ``threshold`` or more whose first ``prefix`` characters are equal; with
-    ``loose`` one of them may differ. Each way to leave a character out is a
-    join key, so names still meet by equality alone."""
-    low = items.select("id", F.lower(F.trim(F.col(name))).alias("n")).filter("n <> ''").withColumn("p", F.substring("n", 1, prefix))
-    masks = [F.concat(F.lit(f"{i}:"), F.expr(f"overlay(p placing '*' from {i + 1})")) for i in range(prefix)]
-    keys = F.explode(F.filter(F.array(*masks), lambda m: F.length(m) == F.length("p") + 2)) if loose else F.concat(F.lit("="), "p")
-    keyed = low.withColumn("block", keys)
-    left, right = keyed.select("block", F.col("id").alias("a"), F.col("n").alias("x")), keyed.select("block", F.col("id").alias("b"), F.col("n").alias("y"))
-    near = left.join(right, "block").filter("a < b").filter(F.abs(F.length("x") - F.length("y")) <= (1 - threshold) * F.greatest(F.octet_length("x"), F.octet_length("y")))
-    scored = near.select("a", "b", names.similarity(F.col("x"), F.col("y"), unit).alias("score")).filter(F.round("score", 9) >= threshold)
-    return scored.dropDuplicates(["a", "b"])
+def cosine_pairs(vectors: DataFrame, threshold: float = 0.85, tile: int = TILE) -> DataFrame:
+    """(a, b, score) of vectors (id, word, w; w > 0 counts) with a cosine of ``threshold`` or more, above 0.
 
-
-def phonetic_pairs(items: DataFrame, name: str = "name", threshold: float = 0.9) -> DataFrame:
-    """(a, b, score) of all names (id, name) whose phonetic keys have an edit
-    similarity of ``threshold`` or more; an empty key is like none.
+    Words go rare first. What lies behind a word in a unit vector has a length;
+    once that is below the threshold, those words alone can't reach it, so two
+    items meet in their first common word, which is before that place in both.
+    """
+    kept = vectors.filter("w > 0")
+    usual = kept.groupBy("word").agg(F.count("*").alias("df"))
+    lists = kept.join(usual, "word").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "word", "w"))).alias("r"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    unit = lists.select("id", F.transform("r", lambda x: F.struct(x["word"].alias("word"), (x["w"] / F.col("norm")).alias("w"))).alias("v"))
+    # places (from 1) whose word and all behind it have a length of the threshold at least
+    tail = F.reverse(F.aggregate(F.reverse("v"), F.array().cast("array<double>"), lambda a, x: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x["w"] * x["w"])))
+    keyed = unit.withColumn("tail", tail).withColumn("first", F.filter(F.transform("v", lambda x: x["word"]), lambda w, i: F.get("tail", i) >= threshold * threshold - 1e-9))
+    keyed = keyed.select("id", "v", F.explode("first").alias("word"))
+    met = _meet(keyed, "word", tile)
+    other = F.map_from_entries("b_v")
+    common = F.filter("a_v", lambda x: F.map_contains_key(F.col("other"), x["word"]))
+    scored = met.withColumn("other", other).withColumn("common", common).filter(F.get("common", F.lit(0))["word"] == F.col("word"))
+    score = F.aggregate("common", F.lit(0.0), lambda a, x: a + x["w"] * F.element_at(F.col("other"), x["word"]))
+    return scored.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), score.alias("score")).filter(F.round("score", 9) >= threshold)
+
+
+def edit_pairs(low: DataFrame, threshold: float, unit: str = "bytes", tile: int = TILE) -> DataFrame:
+    """(a, b, score) of all texts (id, n; none empty) with an edit similarity of ``threshold`` or more.
 
     ``d`` edits take away at most 2 * d distinct pairs of neighbouring
-    characters, so keys within ``d`` of one another share one of their first
+    characters, so texts within ``d`` of one another share one of their first
     2 * d + 1 in any common order (here rare ones first), unless both have no
-    more than 2 * d; those all meet."""
-    low = items.select("id", names.phonetic_key(F.col(name)).alias("n")).filter("n <> ''")
-    ascii_only = not low.filter(F.octet_length("n") > F.length("n")).limit(1).count()
-    # the other key's bytes are at most this key's and those of the edits
-    rest = 1 - (1 if ascii_only else 4) * (1 - threshold)
-    most = F.floor(F.octet_length("n") * (1 - threshold) / rest + 1e-6).cast("int") if rest > 0 else F.lit(1 << 29)
+    more than 2 * d; those all meet. The smaller of two texts must allow for the
+    edits of a larger one, whose length is its own and that of those edits."""
+    size = F.octet_length if unit == "bytes" else F.length
+    wide = low.agg(F.max(F.ceil(F.octet_length("n") / F.length("n")))).first()[0] if unit == "bytes" else 1
+    # bytes of a character: no more than four; where a text's mean is above one, two or more occur
+    most_bytes = 1 if (wide or 1) == 1 and not low.filter(F.octet_length("n") > F.length("n")).limit(1).count() else (2 if not low.filter(F.col("n").rlike(r"[^\x{0}-\x{7FF}]")).limit(1).count() else 4) if unit == "bytes" else 1
+    rest = 1 - most_bytes * (1 - threshold)
+    most = F.floor(size("n") * (1 - threshold) / rest + 1e-6).cast("int") if rest > 0 else F.lit(1 << 29)
     padded = F.concat(F.lit("^"), "n", F.lit("$"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("n") + 1), lambda i: F.substring(padded, i, F.lit(2))))
     each = low.withColumn("most", 2 * most).select("id", "n", "most", F.explode(grams).alias("gram"))
@@ -106,38 +111,50 @@ def phonetic_pairs(items: DataFrame, name: str = "name", threshold: float = 0.9)
     ranked = each.join(usual, "gram").groupBy("id", "n", "most").agg(F.sort_array(F.collect_list(F.struct("df", "gram")))["gram"].alias("g"))
     every = F.when(F.size("g") <= F.col("most"), F.array(F.lit("*"))).otherwise(F.array().cast("array<string>"))
     keyed = ranked.select("id", "n", F.concat(every, F.slice("g", 1, F.col("most") + 1)).alias("first")).withColumn("block", F.explode("first"))
-    left = keyed.select("block", F.col("id").alias("a"), F.col("n").alias("x"), F.col("first").alias("fx"))
-    right = keyed.select("block", F.col("id").alias("b"), F.col("n").alias("y"), F.col("first").alias("fy"))
-    fits = F.abs(F.length("x") - F.length("y")) <= (1 - threshold) * F.greatest(F.octet_length("x"), F.octet_length("y")) + 1e-6
-    near = left.join(right, "block").filter("a < b").filter(fits).filter(F.element_at(F.array_intersect("fx", "fy"), 1) == F.col("block"))
-    return near.select("a", "b", names.similarity(F.col("x"), F.col("y")).alias("score")).filter(F.round("score", 9) >= threshold)
+    longest = F.greatest(size("a_n"), size("b_n"))
+    fits = F.abs(F.length("a_n") - F.length("b_n")) <= (1 - threshold) * longest + 1e-6
+    near = _meet(keyed, "block", tile).filter(fits).filter(F.element_at(F.array_intersect("a_first", "b_first"), 1) == F.col("block"))
+    # the distance is counted up to what the threshold allows
+    d = F.levenshtein("a_n", "b_n")
+    return near.filter(d <= (1 - threshold) * longest + 1e-6).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), names.similarity(F.col("a_n"), F.col("b_n"), unit).alias("score")).filter(F.round("score", 9) >= threshold)
+
+
+def fuzzy_pairs(items: DataFrame, name: str = "name", threshold: float = 0.85, unit: str = "bytes") -> DataFrame:
+    """(a, b, score) of all names (id, name) with an edit similarity of ``threshold`` or more; an empty name is like none."""
+    return edit_pairs(items.select("id", F.lower(F.trim(F.col(name))).alias("n")).filter("n <> ''"), threshold, unit)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage through a table in the shared checkpoint folder, or an eager checkpoint's where none is set."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
+def phonetic_pairs(items: DataFrame, name: str = "name", threshold: float = 0.9) -> DataFrame:
+    """(a, b, score) of all names (id, name) whose phonetic keys have an edit
+    similarity of ``threshold`` or more; an empty key is like none."""
+    return edit_pairs(items.select("id", names.phonetic_key(F.col(name)).alias("n")).filter("n <> ''"), threshold)
+
 
-        base = f"file://{tempfile.gettempdir()}/lodewright-shared"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def containing(batch: DataFrame, stored: DataFrame, name: str = "name") -> DataFrame:
+    """(id, match_id): for each name of ``batch`` (id, name) the stored ones (id,
+    name) that contain it, in any case. A name meets those that have its rarest
+    run of three characters (or all of it, if shorter); empty names meet none."""
+    runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
+    have = stored.select(F.col("id").alias("match_id"), F.lower(name).alias("whole")).filter("whole <> ''")
+    parts = have.select("match_id", "whole", F.explode(F.array_distinct(F.concat(*[runs(F.col("whole"), n) for n in (1, 2, 3)]))).alias("run"))
+    usual = parts.groupBy("run").agg(F.count("*").alias("df"))
+    asked = batch.select("id", F.lower(name).alias("part")).filter("part <> ''")
+    each = asked.select("id", "part", F.explode(F.when(F.length("part") < 3, F.array("part")).otherwise(runs(F.col("part"), 3))).alias("run"))
+    rare = each.join(usual, "run").groupBy("id", "part").agg(F.min_by("run", F.struct("df", "run")).alias("run"), F.count("*").alias("found"), F.max(F.lit(0)).alias("_"))
+    return rare.join(parts, "run").filter(F.col("whole").contains(F.col("part"))).select("id", "match_id")
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """(id, group_id): the smallest id that is reachable by pairs (a, b)."""
     edges = written(pairs.select("a", "b").union(pairs.select("b", "a")).distinct().toDF("a", "b"), "edges")
-    labels = written(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("group_id")), "labels")
+    rounds = Rounds("labels")
+    labels = rounds.step(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("group_id")))
     while True:
         near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("group_id").alias("near"))
         told = labels.join(near, "id").withColumn("new", F.least("group_id", "near"))
         far = labels.select(F.col("id").alias("new"), F.col("group_id").alias("far"))
         jumped = told.join(far, "new", "left").withColumn("best", F.least("new", F.coalesce("far", "new")))
-        done = written(jumped.select("id", F.col("best").alias("group_id"), (F.col("best") != F.col("group_id")).alias("changed")), "labels")
+        done = rounds.step(jumped.select("id", F.col("best").alias("group_id"), (F.col("best") != F.col("group_id")).alias("changed")))
         labels = done.select("id", "group_id")
         if not done.filter("changed").limit(1).count():
             return labels
@@ -158,43 +175,86 @@ def masters(members: DataFrame, score: Column, group: str = "group_id", ident: s
     return members.groupBy(group).agg(F.max_by(ident, F.struct(score.alias("s"), (-F.col(ident)).alias("i"))).alias("master_id"), F.count("*").alias("size"))
 
 
-def duplicate_groups(items: DataFrame, threshold: float = 0.85, common_words: int = 1, keep_stop_words: bool = False) -> DataFrame:
-    """All detectors over items (id, code, name), merged: (group_id, id).
+#: How sure a kind of link is; the other kinds are as sure as their score.
+CONFIDENCE = {"phonetic": 0.8}
+
+
+def detected_pairs(items: DataFrame, threshold: float = 0.85, common_words: int = 1, keep_stop_words: bool = False) -> DataFrame:
+    """(a, b, type, score): the links of all detectors over items (id, code, name).
 
-    Names with ``common_words`` common words are linked, as the catalog's
-    analyzer does with 1 by default."""
-    one = items.groupBy(F.lower(F.trim("name")).alias("name")).agg(F.min("id").alias("id"))
+    Rows of one code or name are linked with the first of them. Names with
+    ``common_words`` common words are linked, as the catalog's analyzer does
+    with 1 by default; with 1 each name is linked with the first one of each of
+    its words, which has the same components."""
+    one = items.groupBy(F.lower(F.trim("name")).alias("name")).agg(F.min("id").alias("id")).filter("name <> ''")
     found = []
     for key in ("code", "name"):
         low = F.trim(F.lower(F.col(key)))
         first = items.filter(low != "").withColumn("first", F.min("id").over(Window.partitionBy(low)))
-        found.append(first.filter("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b")))
-    found.append(fuzzy_pairs(one, threshold=threshold).select("a", "b"))
-    found.append(phonetic_pairs(one).select("a", "b"))
-    found.append(cosine_pairs(tfidf(one, names.tokens(F.col("name"))), threshold).select("a", "b"))
+        found.append(first.filter("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit("exact").alias("type"), F.lit(1.0).alias("score")))
+    told = lambda df, kind: df.select("a", "b", F.lit(kind).alias("type"), "score")
+    found.append(told(fuzzy_pairs(one, threshold=threshold), "fuzzy"))
+    found.append(told(phonetic_pairs(one), "phonetic"))
+    found.append(told(cosine_pairs(tfidf(one, names.tokens(F.col("name"))), threshold), "semantic"))
     words = names.tokens(F.col("name"), keep_stop_words)
-    if common_words == 1:  # each item with the first one of its words has the same components
-        each = one.select("id", F.explode(F.array_distinct(words)).alias("word"))
-        first = each.groupBy("word").agg(F.min("id").alias("a"))
-        found.append(each.join(first, "word").filter("a <> id").select("a", F.col("id").alias("b")))
+    if common_words == 1:
+        each = one.select("id", F.array_distinct(words).alias("set")).withColumn("word", F.explode("set"))
+        first = each.groupBy("word").agg(F.min_by(F.struct("id", "set"), "id").alias("f"))
+        jaccard = F.size(F.array_intersect("f.set", "set")) / F.size(F.array_union("f.set", "set"))
+        found.append(each.join(first, "word").filter("f.id <> id").select(F.col("f.id").alias("a"), F.col("id").alias("b"), F.lit("words").alias("type"), jaccard.alias("score")).dropDuplicates(["a", "b"]))
     else:
-        found.append(word_overlap_pairs(one, words, common_words).select("a", "b"))
+        found.append(told(word_overlap_pairs(one, words, common_words), "words"))
     merged = found[0]
     for f in found[1:]:
         merged = merged.unionByName(f)
-    return components(merged.distinct()).select("group_id", "id")
+    return written(merged.distinct(), "pairs")
+
+
+def duplicate_groups(items: DataFrame, threshold: float = 0.85, common_words: int = 1, keep_stop_words: bool = False) -> DataFrame:
+    """All detectors over items (id, code, name), merged: (group_id, id)."""
+    pairs = detected_pairs(items, threshold, common_words, keep_stop_words)
+    return components(pairs.select("a", "b").distinct()).select("group_id", "id")
+
+
+def group_summary(pairs: DataFrame, groups: DataFrame, members: DataFrame, score: Column) -> DataFrame:
+    """(group_id, type, score, confidence, size, master_id): of ``groups``
+    (group_id, id) by ``pairs`` (a, b, type, score). The type is mixed where
+    links of several kinds hold a group together; the score is the mean of all
+    links, as is the confidence, and the master has the best ``score`` of
+    ``members`` (id and what the score needs)."""
+    sure = F.col("score")
+    for kind, c in CONFIDENCE.items():
+        sure = F.when(F.col("type") == kind, c).otherwise(sure)
+    links = pairs.join(groups.withColumnRenamed("id", "a"), "a").groupBy("group_id").agg(
+        F.when(F.min("type") == F.max("type"), F.min("type")).otherwise("mixed").alias("type"), F.avg("score").alias("score"), F.avg(sure).alias("confidence"))
+    return links.join(masters(groups.join(members, "id"), score), "group_id").select("group_id", "type", "score", "confidence", "size", "master_id")
+
+
+def known_groups(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """Groups (hash, …) that are not among the stored ones yet."""
+    return found.join(stored.select("hash"), "hash", "left_anti")
+
+
+def mark(groups: DataFrame, hashes: DataFrame, status: str) -> DataFrame:
+    """``groups`` (hash, status, …) with ``status`` for the given hashes."""
+    told = groups.join(hashes.select("hash").distinct().withColumn("_hit", F.lit(True)), "hash", "left")
+    return told.withColumn("status", F.when(F.col("_hit"), status).otherwise(F.col("status"))).drop("_hit")
 
 
 def group_hash(kind: str, ids: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{kind}-"), F.to_json(F.sort_array(ids))))
 
 
-def drop_known(batch: DataFrame, stored: DataFrame, name: str = "normalized_name") -> tuple[DataFrame, DataFrame]:
-    """Rows of a batch that are not stored yet, and stored rows with ``merged_count`` raised by those that are."""
+def drop_known(batch: DataFrame, stored: DataFrame, name: str = "normalized_name", sure: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of a batch that are not stored yet, and stored rows with ``merged_count``
+    raised by those that are. Only ``sure`` rows (default: all) are taken for
+    stored ones; a null name is never stored."""
     key = F.lower(F.trim(F.col(name)))
-    keyed = batch.withColumn("_key", key)
+    keyed = batch.withColumn("_key", key).withColumn("_sure", F.lit(True) if sure is None else F.coalesce(sure, F.lit(False)))
     have = stored.withColumn("_key", key)
-    known = keyed.join(have.select("_key").distinct(), "_key", "left_semi").groupBy("_key").count()
-    new = keyed.join(have.select("_key").distinct(), "_key", "left_anti").drop("_key")
+    there = have.select("_key").distinct().withColumn("_there", F.lit(True))
+    told = keyed.join(there, "_key", "left").withColumn("_known", F.coalesce("_there", F.lit(False)) & F.col("_sure"))
+    known = told.filter("_known").groupBy("_key").count()
+    new = told.filter("not _known").drop("_key", "_sure", "_there", "_known")
     raised = have.join(known, "_key", "left").withColumn("merged_count", F.col("merged_count") + F.coalesce("count", F.lit(0))).drop("_key", "count")
     return new, raised

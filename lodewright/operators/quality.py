@@ -37,9 +37,10 @@ def name_clarity(name: Column) -> Column:
     return F.when(F.coalesce(name, F.lit("")) == "", 0.0).otherwise(_floor(1.0 - less))
 
 
-def name_consistency(source: Column, name: Column) -> Column:
-    """How many key words of the source the name keeps, as a score."""
-    before, after = names.key_words(source), names.key_words(name)
+def name_consistency(source: Column, name: Column, before: Column | None = None, after: Column | None = None) -> Column:
+    """How many key words of the source the name keeps, as a score; key words may be given."""
+    before = names.key_words(source) if before is None else before
+    after = names.key_words(name) if after is None else after
     kept = F.size(F.filter(before, lambda s: F.exists(after, lambda w: w.contains(s) | s.contains(w))))
     rate = kept / F.size(before)
     score = F.when(rate < 0.3, 0.5).when(rate < 0.5, 0.7).when(rate < 0.7, 0.9).otherwise(1.0)
@@ -47,10 +48,10 @@ def name_consistency(source: Column, name: Column) -> Column:
     return F.when(empty, 0.0).when(F.size(before) == 0, 0.5).otherwise(score)
 
 
-def completeness(name: Column, category: Column, other: str = D.OTHER) -> Column:
+def completeness(name: Column, category: Column, other: str = D.OTHER, after: Column | None = None) -> Column:
     text = F.coalesce(name, F.lit(""))
     less = F.when(text == "", 0.5).otherwise(0.0) + F.when(F.coalesce(category, F.lit("")).isin("", other), 0.3).otherwise(0.0)
-    return _floor(1.0 - less - F.when(F.size(names.key_words(text)) == 0, 0.2).otherwise(0.0))
+    return _floor(1.0 - less - F.when(F.size(names.key_words(text) if after is None else after) == 0, 0.2).otherwise(0.0))
 
 
 def standardisation(name: Column) -> Column:
@@ -61,13 +62,13 @@ def standardisation(name: Column) -> Column:
     return _floor(1.0 - less - F.when(text.startswith("-") | text.endswith("-"), 0.1).otherwise(0.0))
 
 
-def quality_score(source: Column, name: Column, category: Column, ai_confidence: Column, level: Column, other: str = D.OTHER, confirming: dict[str, list[str]] = D.CONFIRMING) -> Column:
+def quality_score(source: Column, name: Column, category: Column, ai_confidence: Column, level: Column, other: str = D.OTHER, confirming: dict[str, list[str]] = D.CONFIRMING, before: Column | None = None, after: Column | None = None) -> Column:
     """Struct of the five parts, the bonus, ``overall`` and ``is_benchmark``."""
     parts = {
         "category": (category_confidence(category, source, confirming, other), 0.20),
         "clarity": (name_clarity(name), 0.25),
-        "consistency": (name_consistency(source, name), 0.20),
-        "completeness": (completeness(name, category, other), 0.15),
+        "consistency": (name_consistency(source, name, before, after), 0.20),
+        "completeness": (completeness(name, category, other, after), 0.15),
         "standardisation": (standardisation(name), 0.20),
     }
     bonus = F.when((level == "ai_enhanced") & (ai_confidence > 0), ai_confidence * 0.1).otherwise(0.0)
@@ -75,6 +76,13 @@ def quality_score(source: Column, name: Column, category: Column, ai_confidence:
     return F.struct(*[c.alias(k) for k, (c, _) in parts.items()], bonus.alias("bonus"), overall.alias("overall"), (overall >= 0.9).alias("is_benchmark"))
 
 
+def with_quality(items: DataFrame, source: str, name: str, category: str, ai_confidence: str, level: str, other: str = D.OTHER, confirming: dict[str, list[str]] = D.CONFIRMING, out: str = "q") -> DataFrame:
+    """``items`` plus the struct of ``quality_score``; key words and parts are computed once per row and kept in columns."""
+    told = items.withColumn("_before", names.key_words(F.col(source))).withColumn("_after", names.key_words(F.col(name)))
+    parts = quality_score(F.col(source), F.col(name), F.col(category), F.col(ai_confidence), F.col(level), other, confirming, F.col("_before"), F.col("_after"))
+    return told.withColumn(out, parts).drop("_before", "_after")
+
+
 @dataclass(frozen=True)
 class Rule:
     """A rule holds a condition over item columns that is true where it is broken."""
@@ -218,11 +226,38 @@ def consistency_metric(items: DataFrame, by: str, name: str, characteristic: str
 
 
 def counterparty_metric(parties: DataFrame, name: str, inn: str, kpp: str, attributes: str) -> DataFrame:
-    """Mean completeness of name, INN, KPP and address or contact, and uniqueness by INN and by name."""
-    reach = validators.has_any(F.col(attributes), validators.ADDRESS_WORDS + validators.CONTACT_WORDS)
-    full = parties.agg(F.count("*").alias("total"), _share(is_filled(F.col(name))).alias("names"), _share(is_filled(F.col(inn))).alias("inns"), _share(is_filled(F.col(kpp))).alias("kpps"), _share(reach).alias("contacts"))
-    value = (F.col("names") + F.col("inns") + F.col("kpps") + F.col("contacts")) / 4
-    return full.withColumn("completeness", value).withColumn("completeness_status", _status(value, 80, 60))
+    """One row. Completeness: the mean share of filled tax numbers, their codes,
+    addresses and contacts (words in the attributes). Uniqueness: the lower of
+    the shares of rows whose tax number, and whose name, occurs once."""
+    address, contact = (validators.has_any(F.col(attributes), w) for w in (validators.ADDRESS_WORDS, validators.CONTACT_WORDS))
+    full = parties.agg(F.count("*").alias("total"), _share(is_filled(F.col(name))).alias("names"), _share(is_filled(F.col(inn))).alias("inns"), _share(is_filled(F.col(kpp))).alias("kpps"), _share(address).alias("addresses"), _share(contact).alias("contacts"))
+    value = (F.col("inns") + F.col("kpps") + F.col("addresses") + F.col("contacts")) / 4
+    told = full.withColumn("completeness", value).withColumn("completeness_status", _status(value, 80, 60))
+    for c, out in ((inn, "again_inn"), (name, "again_name")):
+        again = parties.filter(is_filled(F.col(c))).groupBy(c).agg(F.count("*").alias("n")).filter("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias(out))
+        told = told.crossJoin(again)  # one row each
+    unique = F.when(F.col("total") == 0, 100.0).otherwise((F.col("total") - F.greatest("again_inn", "again_name")) / F.col("total") * 100)
+    return told.withColumn("uniqueness", unique).withColumn("uniqueness_status", _status(unique, 99, 95))
+
+
+def number_issues(parties: DataFrame, ident: str, attributes: str) -> DataFrame:
+    """(ident, issue, severity, value): tax numbers and their codes that stand in the attributes and are wrong."""
+    kinds = [("invalid_inn", "HIGH", validators.extract_inn, validators.valid_inn), ("invalid_kpp", "MEDIUM", validators.extract_kpp, validators.valid_kpp)]
+    found = [(kind, severity, take(F.col(attributes)), good) for kind, severity, take, good in kinds]
+    issues = F.array_compact(F.array(*[F.when(v.isNotNull() & ~good(v), F.struct(F.lit(kind).alias("issue"), F.lit(severity).alias("severity"), v.alias("value"))) for kind, severity, v, good in found]))
+    return parties.select(ident, F.explode(issues).alias("i")).select(ident, "i.*")
+
+
+def upload_metrics(items: DataFrame, by: str, code: str, name: str, characteristic: str) -> DataFrame:
+    """(by, category, value, status): the four metrics of every upload, in rows, and ``overall``, their mean."""
+    kinds = {
+        "completeness": completeness_metric(items, by, code, name, characteristic), "uniqueness": uniqueness_metric(items, by, code),
+        "validity": validity_metric(items, by, code, name), "consistency": consistency_metric(items, by, name, characteristic),
+    }
+    rows = [df.select(by, F.lit(k).alias("category"), "value", "status") for k, df in kinds.items()]
+    each = reduce(lambda a, b: a.unionByName(b), rows)
+    overall = each.groupBy(by).agg(F.avg("value").alias("value"))
+    return each.unionByName(overall.select(by, F.lit("overall").alias("category"), "value", _status(F.col("value"), 90, 70).alias("status")))
 
 
 def validate_before_ingest(name: str = "name", code: str = "code") -> tuple[Column, Column]:

@@ -79,17 +79,106 @@ def stats_with_children(parents: DataFrame, key: str, children: DataFrame, child
 
 
 def best_match(queries: DataFrame, stored: DataFrame, steps: list[list[str]], ident: str, order: list[Column]) -> DataFrame:
-    """For each query the stored row that agrees on all columns of the earliest
-    step possible, the first by ``order``. Each step is an equi-join."""
+    """For each query (query_id and columns) the stored row, other than the one
+    of its own id, that agrees on all columns of the earliest step possible, the
+    first by ``order``. Of each key only the first two stored rows are joined."""
     found = None
     for k, cols in enumerate(steps):
         keys = queries.select(F.col("query_id"), *[F.col(c) for c in cols])
-        hit = stored.join(keys, cols).withColumn("step", F.lit(k + 1))
+        rank = F.row_number().over(Window.partitionBy(*cols).orderBy(*order))
+        first = stored.withColumn("_rank", rank).filter(F.col("_rank") <= 2).drop("_rank")
+        hit = first.join(keys, cols).filter(F.col(ident) != F.col("query_id")).withColumn("step", F.lit(k + 1))
         found = hit if found is None else found.unionByName(hit, allowMissingColumns=True)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("step", *order))
     return found.withColumn("_rank", rank).filter("_rank = 1").select("query_id", "step", F.col(ident).alias("match_id"))
 
 
+def searched(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """Rows of which one of the columns contains the text, in any case."""
+    return df.filter(reduce(lambda a, b: a | b, (F.lower(F.col(c)).contains(text.lower()) for c in columns)))
+
+
+def paged(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """A page of rows, each with ``total``, the number of all."""
+    total = df.agg(F.count("*").alias("total"))
+    return page(df, order, offset, limit).join(F.broadcast(total))  # one row
+
+
+def upload_items(items: DataFrame, upload: int, names: list[str] | None = None, catalog: str = "catalog") -> DataFrame:
+    """Items of an upload, of given catalogs only if ``names`` are."""
+    mine = items.filter(F.col("upload_id") == upload)
+    return mine.filter(F.col(catalog).isin(names)) if names else mine
+
+
+def unclassified(items: DataFrame, keys: list[str], code: str, count: str) -> DataFrame:
+    """Groups without a code, those of the most rows first."""
+    open_ = items.filter(~is_filled(F.col(code), trim=True))
+    return open_.groupBy(*keys).agg(F.max(count).alias("merged_count")).orderBy(F.desc("merged_count"), *keys)
+
+
+def overall_scores(metrics: DataFrame, by: str, value: str) -> DataFrame:
+    """Mean of all metrics per upload."""
+    return metrics.groupBy(by).agg(F.avg(value).alias("overall"), F.count("*").alias("metrics"))
+
+
+def entity_scores(metrics: DataFrame, entity: str, category: str, value: str, at: str, categories: list[str]) -> DataFrame:
+    """Per entity the last value of each category (0 if none) and the mean of those above 0."""
+    last = [F.coalesce(F.max_by(F.when(F.col(category) == c, F.col(value)), F.when(F.col(category) == c, F.col(at))), F.lit(0.0)).alias(c) for c in categories]
+    told = metrics.groupBy(entity).agg(*last)
+    good = F.filter(F.array(*categories), lambda x: x > 0)
+    return told.withColumn("overall", F.when(F.size(good) > 0, F.aggregate(good, F.lit(0.0), lambda a, x: a + x) / F.size(good)).otherwise(0.0))
+
+
+def totals(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row: the number of rows of each table."""
+    counts = [df.agg(F.count("*").alias(name)) for name, df in tables.items()]
+    return reduce(lambda a, b: a.crossJoin(b), counts)  # rows of one number each
+
+
+def counters(events: DataFrame, kind: str, value: str) -> DataFrame:
+    """Per kind of event: number, mean, least and most, and its share of all in percent."""
+    told = events.groupBy(kind).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return told.withColumn("share", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
+
+
+def enriched(groups: DataFrame, ids: str, tables: list[DataFrame]) -> DataFrame:
+    """Members of groups (group_id, an array of ids) with the name and code of
+    the first of ``tables`` (id, name, code) that has the id; null where none has."""
+    each = groups.select("group_id", F.explode(ids).alias("id"))
+    for k, t in enumerate(tables):
+        each = each.join(t.select("id", F.struct("name", "code", F.lit(k).alias("table")).alias(f"_{k}")), "id", "left")
+    first = F.coalesce(*[F.col(f"_{k}") for k in range(len(tables))])
+    return each.select("group_id", "id", first["name"].alias("name"), first["code"].alias("code"), first["table"].alias("table"))
+
+
+def classification_counts(items: DataFrame, levels: list[str], confidence: str, strategy: str) -> DataFrame:
+    """Per strategy and in all (strategy null): items, distinct filled values of each level, mean confidence."""
+    per = [F.countDistinct(F.when(F.col(c) != "", F.col(c))).alias(f"distinct_{c}") for c in levels]
+    told = [F.count("*").alias("items"), *per, F.avg(confidence).alias("avg_confidence")]
+    return items.groupBy(strategy).agg(*told).unionByName(items.agg(*told).withColumn(strategy, F.lit(None).cast("string")))
+
+
+def set_status(rows: DataFrame, ident: str, done: DataFrame, status: str, at: Column, by: str) -> DataFrame:
+    """``rows`` (status, resolved_at, resolved_by, …) of which those that ``done``
+    (ident) names are set to ``status``; rows that have it already stay as they are."""
+    told = rows.join(done.select(ident).distinct().withColumn("_hit", F.lit(True)), ident, "left")
+    hit = F.coalesce("_hit", F.lit(False)) & ~F.col("status").eqNullSafe(F.lit(status))
+    new = {"status": F.lit(status), "resolved_at": at, "resolved_by": F.lit(by)}
+    return told.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in new.items()}).drop("_hit")
+
+
+def html_report(df: DataFrame, columns: list[str], title: str) -> DataFrame:
+    """(line): a table in HTML, a line per row, values escaped; for reports of a bounded size."""
+    from lodewright.functions.answers import xml_escaped
+
+    cell = lambda c: F.concat(F.lit("<td>"), xml_escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>"))
+    spark = df.sparkSession
+    heads = "".join(f"<th>{c}</th>" for c in columns)
+    head = spark.createDataFrame([(f"<html><head><meta charset=\"utf-8\"><title>{title}</title></head><body><table><tr>{heads}</tr>",)], "line string")
+    tail = spark.createDataFrame([("</table></body></html>",)], "line string")
+    return head.union(df.select(F.concat(F.lit("<tr>"), *[cell(c) for c in columns], F.lit("</tr>")).alias("line"))).union(tail)
+
+
 def benchmark_lookup(names: DataFrame, name: str, benchmarks: DataFrame) -> DataFrame:
     """Best approved benchmark (id, original_name, normalized_name, quality, usage)
     whose original or normalised name equals ``name``; an OR-join as two equi-joins."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +14,13 @@ def latest_per(df: DataFrame, keys: list[str], order: list[Column], n: int = 1)
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Stored rows replaced by new ones of equal key; of new rows with one key the highest ``seq`` wins."""
-    both = stored.withColumn("seq", F.lit(-1).cast("long")).unionByName(new.withColumn("seq", F.col("seq").cast("long")))
-    return latest_per(both, keys, [F.desc("seq")]).drop("seq")
+def upsert(stored: DataFrame, new: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
+    """Of stored and new rows of one key the one with the highest ``seq``, in
+    whatever order batches arrive. Both tables carry it; of equal ``seq`` the new
+    row wins, of new rows the one whose other columns come last in order."""
+    rest = sorted(c for c in stored.columns if c not in (*keys, seq))
+    both = stored.withColumn("_new", F.lit(0)).unionByName(new.select(*stored.columns).withColumn("_new", F.lit(1)))
+    return latest_per(both, keys, [F.desc(seq), F.desc("_new"), *[F.desc(c) for c in rest]]).drop("_new")
 
 
 def insert_missing(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,3 +64,44 @@ def stage_state(stages: DataFrame, item: str, stage: str, output: str, upto: int
     """The current name of each item: the output of its last stage, or of the last up to ``upto`` after a revert."""
     kept = stages if upto is None else stages.filter(F.col(stage) <= upto)
     return kept.groupBy(item).agg(F.max_by(output, stage).alias("current_name"), F.max(stage).alias("last_stage"), F.count("*").alias("stages"))
+
+
+def keep_recent(df: DataFrame, at: str, as_of: Column, days: int) -> DataFrame:
+    """Rows that are at most ``days`` days older than ``as_of``."""
+    return df.filter(F.col(at) >= as_of - F.make_dt_interval(F.lit(days)))
+
+
+def members_of(snapshot: DataFrame, uploads: DataFrame, upload: str = "upload_id", order: str = "upload_order") -> DataFrame:
+    """The uploads of a snapshot (its id, upload, order) with their own columns."""
+    return snapshot.join(uploads, upload).orderBy(order)
+
+
+def change_counts(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
+    """(added, updated, removed, unchanged): one row over two versions of a table with unique keys."""
+    a, b = before.select(key, F.col(value).alias("_a"), F.lit(1).alias("_old")), after.select(key, F.col(value).alias("_b"), F.lit(1).alias("_new"))
+    n = lambda c: F.count(F.when(c, 1))
+    both = F.col("_old").isNotNull() & F.col("_new").isNotNull()
+    same = F.col("_a").eqNullSafe(F.col("_b"))
+    return a.join(b, key, "full").agg(n(F.col("_old").isNull()).alias("added"), n(both & ~same).alias("updated"), n(F.col("_new").isNull()).alias("removed"), n(both & same).alias("unchanged"))
+
+
+def start_session(items: DataFrame, item: str, name: str) -> DataFrame:
+    """The stage table (item, stage, kind, input, output) of a session: each item's name as stage 0."""
+    return items.select(F.col(item).alias("item"), F.lit(0).alias("stage"), F.lit("start").alias("kind"), F.col(name).alias("input"), F.col(name).alias("output"))
+
+
+def apply_stage(stages: DataFrame, kind: str, change: Callable[[Column], Column]) -> DataFrame:
+    """``stages`` plus one more per item: ``change`` of its last output."""
+    last = stages.groupBy("item").agg(F.max("stage").alias("stage"), F.max_by("output", "stage").alias("input"))
+    return stages.unionByName(last.select("item", (F.col("stage") + 1).alias("stage"), F.lit(kind).alias("kind"), "input", change(F.col("input")).alias("output")))
+
+
+def revert(stages: DataFrame, upto: int) -> DataFrame:
+    """``stages`` without those after ``upto``."""
+    return stages.filter(F.col("stage") <= upto)
+
+
+def complete_session(stages: DataFrame) -> DataFrame:
+    """(item, original, final, stages, changed): what a session made of each item."""
+    told = stages.groupBy("item").agg(F.min_by("output", "stage").alias("original"), F.max_by("output", "stage").alias("final"), F.count("*").alias("stages"))
+    return told.withColumn("changed", ~F.col("original").eqNullSafe(F.col("final")))

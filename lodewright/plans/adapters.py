@@ -100,3 +100,59 @@ def severity(v: Column) -> Column:
 
 METRICS = """metrics AS (SELECT event_id AS id, user_id AS database_id, event_type AS category, value, ts AS measured_at,
   CASE WHEN value >= 40 THEN 'CRITICAL' WHEN value >= 20 THEN 'HIGH' WHEN value >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM events)"""
+
+
+_NOUNS = ["болт", "винт", "гайка", "кабель", "bolt", "gear", "widget", "valve", "насос", "труба", "filter", "pump"]
+_ADJECTIVES = ["красный", "синий", "red", "steel", "медный", "large", "small", "гибкий", "flat"]
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, code, name): as many distinct names as parts, in fives: a name in
+    Cyrillic and Latin words, one with a character lost, one with its first two
+    letters swapped, one with its words in another order, and one of other
+    things with the same words. A third of all names share a word."""
+    k = F.col("p_partkey")
+    pick = lambda words, i: F.element_at(F.array(*map(F.lit, words)), (i % len(words) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), (k % 5).alias("v"), F.floor(k / 5).cast("long").alias("q")).withColumn("h", F.md5(F.col("q").cast("string").cast("binary")))
+    rows = rows.withColumns({"noun": pick(_NOUNS, F.col("q")), "adj": pick(_ADJECTIVES, F.floor(F.col("q") / 12)), "tail": F.when(F.col("q") % 3 == 0, " опт").otherwise("")})
+    rows = rows.withColumn("base", F.concat("noun", F.lit(" "), "adj", F.lit(" "), F.substring("h", 1, 12), "tail"))
+    at = (F.lit(2) + F.col("q") % 5).cast("int")
+    name = (
+        F.when(F.col("v") == 1, F.concat(F.substring(F.col("base"), F.lit(1), at - 1), F.expr("substring(base, cast(3 + q % 5 as int))")))
+        .when(F.col("v") == 2, F.concat(F.substring("base", 2, 1), F.substring("base", 1, 1), F.expr("substring(base, 3)")))
+        .when(F.col("v") == 3, F.concat("adj", F.lit(" "), "noun", F.lit(" "), F.substring("h", 1, 12), "tail"))
+        .when(F.col("v") == 4, F.concat("noun", F.lit(" "), "adj", F.lit(" "), F.substring("h", 13, 12), "tail"))
+        .otherwise(F.col("base"))
+    )
+    code = F.when(F.col("id") % 11 == 0, "").when(F.col("id") % 7 == 0, F.concat(F.lit("X"), F.floor(F.col("id") / 14).cast("string"))).otherwise(F.concat(F.lit("K"), F.col("id").cast("string")))
+    return rows.select("id", code.alias("code"), name.alias("name"))
+
+
+def _listed(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+CATALOG = f"""fives AS (SELECT p_partkey AS id, p_partkey % 5 AS v, p_partkey // 5 AS q, md5((p_partkey // 5)::VARCHAR) AS h FROM part),
+  worded AS (SELECT *, {_listed(_NOUNS)}[(q % 12 + 1)::INT] AS noun, {_listed(_ADJECTIVES)}[((q // 12) % 9 + 1)::INT] AS adj, CASE WHEN q % 3 = 0 THEN ' опт' ELSE '' END AS tail FROM fives),
+  based AS (SELECT *, noun || ' ' || adj || ' ' || substr(h, 1, 12) || tail AS base FROM worded),
+  catalog AS (SELECT id, CASE WHEN id % 11 = 0 THEN '' WHEN id % 7 = 0 THEN 'X' || (id // 14) ELSE 'K' || id END AS code,
+    CASE v WHEN 1 THEN substr(base, 1, (1 + q % 5)::INT) || substr(base, (3 + q % 5)::INT) WHEN 2 THEN substr(base, 2, 1) || substr(base, 1, 1) || substr(base, 3)
+      WHEN 3 THEN adj || ' ' || noun || ' ' || substr(h, 1, 12) || tail WHEN 4 THEN noun || ' ' || adj || ' ' || substr(h, 13, 12) || tail ELSE base END AS name FROM based)"""
+
+#: Names as they stand in Russian catalogs; each rule, category and detector meets some.
+SAMPLES = [
+    "Болт М10х50 оцинкованный", "Кабель ВВГнг 3х2.5 черный", "Samsung Galaxy S21 Ultra телефон", "ПАНЕЛЬ СЭНДВИЧ 100х2000 isowall", "ER-00013004 датчик давления 10 бар",
+    "Молоток   слесарный 500г", "НАСОС насос циркуляционный", "Гайка гайка М8 #5", "Ноутбук Lenovo IdeaPad 3", "Услуга монтаж оборудования", "Труба стальная 57x3 мм",
+    "Ключ гаечный 10мм Bosch", "АБВГ-12345 Фильтр масляный", "краска белая 2.5 л", "№ 15 Шайба пружинная", "Стол пи... деревянный", "Ремонт и обслуживание насосов",
+    "молоко сыр хлеб", "Преобразователь давления MBS 3000", "фасонные элементы из стали", "Подшипник 6205-2RS", "Код: 123 лопата", "Ёлочная игрушка йод", "wbc00z0002 панель 1200x1000 белый",
+]
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, name): parts under Russian names, some with a size or an article behind."""
+    k = F.col("p_partkey")
+    tail = F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(F.lit(" "), (k % 50).cast("string"), F.lit("мм"))).otherwise(F.concat(F.lit(" арт. "), k.cast("string")))
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.concat(F.element_at(F.array(*map(F.lit, SAMPLES)), (k % len(SAMPLES) + 1).cast("int")), tail).alias("name"))
+
+
+RUSSIAN = f"""samples AS (SELECT p_partkey AS id, {_listed(SAMPLES)}[(p_partkey % {len(SAMPLES)} + 1)::INT] || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' || (p_partkey % 50) || 'мм' ELSE ' арт. ' || p_partkey END AS name FROM part)"""

@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewright.functions import answers, dictionaries, names, parsing, patterns, validators
 from lodewright.functions.text import ascii_edges
 from lodewright.operators import classify, dedup, quality, reports, snapshots
 
+from . import cyrillic, duplicates, workflows  # noqa: F401  they register their queries
 from .adapters import ITEMS, LINES, METRICS, NORMALIZED, items, lines, metrics, normalized, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its DuckDB equivalent."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from .base import ORACLES, QUERIES, query  # noqa: F401
 
 # ---------------------------------------------------------------- names
 
@@ -67,10 +50,10 @@ def attr_units(spark, d):
 
 def _pattern_sql(kind: str) -> str:
     p = next(p for p in patterns.PATTERNS if p.kind == kind)
-    return f"SELECT id, category, '{kind}' AS type, '{p.severity}' AS severity, len(regexp_extract_all(name, '{p.regex}')) AS n FROM items"
+    return f"SELECT id, category, '{kind}' AS type, '{p.severity}' AS severity, len(regexp_extract_all(name, '{p.regex.replace("(?iu)", "(?i)")}')) AS n FROM items"
 
 
-_COMPARED = ["technical_code", "dimension", "extra_spaces", "special_chars", "duplicate_words", "numbers_in_name", "prefix_suffix", "incomplete_word"]
+_COMPARED = [p.kind for p in patterns.PATTERNS]
 _PATTERNS_SQL = f"{ITEMS}, matches AS ({' UNION ALL '.join(map(_pattern_sql, _COMPARED))})"
 
 
@@ -110,9 +93,9 @@ def name_tokens(spark, d):
 
 
 @query(f"""WITH {ITEMS} SELECT id, md5(concat('exact-', '[', id, ']')) AS hash, sha256(name) AS cache_key,
-  replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS xml FROM items""")
+  replace(replace(replace(replace(replace(concat(name, ' <"&''>'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '\'\'', '&apos;') AS xml FROM items""")
 def name_hashes(spark, d):
-    escaped = F.replace(F.replace(F.replace(F.col("name"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    escaped = answers.xml_escaped(F.concat("name", F.lit(" <\"&'>")))
     return items(spark, d).select("id", dedup.group_hash("exact", F.array("id")).alias("hash"), F.sha2("name", 256).alias("cache_key"), escaped.alias("xml"))
 
 
@@ -194,12 +177,49 @@ def dup_codes_having(spark, d):
     return lines(spark, d).filter("code <> ''").groupBy("upload_id", "code").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@query("""SELECT count(*) AS total, count(*) * 100.0 / count(*) AS names, round(count(*) FILTER (c_acctbal > 0) * 100.0 / count(*), 6) AS inns,
-  round((100.0 + count(*) FILTER (c_acctbal > 0) * 100.0 / count(*) + 100.0) / 4, 6) AS completeness FROM customer""")
+_PARTY = """CASE c_custkey % 4 WHEN 0 THEN 'INN 77' || lpad((c_custkey % 600)::VARCHAR, 8, '0') || ' KPP ' || lpad(c_custkey::VARCHAR, 9, '0') || ' address ' || c_nationkey WHEN 1 THEN 'phone ' || c_phone WHEN 2 THEN 'inn: ' || lpad((c_custkey * 7919)::VARCHAR, 12, '5') ELSE NULL END"""
+
+
+def _parties(spark, d):
+    k = F.col("c_custkey")
+    text = (
+        F.when(k % 4 == 0, F.concat(F.lit("INN 77"), F.lpad((k % 600).cast("string"), 8, "0"), F.lit(" KPP "), F.lpad(k.cast("string"), 9, "0"), F.lit(" address "), "c_nationkey"))
+        .when(k % 4 == 1, F.lit("phone 5")).when(k % 4 == 2, F.concat(F.lit("inn: "), F.lpad((k * 7919).cast("string"), 12, "5")))
+    )
+    rows = table(spark, d, "customer").select(k.alias("id"), F.concat(F.lit("party "), (k % 900).cast("string")).alias("name"), text.alias("attributes"))
+    return rows.withColumn("inn", validators.extract_inn(F.col("attributes"))).withColumn("kpp", validators.extract_kpp(F.col("attributes")))
+
+
+_PARTIES = f"""t AS (SELECT c_custkey AS id, 'party ' || (c_custkey % 900) AS name, {_PARTY.replace("'phone ' || c_phone", "'phone 5'")} AS a FROM customer),
+  parties AS (SELECT id, name, a, coalesce(nullif(regexp_extract(a, '(?i)(?:инн|inn)[\\s:]*(\\d{{10,12}})', 1), ''), nullif(regexp_extract(a, '(\\d{{10}}|\\d{{12}})', 1), '')) AS inn,
+    coalesce(nullif(regexp_extract(a, '(?i)(?:кпп|kpp)[\\s:]*(\\d{{9}})', 1), ''), nullif(regexp_extract(a, '(\\d{{9}})', 1), '')) AS kpp FROM t)"""
+
+
+@query(f"""WITH {_PARTIES}, s AS (SELECT count(*) AS total, count(inn) * 100.0 / count(*) AS inns, count(kpp) * 100.0 / count(*) AS kpps, count(*) FILTER (contains(a, 'address')) * 100.0 / count(*) AS addresses,
+    count(*) FILTER (contains(a, 'phone')) * 100.0 / count(*) AS contacts FROM parties), i AS (SELECT coalesce(sum(n), 0) AS n FROM (SELECT count(*) AS n FROM parties WHERE inn IS NOT NULL GROUP BY inn HAVING count(*) > 1)),
+  m AS (SELECT coalesce(sum(n), 0) AS n FROM (SELECT count(*) AS n FROM parties GROUP BY name HAVING count(*) > 1)), u AS (SELECT *, (total - greatest(i.n, m.n)) * 100.0 / total AS u FROM s, i, m)
+  SELECT total, round(inns, 6) AS inns, round(kpps, 6) AS kpps, round((inns + kpps + addresses + contacts) / 4, 6) AS completeness, round(u::DOUBLE, 6) AS uniqueness, CASE WHEN u >= 99 THEN 'PASS' WHEN u >= 95 THEN 'WARNING' ELSE 'FAIL' END AS uniqueness_status FROM u""")
 def counterparty_metrics(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_name").alias("name"), F.when(F.col("c_acctbal") > 0, F.lit("7707083893")).alias("inn"), F.lit("").alias("kpp"), F.lit("address x").alias("attributes"))
-    m = quality.counterparty_metric(c, "name", "inn", "kpp", "attributes")
-    return m.select("total", "names", F.round("inns", 6).alias("inns"), F.round("completeness", 6).alias("completeness"))
+    m = quality.counterparty_metric(_parties(spark, d), "name", "inn", "kpp", "attributes")
+    return m.select("total", *[F.round(c, 6).alias(c) for c in ("inns", "kpps", "completeness", "uniqueness")], "uniqueness_status")
+
+
+@query(f"""WITH {_PARTIES}, v AS (SELECT id, inn, CASE strlen(inn) WHEN 10 THEN list_sum(list_transform([2,4,10,3,5,9,4,6,8], lambda w, i: w * inn[i]::INT)) % 11 % 10 = inn[10]::INT
+    WHEN 12 THEN list_sum(list_transform([7,2,4,10,3,5,9,4,6,8], lambda w, i: w * inn[i]::INT)) % 11 % 10 = inn[11]::INT AND list_sum(list_transform([3,7,2,4,10,3,5,9,4,6,8], lambda w, i: w * inn[i]::INT)) % 11 % 10 = inn[12]::INT ELSE false END AS good FROM parties WHERE inn IS NOT NULL)
+  SELECT id, 'invalid_inn' AS issue, 'HIGH' AS severity, inn AS value FROM v WHERE NOT good""")
+def number_issues(spark, d):
+    """Wrong tax numbers by row."""
+    return quality.number_issues(_parties(spark, d).select("id", "attributes"), "id", "attributes")
+
+
+@query(f"""WITH {LINES}, c AS (SELECT upload_id, code, count(*) AS n FROM lines GROUP BY ALL), d AS (SELECT upload_id, (sum(n) - coalesce(sum(n) FILTER (n > 1), 0)) * 100.0 / sum(n) AS u FROM c GROUP BY 1),
+  s AS (SELECT upload_id, (count(code) + count(name)) * 50.0 / count(*) AS f, greatest(0, (count(code) + count(name) - count(*)) * 100.0 / count(*)) AS v, count(*) FILTER ((name IS NULL) = (characteristic IS NULL)) * 100.0 / count(*) AS k FROM lines GROUP BY 1),
+  m AS (SELECT upload_id, unnest(['completeness', 'uniqueness', 'validity', 'consistency', 'overall']) AS category, unnest([f, u, v, k, (f + u + v + k) / 4]) AS value FROM s JOIN d USING (upload_id))
+  SELECT upload_id, category, round(value::DOUBLE, 6) AS value FROM m""")
+def upload_metrics(spark, d):
+    """All metrics of all uploads, and their mean."""
+    m = quality.upload_metrics(lines(spark, d), "upload_id", "code", "name", "characteristic")
+    return m.select("upload_id", "category", F.round("value", 6).alias("value"))
 
 
 _CATEGORIES = ["view", "click", "purchase", "error"]
@@ -271,10 +291,23 @@ def name_clarity(spark, d):
     return n.select("id", quality.standardisation(F.col("normalized_name")).alias("standard"), quality.name_clarity(F.col("normalized_name")).alias("clarity"))
 
 
-@query()
+_SCORES = f"""k AS (SELECT *, list_filter(list_transform(string_split(trim(regexp_replace(lower(name), '\\\\s+', ' ', 'g')), ' '), lambda w: trim(w, '.,!?;:-"''')), lambda w: strlen(w) >= 3 AND NOT list_contains({dictionaries.STOP_KEYWORDS}, w) AND NOT regexp_matches(w, '^[0-9.,]+$')) AS before, list_filter(list_transform(string_split(trim(regexp_replace(lower(normalized_name), '\\\\s+', ' ', 'g')), ' '), lambda w: trim(w, '.,!?;:-"''')), lambda w: strlen(w) >= 3 AND NOT list_contains({dictionaries.STOP_KEYWORDS}, w) AND NOT regexp_matches(w, '^[0-9.,]+$')) AS after FROM normalized),
+  c AS (SELECT *, CASE WHEN group_category = 'other' THEN 0.3 WHEN group_category = 'rings' THEN CASE WHEN contains(lower(name), 'ring') THEN 0.95 ELSE 0.6 END ELSE 0.7 END AS category_,
+    CASE WHEN normalized_name = '' THEN 0.0 ELSE greatest(0.0, 1.0 - CASE WHEN length(normalized_name) < 3 THEN 0.5 WHEN length(normalized_name) < 10 THEN 0.2 WHEN length(normalized_name) > 100 THEN 0.3 WHEN length(normalized_name) > 50 THEN 0.1 ELSE 0 END
+      - CASE WHEN length(regexp_replace(normalized_name, '[^0-9]', '', 'g')) / length(normalized_name) > 0.4 THEN 0.2 ELSE 0 END
+      - CASE WHEN length(regexp_replace(normalized_name, '[a-z0-9\\s]', '', 'g')) / length(normalized_name) > 0.05 THEN 0.3 ELSE 0 END - CASE WHEN NOT regexp_matches(normalized_name, '[a-z]') THEN 0.5 ELSE 0 END) END AS clarity,
+    len(list_filter(before, lambda s: len(list_filter(after, lambda w: contains(w, s) OR contains(s, w))) > 0)) / nullif(len(before), 0) AS kept FROM k),
+  q AS (SELECT id, kpved_code, kpved_confidence, ai_reasoning, processing_level, category_ AS category, clarity, CASE WHEN normalized_name = '' THEN 0.0 WHEN kept IS NULL THEN 0.5 WHEN kept < 0.3 THEN 0.5 WHEN kept < 0.5 THEN 0.7 WHEN kept < 0.7 THEN 0.9 ELSE 1.0 END AS consistency,
+    greatest(0.0, 1.0 - CASE WHEN normalized_name = '' THEN 0.5 ELSE 0 END - CASE WHEN group_category = 'other' THEN 0.3 ELSE 0 END - CASE WHEN len(after) = 0 THEN 0.2 ELSE 0 END) AS completeness,
+    1.0 AS standardisation, CASE WHEN processing_level = 'ai_enhanced' AND ai_confidence > 0 THEN ai_confidence * 0.1 ELSE 0.0 END AS bonus FROM c)"""
+
+
+@query(f"""WITH {NORMALIZED}, {_SCORES}, o AS (SELECT *, least(1.0, category * 0.2 + clarity * 0.25 + consistency * 0.2 + completeness * 0.15 + standardisation * 0.2 + bonus)::DOUBLE AS overall FROM q)
+  SELECT id, round(category::DOUBLE, 6) AS category, round(clarity::DOUBLE, 6) AS clarity, round(consistency::DOUBLE, 6) AS consistency, round(completeness::DOUBLE, 6) AS completeness, round(standardisation::DOUBLE, 6) AS standardisation,
+  round(bonus::DOUBLE, 6) AS bonus, round(overall, 6) AS overall, overall >= 0.9 AS is_benchmark FROM o""")
 def quality_score(spark, d):
-    """The weighted score with all its parts (its key-word comparison is tested on literals)."""
-    q = normalized(spark, d).select("id", quality.quality_score(F.col("name"), F.col("normalized_name"), F.col("group_category"), F.col("ai_confidence"), F.col("processing_level"), "other", {"rings": ["ring"]}).alias("q"))
+    """The weighted score with all its parts."""
+    q = quality.with_quality(normalized(spark, d), "name", "normalized_name", "group_category", "ai_confidence", "processing_level", "other", {"rings": ["ring"]})
     return q.select("id", *[F.round(f"q.{c}", 6).alias(c) for c in ("category", "clarity", "consistency", "completeness", "standardisation", "bonus", "overall")], "q.is_benchmark")
 
 
@@ -287,10 +320,12 @@ def extended_parts(spark, d):
     return n.select("id", F.round(accuracy, 6).alias("accuracy"), F.round(quality.data_enrichment(F.col("ai_reasoning"), F.col("kpved_code"), F.col("processing_level")), 6).alias("enrichment"))
 
 
-@query()
+@query(f"""WITH {NORMALIZED}, {_SCORES} SELECT id, round(least(1.0, category * 0.15 + clarity * 0.2 + consistency * 0.15 + completeness * 0.1 + standardisation * 0.15
+  + CASE WHEN kpved_code = '' THEN 0 ELSE 0.4 + CASE WHEN kpved_code = '46.90.10' THEN 0.3 ELSE 0 END + kpved_confidence * 0.3 END * 0.15 + CASE WHEN id % 9 = 0 THEN 0 ELSE 0.05 END
+  + least(1.0, CASE WHEN strlen(ai_reasoning) > 10 THEN 0.4 ELSE 0 END + CASE WHEN kpved_code <> '' THEN 0.3 ELSE 0 END + CASE processing_level WHEN 'benchmark' THEN 0.3 WHEN 'ai_enhanced' THEN 0.2 ELSE 0 END) * 0.05 + bonus)::DOUBLE, 6) AS overall FROM q""")
 def extended_quality_score(spark, d):
     """The score over eight parts."""
-    n = normalized(spark, d).withColumn("q", quality.quality_score(F.col("name"), F.col("normalized_name"), F.col("group_category"), F.col("ai_confidence"), F.col("processing_level"), "other", {"rings": ["ring"]}))
+    n = quality.with_quality(normalized(spark, d), "name", "normalized_name", "group_category", "ai_confidence", "processing_level", "other", {"rings": ["ring"]})
     score = quality.extended_score(F.col("q"), quality.kpved_accuracy(F.col("kpved_code"), F.col("kpved_confidence")), F.col("id") % 9 == 0, quality.data_enrichment(F.col("ai_reasoning"), F.col("kpved_code"), F.col("processing_level")))
     return n.select("id", F.round(score, 6).alias("overall"))
 
@@ -428,42 +463,6 @@ def exact_dups(spark, d):
     return dedup.exact_groups(items(spark, d), "code")
 
 
-def _names(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
-
-
-_NAMES = "n AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY 1)"
-_WORDS = f"{_NAMES}, w AS (SELECT id, unnest(string_split(lower(name), ' ')) AS word FROM n), s AS (SELECT id, count(*) AS k FROM w GROUP BY 1)"
-
-
-@query(f"""WITH {_NAMES} SELECT x.id AS a, y.id AS b, round(1 - levenshtein(lower(x.name), lower(y.name)) / greatest(strlen(x.name), strlen(y.name)), 6) AS score FROM n x JOIN n y ON x.id < y.id
-  AND (x.name[1] = y.name[1])::INT + (x.name[2] = y.name[2])::INT + (x.name[3] = y.name[3])::INT >= 2 WHERE round(1 - levenshtein(lower(x.name), lower(y.name)) / greatest(strlen(x.name), strlen(y.name)), 9) >= 0.6""")
-def fuzzy_pairs(spark, d):
-    return dedup.fuzzy_pairs(_names(spark, d), threshold=0.6).select("a", "b", F.round("score", 6).alias("score"))
-
-
-@query(f"""WITH {_WORDS} SELECT x.id AS a, y.id AS b, count(*) AS common, round(count(*) / (any_value(p.k) + any_value(q.k) - count(*)), 6) AS score
-  FROM w x JOIN w y ON x.word = y.word AND x.id < y.id JOIN s p ON p.id = x.id JOIN s q ON q.id = y.id GROUP BY ALL""")
-def word_overlap_pairs(spark, d):
-    return dedup.word_overlap_pairs(_names(spark, d), names.tokens(F.col("name"))).select("a", "b", F.col("common").cast("long").alias("common"), F.round("score", 6).alias("score"))
-
-
-@query(f"""WITH {_WORDS}, t AS (SELECT count(*) AS n FROM n), f AS (SELECT word, count(DISTINCT id) AS df FROM w GROUP BY 1),
-  v AS (SELECT id, word, count(*) / any_value(k) * ln((SELECT n FROM t) / any_value(df)) AS x FROM w JOIN s USING (id) JOIN f USING (word) GROUP BY ALL),
-  m AS (SELECT id, sqrt(sum(x * x)) AS norm FROM v GROUP BY 1)
-  SELECT p.id AS a, q.id AS b, round(sum(p.x * q.x) / any_value(g.norm * h.norm), 6) AS score FROM v p JOIN v q ON p.word = q.word AND p.id < q.id JOIN m g ON g.id = p.id JOIN m h ON h.id = q.id
-  GROUP BY ALL HAVING round(sum(p.x * q.x) / any_value(g.norm * h.norm), 9) >= 0.4""")
-def tfidf_pairs(spark, d):
-    vectors = dedup.tfidf(_names(spark, d), names.tokens(F.col("name")))
-    return dedup.cosine_pairs(vectors, 0.4).select("a", "b", F.round("score", 6).alias("score"))
-
-
-@query()
-def dup_components(spark, d):
-    """Groups by all detectors, merged (an iterative algorithm)."""
-    return dedup.duplicate_groups(items(spark, d).select("id", "code", "name"), 0.85)
-
-
 @query(f"""WITH {NORMALIZED}, s AS (SELECT id, normalized_name, ai_confidence * 40.0 + 10.0 + CASE processing_level WHEN 'ai_enhanced' THEN 20.0 WHEN 'benchmark' THEN 30.0 ELSE 0.0 END + least(length(normalized_name) / 2.0, 10.0) AS score FROM normalized)
   SELECT normalized_name AS group_id, arg_max(id, round(score, 9) * 1000000000 - id) AS master_id, count(*) AS size FROM s GROUP BY 1""")
 def master_record(spark, d):
@@ -471,13 +470,13 @@ def master_record(spark, d):
     return dedup.masters(normalized(spark, d).withColumn("group_id", F.col("normalized_name")), score).select("group_id", "master_id", "size")
 
 
-@query(f"""WITH {NORMALIZED} SELECT n.normalized_name, n.merged_count + b.more AS merged_count FROM (SELECT normalized_name, 1 AS merged_count FROM normalized WHERE id < 100 GROUP BY 1) n
-  JOIN (SELECT normalized_name, count(*) AS more FROM normalized WHERE id >= 100 GROUP BY 1) b USING (normalized_name)""")
+@query(f"""WITH {NORMALIZED} SELECT n.normalized_name, n.merged_count + b.more AS merged_count FROM (SELECT normalized_name, 1 AS merged_count FROM normalized WHERE id % 10 = 0 GROUP BY 1) n
+  JOIN (SELECT normalized_name, count(*) AS more FROM normalized WHERE id % 10 <> 0 AND ai_confidence >= 0.5 GROUP BY 1) b USING (normalized_name)""")
 def batch_filter(spark, d):
-    """Stored groups whose count rises when a batch meets them."""
+    """Stored groups (a tenth of the items) whose count rises when a batch of confident rows (the others) meets them."""
     n = normalized(spark, d)
-    stored = n.filter("id < 100").groupBy("normalized_name").agg(F.lit(1).cast("long").alias("merged_count"))
-    _, raised = dedup.drop_known(n.filter("id >= 100").select("id", "normalized_name"), stored)
+    stored = n.filter("id % 10 = 0").groupBy("normalized_name").agg(F.lit(1).cast("long").alias("merged_count"))
+    _, raised = dedup.drop_known(n.filter("id % 10 <> 0").select("id", "normalized_name", "ai_confidence"), stored, sure=F.col("ai_confidence") >= 0.5)
     return raised.filter("merged_count > 1")
 
 
@@ -525,14 +524,13 @@ def stage_revert(spark, d):
     return snapshots.stage_state(one, "item", "stage", "output", upto=3)
 
 
-@query("""SELECT o_custkey AS code, arg_max(o_orderkey, o_orderkey) AS reference FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey AS code, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS reference, max(o_orderdate)::DATE::VARCHAR AS seq FROM orders GROUP BY 1""")
 def upsert_last_wins(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("code"), F.col("o_orderkey").alias("reference"))
-    old, new = o.filter("reference % 2 = 0"), o.filter("reference % 2 = 1")
-    first = snapshots.upsert(o.limit(0), old.withColumn("seq", F.col("reference")), ["code"])
-    both = snapshots.upsert(first, new.withColumn("seq", F.col("reference")), ["code"])
-    late = first.withColumnRenamed("reference", "r").join(both, "code").select("code", F.greatest("r", "reference").alias("reference"))
-    return late.unionByName(both.join(late, "code", "left_anti"))
+    """Two batches that overlap in time, the later one first; the row of the highest ``seq`` stays."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("code"), F.col("o_orderkey").alias("reference"), F.struct(F.to_date("o_orderdate").alias("day"), F.col("o_orderkey").alias("at")).alias("seq"))
+    first = snapshots.upsert(o.limit(0), o.filter("reference % 2 = 1"), ["code"])
+    both = snapshots.upsert(first, o.filter("reference % 2 = 0"), ["code"])
+    return both.select("code", "reference", F.col("seq.day").cast("string").alias("seq"))
 
 
 @query("SELECT o_orderkey AS id FROM orders ORDER BY o_orderkey DESC LIMIT 1000")
@@ -561,15 +559,17 @@ def benchmark_lookup(spark, d):
     return reports.benchmark_lookup(n, "name", b)
 
 
-@query("""WITH q AS (SELECT o_orderkey AS query_id, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey < 500), s AS (SELECT * FROM orders WHERE o_orderkey >= 500),
-  m AS (SELECT query_id, 1 AS step, o_orderkey, o_orderdate FROM q JOIN s USING (o_custkey, o_orderstatus, o_orderpriority) UNION ALL
-        SELECT query_id, 2, o_orderkey, o_orderdate FROM q JOIN s USING (o_custkey, o_orderstatus) UNION ALL SELECT query_id, 3, o_orderkey, o_orderdate FROM q JOIN s USING (o_custkey))
-  SELECT query_id, step, o_orderkey AS match_id FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY step, o_orderdate DESC, o_orderkey) = 1""")
+_STEPS = [["o_custkey", "o_orderstatus", "o_orderpriority", "o_clerk"], ["o_custkey", "o_orderpriority", "o_clerk"], ["o_custkey", "o_orderpriority"], ["o_orderpriority", "o_clerk"], ["o_custkey"]]
+_CASCADE = " UNION ALL ".join(f"SELECT q.query_id, {k + 1} AS step, o_orderkey, o_orderdate FROM o JOIN q USING ({', '.join(c)}) WHERE o_orderkey <> query_id" for k, c in enumerate(_STEPS))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_custkey % 50 AS o_clerk, o_orderdate FROM orders), q AS (SELECT o_orderkey AS query_id, * EXCLUDE (o_orderkey, o_orderdate) FROM o WHERE o_orderkey % 50 = 0),
+  m AS ({_CASCADE}) SELECT query_id, step, o_orderkey AS match_id FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY step, o_orderdate DESC, o_orderkey) = 1""")
 def similar_upload_cascade(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
-    q = o.filter("o_orderkey < 500").select(F.col("o_orderkey").alias("query_id"), "o_custkey", "o_orderstatus", "o_orderpriority")
-    steps = [["o_custkey", "o_orderstatus", "o_orderpriority"], ["o_custkey", "o_orderstatus"], ["o_custkey"]]
-    return reports.best_match(q, o.filter("o_orderkey >= 500"), steps, "o_orderkey", [F.desc("o_orderdate"), F.col("o_orderkey")])
+    """For each order whose key is divisible by 50 the latest other one that agrees in as much as possible, in five steps."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", (F.col("o_custkey") % 50).alias("o_clerk"), "o_orderdate")
+    q = o.filter("o_orderkey % 50 = 0").withColumnRenamed("o_orderkey", "query_id").drop("o_orderdate")
+    return reports.best_match(q, o, _STEPS, "o_orderkey", [F.desc("o_orderdate"), F.col("o_orderkey")])
 
 
 @query(f"WITH {NORMALIZED} SELECT group_category, normalized_name, count(*) AS merged_count, round(avg(kpved_confidence), 6) AS avg_confidence, round(max(kpved_confidence), 6) AS max_confidence FROM normalized GROUP BY ALL ORDER BY merged_count DESC, normalized_name, group_category LIMIT 10 OFFSET 5")

@@ -17,19 +17,28 @@ def normalised_stream(spark: SparkSession, path: str, schema: T.StructType, kind
     return rows.withColumn("normalized_name", normalize_name(F.col("name"))).withColumn("category", categorize(F.col("name")))
 
 
-def upsert_stream(rows: DataFrame, target: str, checkpoint: str, keys: tuple[str, ...] = ("code",), seq: str = "seq") -> StreamingQuery:
-    """Each batch makes version ``batch id`` of the table under ``target`` from the
-    version before; a batch that is run again writes the same version."""
+def upsert_stream(rows: DataFrame, target: str, checkpoint: str, keys: tuple[str, ...] = ("code",), seq: str = "seq", buckets: int = 64) -> StreamingQuery:
+    """Each batch adds a version to the buckets of ``target`` that its keys fall
+    into (folders version=…/bucket=…); the others stay. A batch that is run
+    again writes the same version. ``current`` reads the table."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn("seq", F.col(seq)).select(*[c for c in batch.columns if c != seq], "seq")
-        stored = new.drop("seq").limit(0) if number == 0 else spark.read.parquet(f"{target}/version={number - 1}")
-        upsert(stored, new, list(keys)).write.mode("overwrite").parquet(f"{target}/version={number}")
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = F.broadcast(new.select("bucket").distinct())  # at most ``buckets`` rows
+        stored = new.limit(0) if number == 0 else current(batch.sparkSession, target, new.schema, number).join(touched, "bucket", "left_semi").select(new.columns)
+        upsert(stored, new, [*keys, "bucket"], seq).write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/version={number}")
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current(spark: SparkSession, target: str, schema: T.StructType, before: int = 1 << 30) -> DataFrame:
+    """The rows of each bucket's last version before ``before``."""
+    full = T.StructType([*[f for f in schema.fields if f.name != "bucket"], T.StructField("version", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
+    rows = spark.read.schema(full).option("basePath", target).option("recursiveFileLookup", "false").parquet(target).filter(F.col("version") < before)
+    last = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(last), ["bucket", "version"], "left_semi").drop("version")
+
+
 def window_counts(events: DataFrame, at: str, key: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events per window and key; later ones than the watermark are left out."""
     return events.withWatermark(at, late).groupBy(F.window(at, width), key).agg(F.count("*").alias("n"))

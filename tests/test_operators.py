@@ -108,10 +108,11 @@ def test_phonetic_pairs_are_those_of_all_pairs(spark, letters, threshold):
 
 
 def test_upsert_and_latest(spark):
-    stored = spark.createDataFrame([("a", 1), ("b", 2)], "code string, v int")
-    new = spark.createDataFrame([("b", 3, 0), ("b", 4, 1), ("c", 5, 2)], "code string, v int, seq int")
-    assert sorted(snapshots.upsert(stored, new, ["code"]).collect()) == [("a", 1), ("b", 4), ("c", 5)]
-    assert sorted(snapshots.insert_missing(stored, new.drop("seq").filter("v <> 3"), ["code"]).collect()) == [("a", 1), ("b", 2), ("c", 5)]
+    stored = spark.createDataFrame([("a", 1, 0), ("b", 2, 1), ("d", 9, 7)], "code string, v int, seq int")
+    new = spark.createDataFrame([("b", 3, 0), ("b", 4, 1), ("c", 5, 2), ("c", 6, 2), ("d", 8, 6)], "code string, v int, seq int")
+    assert sorted(snapshots.upsert(stored, new, ["code"]).collect()) == [("a", 1, 0), ("b", 4, 1), ("c", 6, 2), ("d", 9, 7)]
+    assert sorted(snapshots.upsert(new.filter("v < 5"), stored, ["code"]).collect()) == [("a", 1, 0), ("b", 2, 1), ("d", 9, 7)]
+    assert sorted(snapshots.insert_missing(stored, new.filter("v in (4, 5)"), ["code"]).collect()) == [("a", 1, 0), ("b", 2, 1), ("c", 5, 2), ("d", 9, 7)]
 
 
 def test_classifier_file(spark, tmp_path):
@@ -140,5 +141,5 @@ def test_stream_upserts_versions(spark, tmp_path):
     for i, rows in enumerate(['{"code":"1","name":"Болт 10мм","seq":1}', '{"code":"1","name":"Гайка","seq":2}\n{"code":"2","name":"Кабель","seq":3}']):
         (source / f"{i}.json").write_text(rows, encoding="utf-8")
         ingest.upsert_stream(ingest.normalised_stream(spark, str(source), schema), str(target), str(tmp_path / "check")).awaitTermination()
-    got = spark.read.parquet(f"{target}/version=1").select("code", "normalized_name").collect()
+    got = ingest.current(spark, str(target), T.StructType([*schema.fields, T.StructField("normalized_name", T.StringType()), T.StructField("category", T.StringType())])).select("code", "normalized_name").collect()
     assert sorted(map(tuple, got)) == [("1", "гайка"), ("2", "кабель")]
