@@ -639,8 +639,9 @@ def degrees(docs: DataFrame, nodes: DataFrame, marks: DataFrame, known: DataFram
     return counted.unionByName(found.select("k", "links").join(part.select("k"), "k", "left_anti"))
 
 
-def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text", count_links: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, component_id, links): one row per row of ``docs``.
+def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text", count_links: bool = True, with_key: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, links): one row per row of ``docs``;
+    ``with_key`` adds ``set_key``, which names the row's set (null if empty).
 
     ``component_id`` is the smallest id reachable by links, itself included;
     ``links`` counts the linked nodes (distinct other sets) of the row's set, all
@@ -667,12 +668,27 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
     grouped = nodes.join(known, "k", "left").select("k", "rid", F.coalesce("label", "k").alias("label"))
     smallest = grouped.groupBy("label").agg(F.min("rid").alias("component_id"))
     named = grouped.join(smallest, "label").select("k", "component_id")
-    full = rows.filter("n > 0").join(named, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "k")
-    empty = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    if not count_links:
-        return full.drop("k").unionByName(empty)
-    full = full.join(degrees(docs, nodes, marks, known, links), "k", "left").withColumn("links", F.coalesce("links", F.lit(0)))
-    return full.drop("k").unionByName(empty.withColumn("links", F.lit(0).cast("long")))
+    full = rows.filter("n > 0").join(named, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("k").alias("set_key"))
+    empty = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("set_key"))
+    if count_links:
+        counted = degrees(docs, nodes, marks, known, links).withColumnRenamed("k", "set_key")
+        full = full.join(counted, "set_key", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+        empty = empty.withColumn("links", F.lit(0).cast("long"))
+    out = full.unionByName(empty)
+    return out if with_key else out.drop("set_key")
+
+
+def with_set_keys(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` plus ``set_key``, as ``jaccard_components`` names sets."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for b in batches:
+            keys = [set_key(s) if len(s) else None for s in shingle_sets(b.column(at), powers)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], [*b.schema.names, "set_key"])
+
+    return docs.mapInArrow(run, docs.withColumn("set_key", F.lit(None).cast("long")).schema)
 
 
 def op9_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,7 +154,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     The sample is the ``rows`` labelled documents of the lowest hash, half of
     them of the last category, half not (fewer where there are fewer), weighted
     back to their shares. Labels of a document are joined by ``or``; null labels
-    and ids are left out.
+    and ids are left out. A document that repeats counts as often as it does.
     """
     names = list(categories)
     last = names[-1]
@@ -224,8 +224,9 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
 def score(docs: DataFrame, chain: Chain, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` plus ``p_<category>`` for each category and the boolean ``is_<category>`` for the last.
 
-    A null text has no words. Of input columns named like a new one the new
-    one wins. An empty table gives no rows.
+    A null text has no words; null ids play no part, and repeated rows get equal
+    scores, each its own row. A probability at the threshold counts. Of input
+    columns named like a new one the new one wins. An empty table gives no rows.
     """
     new = [T.StructField(f"p_{c}", T.DoubleType()) for c in chain.categories] + [T.StructField(f"is_{chain.categories[-1]}", T.BooleanType())]
     docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() not in [f.name.lower() for f in new]])
@@ -246,7 +247,9 @@ def score(docs: DataFrame, chain: Chain, ident: str = "doc_id", text: str = "tex
 
 
 def label_categories() -> dict[str, Column]:
-    """The chain over ``labels``: low quality first, then toxic."""
+    """The chain over ``labels``: low quality first, then toxic. The first is no
+    kind of toxicity, but ``labels`` has these two categories only; a table with
+    finer ones gives a longer chain by the same code."""
     return {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
 
 

@@ -3,11 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from lodewright.llm import registry
+from lodewright.llm import jaccard, registry
 
-from .helpers import documents
+from .helpers import ODD, documents
 from .test_small import brute_components, brute_lines
 
 SF = "/root/testdata/sf0.001"
@@ -29,6 +30,29 @@ def test_line_and_near_copy_stages(spark):
     assert sorted(r.doc_id for r in cp.drop_near_duplicates(spark, twice, SF).collect()) == sorted(r.doc_id for r in near.collect())
 
 
+@pytest.mark.parametrize("ids", [2_000_000, 0])
+def test_repeated_ids_of_unlike_texts(spark, monkeypatch, ids):
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", ids)
+    a, b, c = (" ".join(f"{x}{j}" for j in range(60)) for x in "abc")
+    rows = [(1, a), (2, a + " x"), (2, b), (2, b), (3, c), (3, c + " y"), (4, b + " z"), (5, ""), (5, None), (None, a), (6, c + " q")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, set_key string")
+    got = cp.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), (r.text or "")[:1]) for r in got) == [("1", "a"), ("2", "b"), ("3", "c"), ("5", ""), ("5", ""), ("None", "a")]
+
+
+@pytest.mark.parametrize("name, stage", cp.STAGES)
+def test_stages_on_odd_rows(spark, name, stage):
+    rows = [(i, t, "en", f"s{i % 2}", 1) for i, t in enumerate(ODD)] + [(None, "lone text", None, None, None), (3, "a", "en", "s1", 1), (3, "a", "en", "s1", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("copies", "n_dropped", "is_toxic", "length", "component_id"):
+        docs = docs.withColumn(c, F.lit("x"))
+    got = stage(spark, docs, SF)
+    n = got.count()
+    assert got.columns == cp.COLUMNS if name != "packing" else "sequence_id" in got.columns
+    assert {"toxicity": n == len(rows), "line_dedup": n == len(rows), "near_dedup": 0 < n < len(rows), "mixing": n > 0, "packing": n >= len(rows)}[name]
+    assert stage(spark, docs.limit(0), SF).count() == 0
+
+
 def test_all_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     clean = cp.drop_toxic(spark, docs, SF)
