@@ -17,12 +17,25 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain calls toxic go."""
-    return toxicity.toxic_scores(spark, docs, sf_dir).filter("not is_toxic").select(COLUMNS)
+    """Documents that the classifier chain calls toxic go.
+
+    The decision is by text alone, so repeated rows go or stay together and a
+    probability at the threshold counts as toxic; null ids play no part, a null
+    or empty text has no words and stays unless the chain's bias alone says
+    otherwise. Columns beyond those of ``documents`` are left out, whatever
+    their names. An empty table gives no rows.
+    """
+    return toxicity.toxic_scores(spark, docs.select(COLUMNS), sf_dir).filter("not is_toxic").select(COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents or more share go; ``n_chars`` follows the text. Every document stays."""
+    """Lines that ten documents or more share go; ``n_chars`` follows the text.
+
+    Every document stays, one whose lines all go with an empty text. A null text
+    becomes empty; repeated rows count as documents of their own, null ids play
+    no part, and a line in exactly ten documents goes. Other columns are left
+    out. An empty table gives no rows.
+    """
     kept = linededup.drop_frequent_lines(docs.select(COLUMNS))
     changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", changed).select(COLUMNS)
@@ -31,17 +44,23 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest id stays.
 
-    Of repeated rows with that id one stays. Rows without an id stay.
+    Rows are told apart by id and set of shingles: of repeated ones one stays,
+    and where an id stands for unlike texts each is judged by its own
+    component. Rows without an id, and those without words, stay. Other columns
+    are left out. An empty table gives no rows.
     """
-    found = jaccard.jaccard_components(docs.select("doc_id", "text"), count_links=False).select("doc_id", "component_id").filter("doc_id is not null")
-    found = staged(found, "near-copies")
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(few(gone), "doc_id", "left_anti").select(COLUMNS)
-    often = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    docs = docs.select(COLUMNS)
+    found = jaccard.jaccard_components(docs.select("doc_id", "text"), count_links=False, with_key=True)
+    found = staged(found.select("doc_id", "component_id", "set_key").filter("doc_id is not null"), "near-copies")
+    often = staged(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    gone = found.filter("component_id <> doc_id").select("doc_id")
+    kept = docs.join(few(gone.union(often).distinct()), "doc_id", "left_anti").select(COLUMNS)
     if not often.limit(1).count():
         return kept
-    once = kept.join(few(often), "doc_id", "left_anti").select(COLUMNS)
-    return once.unionByName(kept.join(few(often), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS))
+    mine = jaccard.with_set_keys(docs.join(few(often), "doc_id", "left_semi").select(COLUMNS))
+    told = found.join(few(often), "doc_id", "left_semi").filter("set_key is not null").distinct()
+    first = mine.join(few(told), ["doc_id", "set_key"]).filter("component_id = doc_id").dropDuplicates(["doc_id"])
+    return kept.unionByName(first.select(COLUMNS)).unionByName(mine.filter("set_key is null").select(COLUMNS))
 
 
 def few(ids: DataFrame) -> DataFrame:
@@ -50,12 +69,21 @@ def few(ids: DataFrame) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of documents so that sources reach their target weights, in a global shuffle."""
-    return mixing.mix_sources(docs).select(COLUMNS)
+    """Copies of documents so that sources reach their target weights, in a global shuffle.
+
+    A document may have no copy. A null source is a source; rows of null id draw
+    each for itself, repeated rows of one id draw alike; null and empty texts
+    count like others. Other columns are left out. An empty table gives no rows.
+    """
+    return mixing.mix_sources(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 tokens."""
+    """Sequences of 1024 tokens: a row per piece of a document.
+
+    Null ids and repeated rows are pieces of their own; a null or empty text is
+    its end mark alone. Other columns are not read. An empty table gives no rows.
+    """
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
