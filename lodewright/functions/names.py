@@ -172,3 +172,9 @@ def trim_words(name: Column, n: int) -> Column:
 
     held = F.aggregate(F.split(squeeze(name), " "), start, add)["text"]
     return F.when(F.length(name) <= n, name).otherwise(F.when(held == "", F.substring(name, 1, n)).otherwise(held))
+
+
+def word_count(name: Column) -> Column:
+    """Words between spaces; 0 for a blank name."""
+    text = squeeze(F.coalesce(name, F.lit("")))
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
