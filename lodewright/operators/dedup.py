@@ -8,6 +8,8 @@ held by a third of all rows is one row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from lodewright.functions import names
 
 from .staging import Rounds, written
 
+#: Words of 64 bits in the bitmap of a text's pairs of characters.
+MAPS = 4
 #: The items of a frequent key are joined in splits of about so many.
 TILE = 1000
 
@@ -97,7 +101,9 @@ def edit_pairs(low: DataFrame, threshold: float, unit: str = "bytes", tile: int
     characters, so texts within ``d`` of one another share one of their first
     2 * d + 1 in any common order (here rare ones first), unless both have no
     more than 2 * d; those all meet. The smaller of two texts must allow for the
-    edits of a larger one, whose length is its own and that of those edits."""
+    edits of a larger one, whose length is its own and that of those edits.
+    An edit changes at most four pairs of characters, so most candidates end at
+    a comparison of bitmaps of theirs."""
     size = F.octet_length if unit == "bytes" else F.length
     wide = low.agg(F.max(F.ceil(F.octet_length("n") / F.length("n")))).first()[0] if unit == "bytes" else 1
     # bytes of a character: no more than four; where a text's mean is above one, two or more occur
@@ -106,14 +112,19 @@ def edit_pairs(low: DataFrame, threshold: float, unit: str = "bytes", tile: int
     most = F.floor(size("n") * (1 - threshold) / rest + 1e-6).cast("int") if rest > 0 else F.lit(1 << 29)
     padded = F.concat(F.lit("^"), "n", F.lit("$"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("n") + 1), lambda i: F.substring(padded, i, F.lit(2))))
-    each = low.withColumn("most", 2 * most).select("id", "n", "most", F.explode(grams).alias("gram"))
+    told = low.withColumn("most", 2 * most).withColumn("grams", grams).withColumn("bits", F.transform("grams", lambda g: F.pmod(F.xxhash64(g), F.lit(64 * MAPS)).cast("int")))
+    map_of = lambda k: F.aggregate("bits", F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(F.when(F.floor(b / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), b % 64)).otherwise(F.lit(0).cast("long"))))
+    maps = [f"m{k}" for k in range(MAPS)]
+    told = told.withColumns({m: map_of(k) for k, m in enumerate(maps)})
+    each = told.select("id", "n", "most", *maps, F.explode("grams").alias("gram"))
     usual = each.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = each.join(usual, "gram").groupBy("id", "n", "most").agg(F.sort_array(F.collect_list(F.struct("df", "gram")))["gram"].alias("g"))
+    ranked = each.join(usual, "gram").groupBy("id", "n", "most", *maps).agg(F.sort_array(F.collect_list(F.struct("df", "gram")))["gram"].alias("g"))
     every = F.when(F.size("g") <= F.col("most"), F.array(F.lit("*"))).otherwise(F.array().cast("array<string>"))
-    keyed = ranked.select("id", "n", F.concat(every, F.slice("g", 1, F.col("most") + 1)).alias("first")).withColumn("block", F.explode("first"))
+    keyed = ranked.select("id", "n", *maps, F.concat(every, F.slice("g", 1, F.col("most") + 1)).alias("first")).withColumn("block", F.explode("first"))
     longest = F.greatest(size("a_n"), size("b_n"))
     fits = F.abs(F.length("a_n") - F.length("b_n")) <= (1 - threshold) * longest + 1e-6
-    near = _meet(keyed, "block", tile).filter(fits).filter(F.element_at(F.array_intersect("a_first", "b_first"), 1) == F.col("block"))
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in maps))
+    near = _meet(keyed, "block", tile).filter(fits & (differ <= 4 * F.floor((1 - threshold) * longest + 1e-6))).filter(F.element_at(F.array_intersect("a_first", "b_first"), 1) == F.col("block"))
     # the distance is counted up to what the threshold allows
     d = F.levenshtein("a_n", "b_n")
     return near.filter(d <= (1 - threshold) * longest + 1e-6).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), names.similarity(F.col("a_n"), F.col("b_n"), unit).alias("score")).filter(F.round("score", 9) >= threshold)
