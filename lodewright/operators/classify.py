@@ -298,10 +298,10 @@ def requires_model(name: Column, category: Column, other: str = D.OTHER) -> Colu
 
 def is_service_code(code: Column, title: Column | None = None) -> Column:
     """Whether a code is one of services: class 33 to 99, a listed code or one below it, or a title that tells so."""
-    section = F.regexp_extract(code, r"^(\d{2})\d*(?:\.|$)", 1)
+    section = F.regexp_extract(code, r"^(\d{2,9})", 1).try_cast("int")
     listed = code.isin(SERVICE_CODES) | reduce(lambda a, b: a | b, (code.startswith(c + ".") for c in SERVICE_CODES))
     told = any_contains(F.lower(F.coalesce(title, F.lit(""))), SERVICE_NAMES) if title is not None else F.lit(False)
-    return F.coalesce((F.length(code) >= 2) & (((section != "") & section.cast("int").between(33, 99)) | listed | told), F.lit(False))
+    return F.coalesce((F.length(code) >= 2) & (F.coalesce(section.between(33, 99), F.lit(False)) | listed | told), F.lit(False))
 
 
 def mend(name: Column, code: Column, title: Column, confidence: Column, word_code: Column, word_title: Column, word_confidence: Column, product: Column) -> Column:

@@ -185,7 +185,7 @@ def suggestion_impact(kind: Column, priority: Column, confidence: Column, qualit
 
 def _share(c: Column) -> Column:
     """Percent of rows for which a condition holds; 0 of none."""
-    return clamp(F.count(F.when(c, 1)) / F.count("*") * 100)
+    return clamp(F.count(F.when(c, 1)) / F.nullif(F.count("*"), F.lit(0)) * 100)
 
 
 def _status(value: Column, good: float, fair: float) -> Column:

@@ -32,6 +32,13 @@ def mapped(df: DataFrame, reference: str, code: str, name: str, ident: str | Non
     return df.select(number.alias("id"), *cols)
 
 
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, page: int = 10_000, **options: str) -> DataFrame:
+    """A table of another database, read in ranges of its numeric ``key`` from
+    ``low`` to ``high`` of about ``page`` keys each, one a task."""
+    parts = max(1, -(-(high - low + 1) // page))
+    return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts), fetchsize=str(min(page, 1000)), **options).load()
+
+
 def read_classifier(spark: SparkSession, path: str, skip: int = 4) -> DataFrame:
     """(code, name, parent_code, level) of a tab-separated classifier text.
 
