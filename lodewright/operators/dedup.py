@@ -17,8 +17,9 @@ from lodewright.functions import names
 
 from .staging import Rounds, written
 
-#: Words of 64 bits in the bitmap of a text's pairs of characters.
+#: Words of 64 bits in the bitmap of a text's pairs of characters, or of its words.
 MAPS = 4
+BITMAP = [f"m{k}" for k in range(MAPS)]
 #: The items of a frequent key are joined in splits of about so many.
 TILE = 1000
 
@@ -33,29 +34,45 @@ def _meet(keyed: DataFrame, key: str, tile: int = TILE) -> DataFrame:
     """Pairs of rows with a common ``key``: the columns of ``keyed`` (id, key and
     others) twice, with a_ and b_ before their names and a_id < b_id. The rows
     of a frequent key are split by a hash, and each pair of splits is joined on
-    its own."""
+    its own. Pairs of splits are dealt over all tasks: few rows make many pairs,
+    so that their bytes don't tell how many tasks are needed."""
     keyed = written(keyed, "keyed")
     sizes = keyed.groupBy(key).agg(F.ceil(F.count("*") / tile).alias("_n"))
     cut = keyed.join(sizes, key).withColumn("_h", F.pmod(F.xxhash64("id"), "_n"))
     cut = cut.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).withColumn("_u", F.least("_h", "_o")).withColumn("_v", F.greatest("_h", "_o"))
     rest = [c for c in keyed.columns if c != key]
     left, right = (cut.select(key, "_u", "_v", F.col("_h").alias(f"{x}_h"), *[F.col(c).alias(f"{x}_{c}") for c in rest]) for x in "ab")
+    left = left.repartition(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "_u", "_v")
     return left.join(right, [key, "_u", "_v"]).filter("a_id < b_id and least(a_h, b_h) = _u and greatest(a_h, b_h) = _v").drop("_u", "_v", "a_h", "b_h")
 
 
+def _bitmaps(value: str) -> list[Column]:
+    """Aggregates BITMAP of a group's distinct values: a bit, by hash, for each."""
+    h = F.pmod(F.xxhash64(value), F.lit(64 * MAPS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))
+    return [F.bit_or(F.when((h >= 64 * k) & (h < 64 * (k + 1)), bit).otherwise(F.lit(0).cast("long"))).alias(m) for k, m in enumerate(BITMAP)]
+
+
+def _count_bits(maps: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, (F.bit_count(m) for m in maps))
+
+
 def word_overlap_pairs(items: DataFrame, tokens: Column, least: int = 1, measure: str = "jaccard", tile: int = TILE) -> DataFrame:
     """(a, b, common, score) of items (id) with at least ``least`` common words.
 
     ``measure`` is ``jaccard`` or ``longest`` (common words over the larger
     set). Words go rare first; two items meet in their first common word, which
-    is early enough in both to leave ``least`` in all.
+    is early enough in both to leave ``least`` in all. Where the words of one of
+    them have a bit each, the bitmaps of both have ``least`` common bits too.
     """
-    sets = items.select("id", F.array_distinct(tokens).alias("set")).filter(F.size("set") > 0)
-    each = sets.select("id", F.explode("set").alias("word"))
+    each = written(items.select("id", F.explode(F.array_distinct(tokens)).alias("word")), "words")
     usual = each.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = each.join(usual, "word").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("r"))
-    keyed = ranked.select("id", F.col("r.word").alias("set"), F.explode(F.slice("r.word", 1, F.greatest(F.size("r") - least + 1, F.lit(0)))).alias("word"))
-    both = _meet(keyed, "word", tile).withColumn("both", F.array_intersect("a_set", "b_set"))
+    ranked = each.join(usual, "word").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "word")))["word"].alias("set"), *_bitmaps("word"))
+    told = ranked.withColumn("apart", _count_bits([F.col(m) for m in BITMAP]) == F.size("set"))
+    keyed = told.withColumn("word", F.explode(F.slice("set", 1, F.greatest(F.size("set") - least + 1, F.lit(0)))))
+    common_bits = _count_bits([F.col(f"a_{m}").bitwiseAND(F.col(f"b_{m}")) for m in BITMAP])
+    met = _meet(keyed, "word", tile).filter((common_bits >= least) | ~(F.col("a_apart") | F.col("b_apart")))
+    both = met.withColumn("both", F.array_intersect("a_set", "b_set"))
     both = both.filter((F.element_at("both", 1) == F.col("word")) & (F.size("both") >= least))
     n = F.size("both")
     whole = F.size("a_set") + F.size("b_set") - n if measure == "jaccard" else F.greatest(F.size("a_set"), F.size("b_set"))
@@ -105,6 +122,7 @@ def edit_pairs(low: DataFrame, threshold: float, unit: str = "bytes", tile: int
     An edit changes at most four pairs of characters, so most candidates end at
     a comparison of bitmaps of theirs."""
     size = F.octet_length if unit == "bytes" else F.length
+    low = written(low, "texts")
     wide = low.agg(F.max(F.ceil(F.octet_length("n") / F.length("n")))).first()[0] if unit == "bytes" else 1
     # bytes of a character: no more than four; where a text's mean is above one, two or more occur
     most_bytes = 1 if (wide or 1) == 1 and not low.filter(F.octet_length("n") > F.length("n")).limit(1).count() else (2 if not low.filter(F.col("n").rlike(r"[^\x{0}-\x{7FF}]")).limit(1).count() else 4) if unit == "bytes" else 1
@@ -112,18 +130,15 @@ def edit_pairs(low: DataFrame, threshold: float, unit: str = "bytes", tile: int
     most = F.floor(size("n") * (1 - threshold) / rest + 1e-6).cast("int") if rest > 0 else F.lit(1 << 29)
     padded = F.concat(F.lit("^"), "n", F.lit("$"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("n") + 1), lambda i: F.substring(padded, i, F.lit(2))))
-    told = low.withColumn("most", 2 * most).withColumn("grams", grams).withColumn("bits", F.transform("grams", lambda g: F.pmod(F.xxhash64(g), F.lit(64 * MAPS)).cast("int")))
-    map_of = lambda k: F.aggregate("bits", F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(F.when(F.floor(b / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), b % 64)).otherwise(F.lit(0).cast("long"))))
-    maps = [f"m{k}" for k in range(MAPS)]
-    told = told.withColumns({m: map_of(k) for k, m in enumerate(maps)})
-    each = told.select("id", "n", "most", *maps, F.explode("grams").alias("gram"))
+    told = low.withColumn("most", 2 * most).withColumn("grams", grams)
+    each = told.select("id", "n", "most", F.explode("grams").alias("gram"))
     usual = each.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = each.join(usual, "gram").groupBy("id", "n", "most", *maps).agg(F.sort_array(F.collect_list(F.struct("df", "gram")))["gram"].alias("g"))
+    ranked = each.join(usual, "gram").groupBy("id", "n", "most").agg(F.sort_array(F.collect_list(F.struct("df", "gram")))["gram"].alias("g"), *_bitmaps("gram"))
     every = F.when(F.size("g") <= F.col("most"), F.array(F.lit("*"))).otherwise(F.array().cast("array<string>"))
-    keyed = ranked.select("id", "n", *maps, F.concat(every, F.slice("g", 1, F.col("most") + 1)).alias("first")).withColumn("block", F.explode("first"))
+    keyed = ranked.select("id", "n", *BITMAP, F.concat(every, F.slice("g", 1, F.col("most") + 1)).alias("first")).withColumn("block", F.explode("first"))
     longest = F.greatest(size("a_n"), size("b_n"))
     fits = F.abs(F.length("a_n") - F.length("b_n")) <= (1 - threshold) * longest + 1e-6
-    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in maps))
+    differ = _count_bits([F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}")) for m in BITMAP])
     near = _meet(keyed, "block", tile).filter(fits & (differ <= 4 * F.floor((1 - threshold) * longest + 1e-6))).filter(F.element_at(F.array_intersect("a_first", "b_first"), 1) == F.col("block"))
     # the distance is counted up to what the threshold allows
     d = F.levenshtein("a_n", "b_n")
