@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodewright.functions import names
@@ -216,8 +216,9 @@ def detected_pairs(items: DataFrame, threshold: float = 0.85, common_words: int
     found = []
     for key in ("code", "name"):
         low = F.trim(F.lower(F.col(key)))
-        first = items.filter(low != "").withColumn("first", F.min("id").over(Window.partitionBy(low)))
-        found.append(first.filter("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit("exact").alias("type"), F.lit(1.0).alias("score")))
+        keyed = items.select("id", low.alias("_key")).filter("_key <> ''")
+        first = keyed.groupBy("_key").agg(F.min("id").alias("first"), F.count("*").alias("_n")).filter("_n > 1")
+        found.append(keyed.join(first, "_key").filter("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit("exact").alias("type"), F.lit(1.0).alias("score")))
     told = lambda df, kind: df.select("a", "b", F.lit(kind).alias("type"), "score")
     found.append(told(fuzzy_pairs(one, threshold=threshold), "fuzzy"))
     found.append(told(phonetic_pairs(one), "phonetic"))

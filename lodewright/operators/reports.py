@@ -141,10 +141,10 @@ def counters(events: DataFrame, kind: str, value: str) -> DataFrame:
     return told.withColumn("share", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
 
 
-def enriched(groups: DataFrame, ids: str, tables: list[DataFrame]) -> DataFrame:
-    """Members of groups (group_id, an array of ids) with the name and code of
-    the first of ``tables`` (id, name, code) that has the id; null where none has."""
-    each = groups.select("group_id", F.explode(ids).alias("id"))
+def enriched(members: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """``members`` (group_id, id) with the name and code of the first of
+    ``tables`` (id, name, code) that has the id; null where none has."""
+    each = members.select("group_id", "id")
     for k, t in enumerate(tables):
         each = each.join(t.select("id", F.struct("name", "code", F.lit(k).alias("table")).alias(f"_{k}")), "id", "left")
     first = F.coalesce(*[F.col(f"_{k}") for k in range(len(tables))])

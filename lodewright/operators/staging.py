@@ -6,7 +6,8 @@ import atexit
 import contextlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -34,6 +35,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """``df`` plus ``out``, the place of each row (from 1) in the order of its
+    columns ``order``. Rows are dealt by ranges, ties by a number of their own;
+    a place is the rows of the ranges before plus the place in its range."""
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    dealt = rows.repartitionByRange(*order, "_row").sortWithinPartitions(*order, "_row").drop("_row")
+    # the number holds the range in its upper bits and the place there in the lower 33
+    told = written(dealt.withColumn("_at", F.monotonically_increasing_id()), "ordered").withColumn("_range", F.shiftright("_at", 33))
+    before = F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = told.groupBy("_range").count().select("_range", F.coalesce(before, F.lit(0)).alias("_start"))  # a row per range
+    place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return told.join(F.broadcast(starts), "_range").withColumn(out, place).drop("_range", "_start", "_at")
+
+
 def remove(df_path: tuple[SparkSession, str]) -> None:
     spark, path = df_path
     with contextlib.suppress(Exception):  # the session has ended already; the folder's owner cleans up

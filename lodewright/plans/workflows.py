@@ -117,10 +117,9 @@ def token_lengths(spark, d):
   SELECT group_id, id, coalesce(s_name, c_name, p_name) AS name, CASE WHEN s_name IS NOT NULL THEN 0 WHEN c_name IS NOT NULL THEN 1 ELSE 2 END AS "table" FROM g LEFT JOIN supplier ON s_suppkey = id LEFT JOIN customer ON c_custkey = id LEFT JOIN part ON p_partkey = id""")
 def group_members(spark, d):
     """Members of groups, told by the first of three tables that has them."""
-    p = table(spark, d, "part")
-    g = p.groupBy(F.col("p_brand").alias("group_id")).agg(F.collect_list("p_partkey").alias("ids"))
+    members = table(spark, d, "part").select(F.col("p_brand").alias("group_id"), F.col("p_partkey").alias("id"))
     told = [table(spark, d, t).select(F.col(k).alias("id"), F.col(n).alias("name"), F.lit("").alias("code")) for t, k, n in (("supplier", "s_suppkey", "s_name"), ("customer", "c_custkey", "c_name"), ("part", "p_partkey", "p_name"))]
-    return reports.enriched(g, "ids", told).select("group_id", "id", "name", "table")
+    return reports.enriched(members, told).select("group_id", "id", "name", "table")
 
 
 @query("""WITH m AS (SELECT c_nationkey AS project, n_name AS name, sum(round(o_totalprice * 100)::BIGINT)::BIGINT // count(*) AS score, count(*) AS uploads FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodewright.operators.classify import tree_level, tree_parent
+from lodewright.operators.staging import numbered
 
 ITEM = T.StructType([T.StructField(c, T.StringType()) for c in ("upload_uuid", "catalog_name", "reference", "code", "name", "attributes_xml", "table_parts_xml", "timestamp")])
 HANDSHAKE = T.StructType([T.StructField(c, T.StringType()) for c in ("version_1c", "config_name", "config_version", "computer_name", "user_name", "timestamp", "upload_type", "iteration_label", "programmer_name", "upload_purpose")] + [T.StructField(c, T.LongType()) for c in ("iteration_number", "parent_upload_id", "database_id")])
@@ -24,12 +25,12 @@ def read_xml(spark: SparkSession, path: str, tag: str = "item", schema: T.Struct
 def mapped(df: DataFrame, reference: str, code: str, name: str, ident: str | None = None) -> DataFrame:
     """(id, reference, code, name) of a table with other column names.
 
-    Without an id column rows are numbered by name; that is one global sort and
-    meant for tables of a classifier's size.
+    Without an id column rows are numbered by name and reference, a null first.
     """
     cols = [F.col(reference).alias("reference"), F.col(code).alias("code"), F.col(name).alias("name")]
-    number = F.col(ident).cast("long") if ident else F.row_number().over(Window.orderBy(name, reference)).cast("long")
-    return df.select(number.alias("id"), *cols)
+    if ident:
+        return df.select(F.col(ident).cast("long").alias("id"), *cols)
+    return numbered(df.select(*cols), ["name", "reference"], "id").select("id", "reference", "code", "name")
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, page: int = 10_000, **options: str) -> DataFrame:

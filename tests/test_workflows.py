@@ -156,3 +156,21 @@ def test_a_table_of_another_database(spark, tmp_path):
         pytest.skip("no embedded database")
     got = catalogs.read_jdbc(spark, url, "items", "id", 0, 249, 100, **driver)
     assert got.rdd.getNumPartitions() == 3 and got.count() == 250
+
+
+def test_rows_are_numbered_in_order_without_gaps(spark):
+    names = ["same"] * 40 + [None] * 5 + [f"n{i % 37}" for i in range(200)]
+    rows = [(f"r{i % 11}", n) for i, n in enumerate(names)]
+    told = catalogs.mapped(spark.createDataFrame(rows, "ref string, title string").repartition(7), "ref", "ref", "title")
+    assert told.columns == ["id", "reference", "code", "name"]
+    got = sorted(told.collect())
+    assert [r.id for r in got] == list(range(1, len(rows) + 1))
+    first = lambda r: (r[1] is not None, r[1] or "", r[0])
+    assert [(r.reference, r.name) for r in got] == sorted(rows, key=first)
+    assert catalogs.mapped(spark.createDataFrame([], "ref string, title string"), "ref", "ref", "title").count() == 0
+
+
+def test_rows_of_one_code_are_linked_with_the_first(spark):
+    rows = [(9, " A1", "qqq"), (3, "a1 ", "zzz"), (5, "A1", None), (4, "", "vvv"), (6, None, "VVV "), (7, "b", "")]
+    pairs = dedup.detected_pairs(spark.createDataFrame(rows, "id long, code string, name string")).filter("type = 'exact'")
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [(3, 5), (3, 9), (4, 6)]
