@@ -154,7 +154,8 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     The sample is the ``rows`` labelled documents of the lowest hash, half of
     them of the last category, half not (fewer where there are fewer), weighted
     back to their shares. Labels of a document are joined by ``or``; null labels
-    and ids are left out. A document that repeats counts as often as it does.
+    and ids are left out. Of the rows of one id the smallest text is read, so that
+    the sample is bounded however often an id repeats.
     """
     names = list(categories)
     last = names[-1]
@@ -166,7 +167,8 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     # at most ``rows`` rows of a few integers
     sample = F.broadcast(halves[0].unionByName(halves[1]))
     texts = docs.select(F.col(f"`{ident}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    mine = staged(texts.join(sample, "id").select("id", "text", *names), "toxicity-sample")
+    mine = texts.join(sample, "id").groupBy("id", *names).agg(F.min("text").alias("text"))
+    mine = staged(mine.select("id", "text", *names), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}

@@ -661,6 +661,10 @@ def test_chain_on_held_out_documents(spark):
     got = {r.doc_id: r.is_toxic for r in toxicity.score(docs, chain).collect()}
     assert all(got[i] == bool(t) for i, _, t in labels[400:])
     assert chain.categories == ["low_quality", "toxic"] and chain.held_out.shape[1] == 2
+    # one id in half of all rows, with another text too: the sample keeps one row of each id
+    often = docs.unionByName(docs.filter("doc_id = 3").withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(400)))).drop("_"))
+    again = toxicity.train_chain(often.unionByName(docs.filter("doc_id = 3").withColumn("text", F.concat("text", F.lit(" ~")))), told, toxicity.label_categories())
+    assert again.features == chain.features and (again.held_out == chain.held_out).all()
 
 
 def test_chain_without_labels_or_texts(spark):
