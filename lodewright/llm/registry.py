@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exactdup, hilbert, jaccard, linededup, mixing, packing, secrets, tiff, toxicity, warc
+from . import exactdup, hilbert, jaccard, linededup, mixing, packing, pieces, secrets, subspaces, tiff, toxicity, warc, yinyang
 
 
 def pipeline(spark, sf_dir):
@@ -23,6 +23,9 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_jaccard_components": jaccard.op9_jaccard_components,
     "op10_toxicity_chain": toxicity.op10_toxicity_chain,
+    "op11_binary_packing": pieces.op11_binary_packing,
+    "op12_filtering_lloyd": subspaces.op12_filtering_lloyd,
+    "op13_yinyang_clusters": yinyang.op13_yinyang_clusters,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
@@ -30,4 +33,6 @@ ORACLES: dict[str, str] = {
     "op3_line_dedup": linededup.OP3_SQL,
     "op5_source_mixing": mixing.OP5_SQL,
     "op7_exact_dedup": exactdup.OP7_SQL,
+    "op12_filtering_lloyd": subspaces.OP12_SQL,
+    "op13_yinyang_clusters": yinyang.OP13_SQL,
 }
