@@ -1,99 +1,11 @@
-"""Bracket-aware parsing of names, and extraction by position."""
+"""Splitting delimited names, and extraction by position; see ``tokens`` for brackets and quotes."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Brackets, quotes and separators.
-OPEN, CLOSE, QUOTES, SEPARATORS = "([{<", ")]}>", "\"'`«»", ",;|/"
-
-TOKEN = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("value", T.StringType()), T.StructField("depth", T.IntegerType()), T.StructField("position", T.IntegerType()), T.StructField("length", T.IntegerType())]))
-
-
-def scan(text: str | None) -> list[tuple[str, str, int, int, int]]:
-    """Tokens (type, value, depth, position, length) of a text: text runs,
-    brackets, separators and quoted runs. A backslash takes the next character
-    as it is. Brackets that don't match count as text.
-    """
-    out: list[tuple[str, str, int, int, int]] = []
-    depth, run, start, quote = 0, "", 0, ""
-    closers: list[str] = []
-
-    def flush(end: int, kind: str = "text") -> None:
-        nonlocal run
-        if run.strip():
-            out.append((kind, run.strip(), depth, start, end - start))
-        run = ""
-
-    i, text = 0, text or ""
-    while i < len(text):
-        c = text[i]
-        if not run:
-            start = i
-        if c == "\\" and i + 1 < len(text):
-            run += text[i + 1]
-            i += 2
-            continue
-        if quote:
-            if c == quote:
-                flush(i, "quoted")
-                quote = ""
-            else:
-                run += c
-        elif c in QUOTES:
-            flush(i)
-            quote = "»" if c == "«" else c
-        elif c in OPEN:
-            flush(i)
-            out.append(("open", c, depth, i, 1))
-            closers.append(CLOSE[OPEN.index(c)])
-            depth += 1
-        elif closers and c == closers[-1]:
-            flush(i)
-            closers.pop()
-            depth -= 1
-            out.append(("close", c, depth, i, 1))
-        elif c in SEPARATORS:
-            flush(i)
-            out.append(("separator", c, depth, i, 1))
-        else:
-            run += c
-        i += 1
-    flush(len(text))
-    return out
-
-
-@F.pandas_udf(TOKEN)
-def tokenize(text: pd.Series) -> pd.Series:
-    """Array of tokens of each text; see ``scan``."""
-    return text.map(scan)
-
-
-def main_text(tokens: Column) -> Column:
-    """Text outside all brackets."""
-    return F.array_join(F.transform(F.filter(tokens, lambda t: (t["depth"] == 0) & t["type"].isin("text", "quoted")), lambda t: t["value"]), " ")
-
-
-def bracketed(tokens: Column, depth: int | None = None) -> Column:
-    """Texts inside brackets, at one depth or at any."""
-    inside = (lambda t: t["depth"] > 0) if depth is None else (lambda t: t["depth"] == depth)
-    return F.transform(F.filter(tokens, lambda t: inside(t) & t["type"].isin("text", "quoted")), lambda t: t["value"])
-
-
-def structure(tokens: Column) -> Column:
-    """(tokens, max_depth, brackets, quoted) of a parsed name."""
-    return F.struct(
-        F.size(tokens).alias("tokens"),
-        F.coalesce(F.array_max(F.transform(tokens, lambda t: t["depth"])), F.lit(0)).alias("max_depth"),
-        F.size(F.filter(tokens, lambda t: t["type"] == "open")).alias("brackets"),
-        F.size(F.filter(tokens, lambda t: t["type"] == "quoted")).alias("quoted"),
-    )
-
 
 def split_top(text: Column, delimiter: str = ",") -> Column:
     """Split at a delimiter outside round brackets, by expressions alone."""
@@ -169,16 +81,3 @@ def extract_by_position(parts: Column, slots: list[Slot]) -> tuple[Column, Colum
             wrong = wrong.when(~given, F.lit(f"missing required field at position {i}: {s.name}")).when(value == "", F.lit(f"empty value at position {i}: {s.name}"))
         bad.append(wrong)
     return F.array_compact(F.array(*good)), F.array_compact(F.array(*bad))
-
-
-def extract_contextual(tokens: Column) -> Column:
-    """Attributes (name, value, source) of a parsed name: key-value pairs inside
-    and outside brackets, then bracketed texts without a key."""
-    texts = F.filter(tokens, lambda t: t["type"].isin("text", "quoted"))
-    pair = r"^\s*([^:=]+?)\s*[:=]\s*(.+?)\s*$"
-    keyed = F.transform(
-        F.filter(texts, lambda t: t["value"].rlike(pair)),
-        lambda t: F.struct(F.lower(F.regexp_extract(t["value"], pair, 1)).alias("name"), F.regexp_extract(t["value"], pair, 2).alias("value"), F.when(t["depth"] > 0, "bracket").otherwise("text").alias("source")),
-    )
-    inside = F.transform(F.filter(texts, lambda t: (t["depth"] > 0) & ~t["value"].rlike(pair)), lambda t: F.struct(F.lit("note").alias("name"), t["value"].alias("value"), F.lit("bracket").alias("source")))
-    return F.concat(keyed, inside)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .dictionaries import BRANDS
 from .text import ascii_edges, squeeze
+from .tokens import match_positions
 
 
 @dataclass(frozen=True)
@@ -83,6 +84,16 @@ def detect(name: Column, patterns: list[Pattern] = PATTERNS) -> Column:
     return F.concat(*[found(p) for p in patterns])
 
 
+def detect_at(name: Column, patterns: list[Pattern] = PATTERNS) -> Column:
+    """Array of (type, position, length, char_position, matched_text), rule by rule; position and length in bytes."""
+
+    def found(p: Pattern) -> Column:
+        told = lambda m: F.struct(F.lit(p.kind).alias("type"), m["start"].alias("position"), (m["stop"] - m["start"]).alias("length"), m["char_start"].alias("char_position"), m["text"].alias("matched_text"))
+        return F.transform(match_positions(name, p.java), told)
+
+    return F.concat(*[found(p) for p in patterns])
+
+
 def apply_fixes(name: Column, patterns: list[Pattern] = PATTERNS) -> Column:
     """The name after the fix of every rule that the original matches, each once, in rule order."""
     fixed = name

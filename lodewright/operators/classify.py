@@ -189,7 +189,7 @@ class FoldStrategy:
         return F.when(n <= self.depth, path).otherwise(F.array(*filled))
 
 
-#: Strategies by name; more can be added.
+#: Strategies by name; more can be added.
 STRATEGIES = {
     "top_priority": FoldStrategy("top_priority", 2, ["0", "-1"], [FoldRule([2, 3, 4], 1)]),
     "bottom_priority": FoldStrategy("bottom_priority", 2, ["0", "-1"], [FoldRule([0, 1, 2, 3], 0)]),
@@ -323,30 +323,6 @@ def mend(name: Column, code: Column, title: Column, confidence: Column, word_cod
     return out.otherwise(F.struct(code.alias("code"), title.alias("title"), confidence.alias("confidence"), F.lit("").alias("mended")))
 
 
-def descend(names: DataFrame, tree: DataFrame, model: Callable[[list[tuple[str, str]]], list[tuple[str, float]]], depth: int = 6, least: float = 0.7) -> DataFrame:
-    """(name, code, confidence, steps): from the top of ``tree`` (code, parent_code,
-    level) down, a level at a time: the model sees (name, code so far) and names
-    a child and its confidence; where it is less sure than ``least``, names no
-    child, or there are none, the name stays where it is. Each distinct name is
-    asked once a level."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            asked = list(zip(f["name"], f["code"], strict=True))
-            got = model(asked) if asked else []
-            yield f.assign(child=[g[0] for g in got], sure=[float(g[1]) for g in got])[["name", "code", "confidence", "steps", "child", "sure"]]
-
-    children = tree.select(F.col("code").alias("child"), F.col("parent_code").alias("code"))
-    at = names.select("name").distinct().select("name", F.lit("").alias("code"), F.lit(1.0).alias("confidence"), F.lit(0).alias("steps"), F.lit(True).alias("open"))
-    for _ in range(depth):
-        asked = at.filter("open").drop("open").mapInPandas(run, "name string, code string, confidence double, steps int, child string, sure double")
-        down = asked.join(children.withColumn("ok", F.lit(True)), ["child", "code"], "left")
-        go = F.coalesce("ok", F.lit(False)) & (F.col("sure") >= least)
-        moved = down.select("name", F.when(go, F.col("child")).otherwise(F.col("code")).alias("code"), F.when(go, F.least("confidence", "sure")).otherwise(F.col("confidence")).alias("confidence"), (F.col("steps") + F.when(go, 1).otherwise(0)).alias("steps"), go.alias("open"))
-        at = at.filter("not open").unionByName(moved)
-    return at.drop("open")
-
-
 def existing_paths(paths: DataFrame, tree_paths: DataFrame, key: str = "path") -> DataFrame:
     """The rows whose path is in the tree."""
     return paths.join(tree_paths.select(key).distinct(), key, "left_semi")
@@ -367,10 +343,14 @@ def with_levels(items: DataFrame, path: Column, depth: int = 5, strategy: str =
 
 def reclassify(items: DataFrame, name: str = "normalized_name", where: Column | None = None, entries: list[tuple[str, str, float]] | None = None, phrases: list[tuple[str, str]] = PHRASES) -> DataFrame:
     """A new version of ``items`` (kpved_code, kpved_confidence): rows ``where``
-    (default: without a code) get the keywords' answer where there is one;
-    ``reclassified`` tells which."""
+    (default: without a code) get the keywords' answer where there is one, others
+    keep their code; ``reclassified`` tells which. A null condition is none, and
+    all other columns stay, whatever their names."""
     where = F.coalesce(F.col("kpved_code"), F.lit("")) == "" if where is None else where
-    found = classify_by_keyword(items, name, entries, phrases)
-    new = where & F.col("code").isNotNull() if "code" not in items.columns else where
-    taken = {"kpved_code": F.when(new, F.col("code")).otherwise(F.col("kpved_code")), "kpved_confidence": F.when(new, F.col("confidence")).otherwise(F.col("kpved_confidence"))}
-    return found.withColumn("reclassified", new).withColumns(taken).select(*items.columns, "reclassified")
+    marked = items.withColumn("_where", F.coalesce(where, F.lit(False)))
+    once = items.select(F.col(name).alias("_asked")).distinct()
+    answers = classify_by_keyword(once, "_asked", entries, phrases).select("_asked", F.col("code").alias("_found"), F.col("confidence").alias("_sure"))
+    told = marked.join(answers, F.col(name).eqNullSafe(F.col("_asked")), "left")
+    new = F.col("_where") & F.col("_found").isNotNull()
+    own = [F.when(new, F.col(f)).otherwise(F.col(c)).alias(c) if (f := {"kpved_code": "_found", "kpved_confidence": "_sure"}.get(c)) else F.col(c) for c in items.columns if c != "reclassified"]
+    return told.select(*own, new.alias("reclassified"))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from lodewright.functions import names
 
+from . import overlap
+from .edits import edit_pairs
 from .staging import Rounds, written
 
 #: Words of 64 bits in the bitmap of a text's pairs of characters, or of its words.
@@ -111,40 +113,6 @@ def cosine_pairs(vectors: DataFrame, threshold: float = 0.85, tile: int = TILE)
     return scored.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), score.alias("score")).filter(F.round("score", 9) >= threshold)
 
 
-def edit_pairs(low: DataFrame, threshold: float, unit: str = "bytes", tile: int = TILE) -> DataFrame:
-    """(a, b, score) of all texts (id, n; none empty) with an edit similarity of ``threshold`` or more.
-
-    ``d`` edits take away at most 2 * d distinct pairs of neighbouring
-    characters, so texts within ``d`` of one another share one of their first
-    2 * d + 1 in any common order (here rare ones first), unless both have no
-    more than 2 * d; those all meet. The smaller of two texts must allow for the
-    edits of a larger one, whose length is its own and that of those edits.
-    An edit changes at most four pairs of characters, so most candidates end at
-    a comparison of bitmaps of theirs."""
-    size = F.octet_length if unit == "bytes" else F.length
-    low = written(low, "texts")
-    wide = low.agg(F.max(F.ceil(F.octet_length("n") / F.length("n")))).first()[0] if unit == "bytes" else 1
-    # bytes of a character: no more than four; where a text's mean is above one, two or more occur
-    most_bytes = 1 if (wide or 1) == 1 and not low.filter(F.octet_length("n") > F.length("n")).limit(1).count() else (2 if not low.filter(F.col("n").rlike(r"[^\x{0}-\x{7FF}]")).limit(1).count() else 4) if unit == "bytes" else 1
-    rest = 1 - most_bytes * (1 - threshold)
-    most = F.floor(size("n") * (1 - threshold) / rest + 1e-6).cast("int") if rest > 0 else F.lit(1 << 29)
-    padded = F.concat(F.lit("^"), "n", F.lit("$"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("n") + 1), lambda i: F.substring(padded, i, F.lit(2))))
-    told = low.withColumn("most", 2 * most).withColumn("grams", grams)
-    each = told.select("id", "n", "most", F.explode("grams").alias("gram"))
-    usual = each.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = each.join(usual, "gram").groupBy("id", "n", "most").agg(F.sort_array(F.collect_list(F.struct("df", "gram")))["gram"].alias("g"), *_bitmaps("gram"))
-    every = F.when(F.size("g") <= F.col("most"), F.array(F.lit("*"))).otherwise(F.array().cast("array<string>"))
-    keyed = ranked.select("id", "n", *BITMAP, F.concat(every, F.slice("g", 1, F.col("most") + 1)).alias("first")).withColumn("block", F.explode("first"))
-    longest = F.greatest(size("a_n"), size("b_n"))
-    fits = F.abs(F.length("a_n") - F.length("b_n")) <= (1 - threshold) * longest + 1e-6
-    differ = _count_bits([F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}")) for m in BITMAP])
-    near = _meet(keyed, "block", tile).filter(fits & (differ <= 4 * F.floor((1 - threshold) * longest + 1e-6))).filter(F.element_at(F.array_intersect("a_first", "b_first"), 1) == F.col("block"))
-    # the distance is counted up to what the threshold allows
-    d = F.levenshtein("a_n", "b_n")
-    return near.filter(d <= (1 - threshold) * longest + 1e-6).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), names.similarity(F.col("a_n"), F.col("b_n"), unit).alias("score")).filter(F.round("score", 9) >= threshold)
-
-
 def fuzzy_pairs(items: DataFrame, name: str = "name", threshold: float = 0.85, unit: str = "bytes") -> DataFrame:
     """(a, b, score) of all names (id, name) with an edit similarity of ``threshold`` or more; an empty name is like none."""
     return edit_pairs(items.select("id", F.lower(F.trim(F.col(name))).alias("n")).filter("n <> ''"), threshold, unit)
@@ -205,14 +173,10 @@ def masters(members: DataFrame, score: Column, group: str = "group_id", ident: s
 CONFIDENCE = {"phonetic": 0.8}
 
 
-def detected_pairs(items: DataFrame, threshold: float = 0.85, common_words: int = 1, keep_stop_words: bool = False) -> DataFrame:
-    """(a, b, type, score): the links of all detectors over items (id, code, name).
-
-    Rows of one code or name are linked with the first of them. Names with
-    ``common_words`` common words are linked, as the catalog's analyzer does
-    with 1 by default; with 1 each name is linked with the first one of each of
-    its words, which has the same components."""
-    one = items.groupBy(F.lower(F.trim("name")).alias("name")).agg(F.min("id").alias("id")).filter("name <> ''")
+def detected_pairs(items: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(a, b, type, score): the links of all detectors over items (id, code,
+    name) but common words. Rows of one code or name are linked with the first of them."""
+    one = distinct_names(items)
     found = []
     for key in ("code", "name"):
         low = F.trim(F.lower(F.col(key)))
@@ -223,38 +187,46 @@ def detected_pairs(items: DataFrame, threshold: float = 0.85, common_words: int
     found.append(told(fuzzy_pairs(one, threshold=threshold), "fuzzy"))
     found.append(told(phonetic_pairs(one), "phonetic"))
     found.append(told(cosine_pairs(tfidf(one, names.tokens(F.col("name"))), threshold), "semantic"))
-    words = names.tokens(F.col("name"), keep_stop_words)
-    if common_words == 1:
-        each = one.select("id", F.array_distinct(words).alias("set")).withColumn("word", F.explode("set"))
-        first = each.groupBy("word").agg(F.min_by(F.struct("id", "set"), "id").alias("f"))
-        jaccard = F.size(F.array_intersect("f.set", "set")) / F.size(F.array_union("f.set", "set"))
-        found.append(each.join(first, "word").filter("f.id <> id").select(F.col("f.id").alias("a"), F.col("id").alias("b"), F.lit("words").alias("type"), jaccard.alias("score")).dropDuplicates(["a", "b"]))
-    else:
-        found.append(told(word_overlap_pairs(one, words, common_words), "words"))
-    merged = found[0]
-    for f in found[1:]:
-        merged = merged.unionByName(f)
-    return written(merged.distinct(), "pairs")
+    return written(reduce(DataFrame.unionByName, found).distinct(), "pairs")
+
+
+def distinct_names(items: DataFrame) -> DataFrame:
+    """(name, id): each name once, lowered, with its smallest id; empty ones are left out."""
+    return items.groupBy(F.lower(F.trim("name")).alias("name")).agg(F.min("id").alias("id")).filter("name <> ''")
+
+
+def found_groups(items: DataFrame, threshold: float = 0.85, common_words: int = 1, keep_stop_words: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((group_id, id), (group_id, type, links, score)): all detectors over items
+    (id, code, name), merged; the links of a group by their kind, and the sum of
+    their scores. Names with ``common_words`` common words are linked, as the
+    catalog's analyzer does with 1 by default; their links are counted without a row for each."""
+    pairs = detected_pairs(items, threshold)
+    shared = written(overlap.shared_sets(distinct_names(items), names.tokens(F.col("name"), keep_stop_words)), "shared")
+    groups = written(components(pairs.select("a", "b").unionByName(overlap.star_links(shared, common_words)).distinct()), "groups").select("group_id", "id")
+    told = pairs.join(groups.withColumnRenamed("id", "a"), "a").groupBy("group_id", "type").agg(F.count("*").alias("links"), F.sum("score").alias("score"))
+    by_words = overlap.word_links(groups.join(shared, "id"), common_words).select("group_id", F.lit("words").alias("type"), "links", "score")
+    return groups, told.unionByName(by_words)
 
 
 def duplicate_groups(items: DataFrame, threshold: float = 0.85, common_words: int = 1, keep_stop_words: bool = False) -> DataFrame:
     """All detectors over items (id, code, name), merged: (group_id, id)."""
-    pairs = detected_pairs(items, threshold, common_words, keep_stop_words)
-    return components(pairs.select("a", "b").distinct()).select("group_id", "id")
+    pairs = detected_pairs(items, threshold).select("a", "b")
+    shared = written(overlap.shared_sets(distinct_names(items), names.tokens(F.col("name"), keep_stop_words)), "shared")
+    return components(pairs.unionByName(overlap.star_links(shared, common_words)).distinct()).select("group_id", "id")
 
 
-def group_summary(pairs: DataFrame, groups: DataFrame, members: DataFrame, score: Column) -> DataFrame:
+def group_summary(links: DataFrame, groups: DataFrame, members: DataFrame, score: Column) -> DataFrame:
     """(group_id, type, score, confidence, size, master_id): of ``groups``
-    (group_id, id) by ``pairs`` (a, b, type, score). The type is mixed where
-    links of several kinds hold a group together; the score is the mean of all
-    links, as is the confidence, and the master has the best ``score`` of
-    ``members`` (id and what the score needs)."""
+    (group_id, id) by ``links`` (group_id, type, links, score; see
+    ``found_groups``). The type is mixed where links of several kinds hold a
+    group together; the score is the mean of all links, as is the confidence,
+    and the master has the best ``score`` of ``members`` (id and what the score needs)."""
     sure = F.col("score")
     for kind, c in CONFIDENCE.items():
-        sure = F.when(F.col("type") == kind, c).otherwise(sure)
-    links = pairs.join(groups.withColumnRenamed("id", "a"), "a").groupBy("group_id").agg(
-        F.when(F.min("type") == F.max("type"), F.min("type")).otherwise("mixed").alias("type"), F.avg("score").alias("score"), F.avg(sure).alias("confidence"))
-    return links.join(masters(groups.join(members, "id"), score), "group_id").select("group_id", "type", "score", "confidence", "size", "master_id")
+        sure = F.when(F.col("type") == kind, c * F.col("links")).otherwise(sure)
+    told = links.groupBy("group_id").agg(
+        F.when(F.min("type") == F.max("type"), F.min("type")).otherwise("mixed").alias("type"), (F.sum("score") / F.sum("links")).alias("score"), (F.sum(sure) / F.sum("links")).alias("confidence"))
+    return told.join(masters(groups.join(members, "id"), score), "group_id").select("group_id", "type", "score", "confidence", "size", "master_id")
 
 
 def known_groups(found: DataFrame, stored: DataFrame) -> DataFrame:

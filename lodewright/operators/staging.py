@@ -24,13 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written once and read again; the table goes when the driver ends."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; it goes when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written once and read again; the table goes when the driver ends."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodewright.functions import dictionaries, names
-from lodewright.operators import dedup
+from lodewright.operators import dedup, overlap
 
 from .adapters import CATALOG, catalog
 from .base import query
@@ -66,6 +66,18 @@ _FOUND = f"""WITH RECURSIVE {_KEYS}, {_COSINE}, found AS (
   reach(id, m) AS (SELECT a, a FROM ends UNION SELECT r.id, e.b FROM reach r JOIN ends e ON r.m = e.a), groups AS (SELECT id, min(m) AS group_id FROM reach GROUP BY 1)"""
 
 
+@query(f"""WITH RECURSIVE {_KEYS}, both_of AS ({_OVERLAP}), ends AS (SELECT a, b FROM both_of WHERE common >= 3 UNION ALL SELECT b, a FROM both_of WHERE common >= 3),
+  reach(id, m) AS (SELECT a, a FROM ends UNION SELECT r.id, e.b FROM reach r JOIN ends e ON r.m = e.a), groups AS (SELECT id, min(m) AS group_id FROM reach GROUP BY 1),
+  inside AS (SELECT x.group_id, p.common, p.score FROM both_of p JOIN groups x ON x.id = p.a JOIN groups y ON y.id = p.b AND y.group_id = x.group_id),
+  sizes AS (SELECT group_id, count(*) AS size FROM groups GROUP BY 1), alike AS (SELECT group_id, word FROM words JOIN groups USING (id) JOIN sizes USING (group_id) GROUP BY group_id, word HAVING count(*) = any_value(size))
+  SELECT group_id, size, count(*) FILTER (common >= 3) AS links, round(sum(score) / (size * (size - 1) / 2), 6) AS score, coalesce((SELECT string_agg(word, ' ' ORDER BY word COLLATE "BINARY") FROM alike a WHERE a.group_id = s.group_id), '') AS common
+  FROM sizes s JOIN inside USING (group_id) GROUP BY group_id, size""")
+def overlap_groups(spark, d):
+    """Groups by three common words, counted from subsets of words: links, mean similarity of all pairs, words that all have."""
+    _, told = overlap.overlap_groups(catalog(spark, d), names.tokens(F.col("name")), 3)
+    return told.select("group_id", "size", "links", F.round("score", 6).alias("score"), F.array_join("common", " ").alias("common"))
+
+
 @query(f"{_FOUND} SELECT group_id, id FROM groups")
 def dup_components(spark, d):
     """Groups by all detectors, merged; three common words link two names."""
@@ -78,10 +90,9 @@ def dup_components(spark, d):
 def dup_groups(spark, d):
     """Kind, score, confidence, size and master of each group."""
     rows = catalog(spark, d)
-    pairs = dedup.detected_pairs(rows, common_words=3)
-    groups = dedup.components(pairs.select("a", "b").distinct())
+    groups, links = dedup.found_groups(rows, common_words=3)
     worth = F.least(F.length("name") / 2.0, F.lit(10.0)) + F.when(F.col("code") != "", 0.5).otherwise(0.0)
-    g = dedup.group_summary(pairs, groups, rows, worth)
+    g = dedup.group_summary(links, groups, rows, worth)
     return g.select("group_id", "type", F.round(F.col("score") + 1e-9, 6).alias("score"), F.round(F.col("confidence") + 1e-9, 6).alias("confidence"), "size", "master_id")
 
 

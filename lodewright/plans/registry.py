@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodewright.functions import answers, dictionaries, names, parsing, patterns, validators
+from lodewright.functions import answers, dictionaries, names, parsing, patterns, tokens, validators
 from lodewright.functions.text import ascii_edges
 from lodewright.operators import classify, dedup, quality, reports, snapshots
 
 from . import cyrillic, duplicates, workflows  # noqa: F401  they register their queries
-from .adapters import ITEMS, LINES, METRICS, NORMALIZED, items, lines, metrics, normalized, table
+from .adapters import ITEMS, LINES, METRICS, NORMALIZED, RUSSIAN, items, lines, metrics, normalized, samples, table
 from .base import ORACLES, QUERIES, query  # noqa: F401
 
 # ---------------------------------------------------------------- names
@@ -125,11 +125,43 @@ def inn_extract(spark, d):
     return table(spark, d, "customer").select(c.alias("id"), validators.extract_inn(t).alias("inn"), validators.extract_kpp(t).alias("kpp"))
 
 
-@query()
+@query(f"""WITH {ITEMS} SELECT id, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS main_text, concat_ws('|', category, 'x, y') AS inside, 1 AS max_depth,
+  len(regexp_extract_all(name || ' (' || category, '\\S+')) + len(regexp_extract_all(name || ' (' || category, '\\s')) + 7 AS tokens FROM items""")
 def name_parse(spark, d):
-    """Bracket-aware tokens of names: main text, bracketed parts, structure (parsing is a state machine)."""
-    t = items(spark, d).select("id", parsing.tokenize(F.concat("name", F.lit(" ("), "category", F.lit(", \"x\")"))).alias("t"))
-    return t.select("id", parsing.main_text(F.col("t")).alias("main_text"), F.array_join(parsing.bracketed(F.col("t")), "|").alias("inside"), parsing.structure(F.col("t"))["max_depth"].alias("max_depth"))
+    """Bracket-aware tokens of names: main text, bracketed parts, structure."""
+    t = items(spark, d).select("id", tokens.tokenize(F.concat("name", F.lit(" ("), "category", F.lit(", \"x, y\")"))).alias("t"))
+    told = t.select("id", tokens.main_text(F.col("t")).alias("main_text"), F.array_join(tokens.bracketed(F.col("t")), "|").alias("inside"), tokens.structure(F.col("t")).alias("s"))
+    return told.select("id", "main_text", "inside", "s.max_depth", F.col("s.tokens").cast("long").alias("tokens"))
+
+
+@query(f"""WITH {ITEMS}, p AS (SELECT id, code, name, category FROM items) SELECT id, unnest([code || ' (a,b)', name, category || ' "c;d"']) AS part, unnest([0, 1, 2]) AS at FROM p""")
+def split_names(spark, d):
+    """Names cut at two separators, but not inside brackets or quotes."""
+    t = items(spark, d).select("id", tokens.tokenize(F.concat("code", F.lit(" (a,b), ,"), "name", F.lit(";"), "category", F.lit(" \"c;d\""))).alias("t"))
+    parts = F.filter(tokens.split_at(F.col("t"), ",", ";"), lambda p: p != "")
+    return t.select("id", F.posexplode(F.transform(parts, F.trim)).alias("at", "part"))
+
+
+_FOUND_AT = ("dimension", "units_of_measure", "special_chars", "numbers_in_name", "brand")
+
+
+def _positions_sql() -> str:
+    """Starts of matches from the lengths of what stands between them and of the matches before."""
+    one = []
+    for p in (p for p in patterns.PATTERNS if p.kind in _FOUND_AT):
+        r, flags = (p.regex.removeprefix("(?iu)"), "'i'") if p.regex.startswith("(?iu)") else (p.regex, "''")
+        r = r.replace("'", "''")
+        one.append(f"SELECT id, '{p.kind}' AS type, regexp_split_to_array(name, '{r}', {flags}) AS s, regexp_extract_all(name, '{r}', 0, {flags}) AS m FROM samples")
+    return f"""WITH {RUSSIAN}, f AS ({' UNION ALL '.join(one)}), k AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM f)
+      SELECT id, type, (list_sum(list_transform(s[1:k], lambda x: strlen(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: strlen(x))), 0))::INT AS position, strlen(m[k])::INT AS length,
+        (list_sum(list_transform(s[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::INT AS char_position, m[k] AS matched_text FROM k"""
+
+
+@query(_positions_sql())
+def pattern_positions(spark, d):
+    """Where patterns stand in Russian names, in bytes and in characters."""
+    rules = [p for p in patterns.PATTERNS if p.kind in _FOUND_AT]
+    return samples(spark, d).select("id", F.inline(patterns.detect_at(F.col("name"), rules)))
 
 
 @query(f"""WITH {ITEMS} SELECT id, code AS brand, category AS model, name AS color FROM items""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodewright.functions import names
 from lodewright.operators import classify, pipelines, quality, reports, snapshots
+from lodewright.operators.descent import descend
 
 from .adapters import CATEGORIES, ITEMS, METRICS, NORMALIZED, OTHER, categorized_sql, items, metrics, normalized, normalized_sql, table
 from .base import query
@@ -217,7 +218,7 @@ def items_by_levels(spark, d):
   kpved_code = '' AND regexp_matches(lower(name), '\\b(ring|bolt)\\b') AS reclassified FROM w""")
 def reclassified(spark, d):
     """Items without a code, classified anew by keywords."""
-    n = normalized(spark, d).drop("code")
+    n = normalized(spark, d)
     return classify.reclassify(n, "name", entries=[("ring", "28.15.32", 0.9), ("bolt", "25.93.11", 0.98)], phrases=[]).select("id", "kpved_code", "reclassified")
 
 
@@ -254,12 +255,33 @@ def found_codes(spark, d):
 def descent(spark, d):
     """A model led down a tree of codes; it stops where it is not sure (a stub that knows the regions)."""
     n, r = table(spark, d, "nation"), table(spark, d, "region")
-    of = {x[0]: x[1] for x in n.join(r, n.n_regionkey == r.r_regionkey).select("n_name", "r_name").collect()}  # 25 rows
 
     def model(asked):
-        return [(of[name] if not code else name, 0.9 if (code and len(name) % 2 == 0) or (not code and (len(name) % 2 == 0 or len(name) % 3)) else 0.5) for name, code in asked]
+        told = [(name.split("/"), code) for name, code in asked]
+        return [(top if not code else name, 0.9 if (code and len(name) % 2 == 0) or (not code and (len(name) % 2 == 0 or len(name) % 3)) else 0.5) for (top, name), code in told]
+
+    named = n.join(r, n.n_regionkey == r.r_regionkey).select(F.concat("r_name", F.lit("/"), "n_name").alias("name"))
+    return descend(named, _tree(spark, d), model).select(F.substring_index("name", "/", -1).alias("name"), "code", "steps")
+
 
-    return classify.descend(n.select(F.col("n_name").alias("name")), _tree(spark, d), model).select("name", "code", "steps")
+@query("""WITH p AS (SELECT p_partkey AS id, p_brand AS a, p_type AS b, p_size AS c, p_partkey % 5 AS k FROM part) SELECT id, CASE k WHEN 0 THEN '' WHEN 1 THEN a WHEN 2 THEN concat_ws('/', a, b) ELSE concat_ws('/', a, b, c) END AS code,
+  CASE WHEN k < 3 THEN k ELSE 3 END AS steps, CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 0.95 WHEN 2 THEN 0.9 ELSE 0.85 END::DOUBLE AS confidence FROM p""")
+def item_descent(spark, d):
+    """All parts led down a tree of brand, type and size; the stub reads the names and is unsure where a part's number tells so."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_type", "p_size")
+    steps = [p.select(F.concat_ws("/", *c).alias("code"), F.concat_ws("/", *c[:-1]).alias("parent_code")).distinct() for c in (["p_brand"], ["p_brand", "p_type"], ["p_brand", "p_type", "p_size"])]
+
+    def model(asked):
+        out = []
+        for name, code in asked:
+            number, *path = name.split("|")
+            at = len(code.split("/")) if code else 0
+            out.append(("/".join(path[: at + 1]), 0.95 - 0.05 * at if int(number) % 5 > at else 0.3))
+        return out
+
+    named = p.select("id", F.concat_ws("|", "id", "p_brand", "p_type", "p_size").alias("name"))
+    told = descend(named, steps[0].unionByName(steps[1]).unionByName(steps[2]), model)
+    return named.join(told, "name").select("id", "code", "steps", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"""WITH {ITEMS}, b AS (SELECT lower(trim(name)) AS k, arg_max(id, (price, -id)) AS benchmark_id, arg_max(category, (price, -id)) AS category FROM items WHERE id % 4 = 0 GROUP BY 1)

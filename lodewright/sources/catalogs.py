@@ -11,13 +11,12 @@ from pyspark.sql import types as T
 from lodewright.operators.classify import tree_level, tree_parent
 from lodewright.operators.staging import numbered
 
-ITEM = T.StructType([T.StructField(c, T.StringType()) for c in ("upload_uuid", "catalog_name", "reference", "code", "name", "attributes_xml", "table_parts_xml", "timestamp")])
-HANDSHAKE = T.StructType([T.StructField(c, T.StringType()) for c in ("version_1c", "config_name", "config_version", "computer_name", "user_name", "timestamp", "upload_type", "iteration_label", "programmer_name", "upload_purpose")] + [T.StructField(c, T.LongType()) for c in ("iteration_number", "parent_upload_id", "database_id")])
-CONSTANT = T.StructType([T.StructField(c, T.StringType()) for c in ("upload_uuid", "name", "synonym", "type", "value", "timestamp")])
+ITEM = T.StructType([T.StructField(c, T.StringType()) for c in ("reference", "code", "name", "attributes_xml", "table_parts", "timestamp")])
 
 
 def read_xml(spark: SparkSession, path: str, tag: str = "item", schema: T.StructType = ITEM) -> DataFrame:
-    """One row per element ``tag``; bad records keep their text in ``_corrupt_record``."""
+    """One row per element ``tag``, without what stands outside of it (see
+    ``messages`` for that); bad records keep their text in ``_corrupt_record``."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     return spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").schema(full).load(path)
 

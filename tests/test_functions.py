@@ -83,9 +83,7 @@ def test_pattern_fixes(spark):
     assert conf[0] == 1.0 and 0 < conf[1] < 1
 
 
-def test_scan_and_split(spark):
-    got = parsing.scan('a, b (c [d]) "e,f" \\(x')
-    assert [(t[0], t[1], t[2]) for t in got if t[0] in ("text", "quoted")] == [("text", "a", 0), ("text", "b", 0), ("text", "c", 1), ("text", "d", 2), ("quoted", "e,f", 0), ("text", "(x", 0)]
+def test_split(spark):
     assert column(spark, ["a, b(c,d), e", ""], parsing.split_top) == [["a", "b(c,d)", "e"], [""]]
     assert column(spark, ["k: v, k: w, z:1"], lambda c: parsing.key_values(parsing.split_top(c))) == [{"k": "v", "z": "1"}]
 

@@ -58,14 +58,10 @@ def test_only_sure_rows_are_dropped(spark):
     assert sorted(map(str, (r[0] for r in new.collect()))) == ["None", "a", "c"] and sorted(raised.collect()) == [("a", 2), ("b", 5)]
 
 
-def test_service_codes():
-    assert classify.SERVICE_CODES and len(classify.KEYWORDS) == len({w for w, _, _ in classify.KEYWORDS})
-
-
 def test_service_codes_of_rows(spark):
     rows = [("33.1", True), ("32.99.5", False), ("71.20.1", True), ("99", True), ("100.1", False), ("01.11", False), ("x", False), (None, False)]
     got = spark.createDataFrame(rows, "c string, want boolean").select("want", classify.is_service_code(F.col("c")).alias("got")).collect()
-    assert [r.got for r in got][:4] + [r.got for r in got][5:] == [r.want for r in got][:4] + [r.want for r in got][5:]
+    assert [r.got for r in got] == [r.want for r in got]
     told = spark.range(1).select(classify.is_service_code(F.lit("01.11"), F.lit("Услуги прочие")).alias("x")).first()
     assert told.x
 
@@ -78,10 +74,7 @@ def test_learned_keywords_and_context(spark):
     assert c.name == "a b" and abs(c.confidence - 0.9) < 1e-9
 
 
-def test_contextual_attributes_and_own_schemas(spark):
-    t = spark.createDataFrame([("Насос (мощность: 5 кВт; синий) цвет=белый",)], "n string").select(parsing.tokenize("n").alias("t"))
-    got = {(x.name, x.value, x.source) for x in t.select(parsing.extract_contextual(F.col("t")).alias("a")).first().a}
-    assert ("мощность", "5 кВт", "bracket") in got and ("note", "синий", "bracket") in got
+def test_own_schemas(spark):
     parsing.register_schema("Own", [parsing.Slot("a", required=True), parsing.Slot("b", default="x")])
     good, bad = parsing.extract_by_position(F.array(F.lit("1")), parsing.SCHEMAS.pop("Own"))
     r = spark.range(1).select(good.alias("g"), bad.alias("b")).first()
