@@ -641,7 +641,8 @@ def degrees(docs: DataFrame, nodes: DataFrame, marks: DataFrame, known: DataFram
 
 def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text", count_links: bool = True, with_key: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, links): one row per row of ``docs``;
-    ``with_key`` adds ``set_key``, which names the row's set (null if empty).
+    ``with_key`` adds ``set_key``, which names the row's set (null if empty), and
+    ``component``, which names its component also where two have one smallest id.
 
     ``component_id`` is the smallest id reachable by links, itself included;
     ``links`` counts the linked nodes (distinct other sets) of the row's set, all
@@ -667,15 +668,16 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
     known = staged(merged(labels, rest), "known")
     grouped = nodes.join(known, "k", "left").select("k", "rid", F.coalesce("label", "k").alias("label"))
     smallest = grouped.groupBy("label").agg(F.min("rid").alias("component_id"))
-    named = grouped.join(smallest, "label").select("k", "component_id")
-    full = rows.filter("n > 0").join(named, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("k").alias("set_key"))
-    empty = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("set_key"))
+    named = grouped.join(smallest, "label").select("k", "component_id", F.col("label").alias("component"))
+    full = rows.filter("n > 0").join(named, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("k").alias("set_key"), "component")
+    none = F.lit(None).cast("long")
+    empty = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), none.alias("set_key"), none.alias("component"))
     if count_links:
         counted = degrees(docs, nodes, marks, known, links).withColumnRenamed("k", "set_key")
         full = full.join(counted, "set_key", "left").withColumn("links", F.coalesce("links", F.lit(0)))
         empty = empty.withColumn("links", F.lit(0).cast("long"))
     out = full.unionByName(empty)
-    return out if with_key else out.drop("set_key")
+    return out if with_key else out.drop("set_key", "component")
 
 
 def with_set_keys(docs: DataFrame, text: str = "text") -> DataFrame:

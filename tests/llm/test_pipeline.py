@@ -40,6 +40,15 @@ def test_repeated_ids_of_unlike_texts(spark, monkeypatch, ids):
     assert sorted((str(r.doc_id), (r.text or "")[:1]) for r in got) == [("1", "a"), ("2", "b"), ("3", "c"), ("5", ""), ("5", ""), ("None", "a")]
 
 
+def test_no_unlike_text_of_a_repeated_id_is_lost(spark):
+    x, y, z = (" ".join(f"{c}{j}" for j in range(60)) for c in "xyz")
+    rows = [(7, x), (7, y), (7, y), (8, z), (7, x + " more"), (9, y + " more"), (9, x + " other"), (10, None), (10, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for order in (docs, docs.orderBy(F.desc("text")).repartition(3)):
+        got = cp.drop_near_duplicates(spark, order, SF).collect()
+        assert sorted((r.doc_id, r.text or "") for r in got) == [(7, x), (7, y), (8, z), (10, ""), (10, "")]
+
+
 @pytest.mark.parametrize("name, stage", cp.STAGES)
 def test_stages_on_odd_rows(spark, name, stage):
     rows = [(i, t, "en", f"s{i % 2}", 1) for i, t in enumerate(ODD)] + [(None, "lone text", None, None, None), (3, "a", "en", "s1", 1), (3, "a", "en", "s1", 1)]
@@ -67,8 +76,9 @@ def test_all_stages(spark):
 @pytest.mark.parametrize("name", [n for n in registry.QUERIES if n != "pipeline"])
 def test_queries_over_whole_tables(spark, name):
     rows = registry.QUERIES[name](spark, SF)
-    n = spark.read.parquet(f"{SF}/{'pages' if name.startswith('op2_') else 'documents'}.parquet").count()
-    if re.match("op[123679]_|op10_", name):
+    source = {"op2": "pages", "op12": "embeddings", "op13": "embeddings"}.get(name.split("_")[0], "documents")
+    n = spark.read.parquet(f"{SF}/{source}.parquet").count()
+    if re.match("op[123679]_|op1[023]_", name):
         assert rows.count() == n
     else:
         assert rows.count() > 0
