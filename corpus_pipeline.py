@@ -44,14 +44,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest id stays.
 
-    Rows are told apart by id and set of shingles: of repeated ones one stays,
-    and where an id stands for unlike texts each is judged by its own
-    component. Rows without an id, and those without words, stay. Other columns
-    are left out. An empty table gives no rows.
+    Rows are told apart by id and component: of a component's rows with its
+    smallest id the one with the smallest text stays, and where an id stands for
+    unlike texts each is judged by its own component. Rows without an id, and
+    those without words, stay. Other columns are left out. An empty table gives
+    no rows.
     """
     docs = docs.select(COLUMNS)
     found = jaccard.jaccard_components(docs.select("doc_id", "text"), count_links=False, with_key=True)
-    found = staged(found.select("doc_id", "component_id", "set_key").filter("doc_id is not null"), "near-copies")
+    found = staged(found.select("doc_id", "component_id", "set_key", "component").filter("doc_id is not null"), "near-copies")
     often = staged(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
     gone = found.filter("component_id <> doc_id").select("doc_id")
     kept = docs.join(few(gone.union(often).distinct()), "doc_id", "left_anti").select(COLUMNS)
@@ -59,7 +60,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         return kept
     mine = jaccard.with_set_keys(docs.join(few(often), "doc_id", "left_semi").select(COLUMNS))
     told = found.join(few(often), "doc_id", "left_semi").filter("set_key is not null").distinct()
-    first = mine.join(few(told), ["doc_id", "set_key"]).filter("component_id = doc_id").dropDuplicates(["doc_id"])
+    first = mine.join(few(told), ["doc_id", "set_key"]).filter("component_id = doc_id")
+    first = first.groupBy("doc_id", "component").agg(F.min(F.struct(COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
     return kept.unionByName(first.select(COLUMNS)).unionByName(mine.filter("set_key is null").select(COLUMNS))
 
 
