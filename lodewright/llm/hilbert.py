@@ -50,8 +50,9 @@ def curve_table(dims: int, bits: int) -> list[int]:
 
 
 def _codes(df: DataFrame, dims: list[str]) -> dict[str, Column]:
-    """A long for each dimension that keeps its order; strings give the seven
-    bytes behind the prefix that all values share."""
+    """A number for each dimension that keeps its order; strings give the seven
+    bytes behind the prefix that all values share, so strings that are equal
+    there share a level. That loses pruning between them, and no row."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     text = [d for d in dims if isinstance(kinds[d], T.StringType)]
     ends = df.agg(F.lit(0), *[f(F.col(f"`{d}`")) for d in text for f in (F.min, F.max)]).first()

@@ -30,9 +30,9 @@ NEAR = 48
 #: Labelled findings that the forest is trained on.
 FINDINGS = 8_000
 TREES, DEPTH, SEED = 15, 8, 11
-#: Words of a dictionary learned from texts, by the number of texts that have them; so many of them tell which letter follows which.
-WORDS, COMMON_WORDS = 4_000, 400
-#: Letters of a word that is learned.
+#: Words of the dictionary learned from texts: those that most texts have.
+WORDS = 4_000
+#: Letters of a word that is learned; those of four or more count as covered.
 LETTERS = (3, 20)
 
 _RUN = r"A-Za-z0-9+/_=.\-"
@@ -52,7 +52,8 @@ FEATURES = ["length", "turns", "transitions", "digits", "uppers", "distinct", "v
 
 @dataclass(frozen=True)
 class Language:
-    """What words look like: common words, and the log-odds of a letter pair in words against equal chance."""
+    """What words look like: the dictionary, in any script, and the log-odds of a
+    pair of the letters a to z in words against equal chance."""
 
     words: tuple[str, ...]
     pairs: dict[str, float]
@@ -69,12 +70,32 @@ class Language:
             first[pair[0]] += n
         letters = "abcdefghijklmnopqrstuvwxyz"
         odds = {a + b: round(math.log((seen[a + b] + 1) / (first[a] + 26) * 26), 4) for a in letters for b in letters}
-        return cls(tuple(sorted({w for w, _ in counts[:COMMON_WORDS] if len(w) > 3} | set(HARMLESS))), odds)
+        return cls(tuple(sorted({w for w, _ in counts if len(w) > 3} | set(HARMLESS))), odds)
+
+
+def longest_word(words: tuple[str, ...]) -> str:
+    """A pattern of the longest of ``words`` at a place: words that begin alike share
+    their beginning, so a place is looked at letter by letter, whatever their number."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for letter in w:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        after = [c + pattern(n) for c, n in sorted(node.items()) if c]
+        if not after:
+            return ""
+        inner = after[0] if len(after) == 1 and "" not in node else f"(?:{'|'.join(after)})"
+        return inner + "?" * ("" in node)
+
+    return pattern(tree)
 
 
 def learn_language(docs: DataFrame, text: str = "text", words: int = WORDS) -> Language:
-    """From the ``words`` lower-case words that most texts have; all texts are counted."""
-    each = F.array_distinct(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "[^a-z]+"))
+    """From the ``words`` words of lower-case letters of any script that most texts have; all texts are counted."""
+    each = F.array_distinct(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), r"\P{Ll}+"))
     counted = docs.select(F.explode(each).alias("word")).filter(F.length("word").between(*LETTERS)).groupBy("word").agg(F.count("*").alias("n"))
     return Language.of([(r[0], r[1]) for r in counted.orderBy(F.desc("n"), "word").limit(words).collect()])
 
@@ -108,7 +129,7 @@ def features(found: DataFrame, language: Language) -> DataFrame:
     told = F.transform(F.arrays_zip(F.slice(letters, 1, F.greatest(n - 1, F.lit(0))).alias("a"), F.slice(letters, 2, F.greatest(n - 1, F.lit(0))).alias("b")), lambda p: F.coalesce(F.try_element_at(odds, F.concat(p["a"], p["b"])), F.lit(-2.0)))
     mean = F.aggregate(told, F.lit(0.0), lambda a, x: a + x) / F.greatest(n - 1, F.lit(1))
     alphabet = F.array(*map(F.lit, ALPHABET))
-    known = "|".join(sorted(language.words, key=lambda w: (-len(w), w)))
+    known = longest_word(language.words)
 
     def share(pattern: str) -> Column:
         return F.length(F.regexp_replace(c, pattern, "")) / n
@@ -214,16 +235,31 @@ def _vote(node, names: list[str]) -> Column:
     return F.when(F.col(names[split.featureIndex()]) <= float(split.threshold()), _vote(node.leftChild(), names)).otherwise(_vote(node.rightChild(), names))
 
 
-def train_forest(findings: DataFrame, language: Language, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list[Column]:
-    """One expression over ``FEATURES`` per tree, from labelled findings."""
+def fit_model(findings: DataFrame, language: Language, trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
+    """A random forest of Spark's ML library over ``FEATURES``, gathered in column x, from labelled findings."""
     from pyspark.ml.classification import RandomForestClassifier
+
+    rows = feature_vectors(findings, language).select("x", F.col("label").cast("double").alias("label"))
+    return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=2).fit(rows)
+
+
+def feature_vectors(findings: DataFrame, language: Language) -> DataFrame:
+    """``findings`` plus the features, and all of them as a vector x."""
     from pyspark.ml.feature import VectorAssembler
 
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(features(findings, language)).select("x", F.col("label").cast("double").alias("label"))
-    model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=2).fit(rows)
+    return VectorAssembler(inputCols=FEATURES, outputCol="x").transform(features(findings, language))
+
+
+def as_expressions(model) -> list[Column]:
+    """One expression over ``FEATURES`` per tree of the model."""
     return [_vote(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode"), FEATURES) for t in model.trees]
 
 
+def train_forest(findings: DataFrame, language: Language, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list[Column]:
+    """One expression over ``FEATURES`` per tree, from labelled findings."""
+    return as_expressions(fit_model(findings, language, trees, depth, seed))
+
+
 def scan_secrets(docs: DataFrame, forest: list[Column], language: Language, ident: str = "doc_id", text: str = "text", path: str = "source", threshold: float = 0.5) -> DataFrame:
     """Every candidate with ``p_secret``, the forest's mean vote, and ``secret``: a
     mean vote of ``threshold`` or more, so a tie at it counts as a secret.

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import P, staged, table
+from .common import P, new_path, staged, table
 from .vectors import lists, matrix, whole_vectors
 
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
@@ -26,6 +26,8 @@ PARTS, ENTRIES, ROUNDS = 16, 64, 2
 BLOCK = 16_384
 #: Points of a leaf, at most.
 LEAF = 16
+#: Blocks of a file: a reader holds those of one file at a time, however many a task wrote.
+FILE_BLOCKS = 16
 
 
 @dataclass(frozen=True)
@@ -255,7 +257,9 @@ def vector_codes(df: DataFrame, ident: str = "vec_id", vector: str = "embedding"
     if not first:
         return kept.limit(0).select("vec_id", "label", F.col("v").alias("entries"), F.lit(0).cast("long").alias("error")), []
     codebooks = list(np.stack(np.split(np.array([r.v for r in sorted(first)], np.int64), parts, axis=1)))
-    blocks = staged(tree_blocks(kept, parts, ["vec_id", "label"]), "trees")
+    trees, path = tree_blocks(kept, parts, ["vec_id", "label"]), new_path(df.sparkSession, "trees")
+    trees.write.option("maxRecordsPerFile", FILE_BLOCKS).parquet(path)
+    blocks = df.sparkSession.read.schema(trees.schema).parquet(path)
     for _ in range(rounds):
         codebooks = refine(blocks, codebooks)
     return codes(blocks, codebooks, ["vec_id", "label"]), codebooks

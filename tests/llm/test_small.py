@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -219,9 +220,24 @@ def forest(spark, language):
     return secrets.train_forest(secrets.labelled_findings(spark, 4200), language)
 
 
+def lower_words(text):
+    """Runs of lower-case letters of any script."""
+    return "".join(c if unicodedata.category(c) == "Ll" else " " for c in text).split()
+
+
+def test_longest_words_of_a_dictionary():
+    r = random.Random(4)
+    words = tuple(sorted({"".join(r.choice("abé") for _ in range(r.randint(1, 6))) for _ in range(300)}))
+    shared, plain = re.compile(secrets.longest_word(words)), re.compile("|".join(sorted(words, key=lambda w: (-len(w), w))))
+    for _ in range(300):
+        t = "".join(r.choice("abé_") for _ in range(40))
+        assert shared.sub("", t) == plain.sub("", t)
+    assert secrets.longest_word(("one",)) == "one" and re.fullmatch(secrets.longest_word(("a", "ab")), "ab")
+
+
 def test_language_is_that_of_counting(spark, language):
     texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    seen = Counter(w for t in texts for w in set(re.split("[^a-z]+", t)) if 3 <= len(w) <= 20)
+    seen = Counter(w for t in texts for w in set(lower_words(t)) if 3 <= len(w) <= 20)
     best = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: secrets.WORDS]
     assert language == secrets.Language.of(best)
     assert secrets.learn_language(documents(spark, ["a"]).limit(0)).pairs["ab"] == 0.0
@@ -234,6 +250,14 @@ def test_forest_on_held_out_findings(spark, forest, language):
     assert np.mean([r.label == r.said for r in got]) > 0.97
 
 
+def test_expressions_are_the_model(spark, language):
+    model = secrets.fit_model(secrets.labelled_findings(spark, 2100), language, trees=4)
+    trees = secrets.as_expressions(model)
+    held = secrets.feature_vectors(secrets.labelled_findings(spark, 3000), language)
+    rows = model.transform(held.select("*", (sum(trees[1:], trees[0]) / 4).alias("mine"))).select("mine", "probability").collect()
+    assert max(abs(r.mine - r.probability[1]) for r in rows) < 1e-9 and len({round(r.mine, 3) for r in rows}) > 5
+
+
 def test_features_over_whole_candidates(spark, language):
     long = "a" * 300 + "bcd0"
     row = secrets.features(spark.createDataFrame([("p", "", long, ""), ("p", "", "zq", ""), ("p", "", "q", "")], "path string, before string, candidate string, after string"), language).collect()
@@ -256,15 +280,18 @@ def planted(n):
         lambda: f"commit {some(40, '0123456789abcdef')}", lambda: f"sha256 {some(64, '0123456789abcdef')}", lambda: f"call +1-{some(3, '0123456789')}-{some(3, '0123456789')}-{some(4, '0123456789')}",
         lambda: "password = changeme123", lambda: "https://www.lake.com/moon/tower2.html", lambda: f"card {some(16, '0123456789')}", lambda: "api_key: your_api_key_here", lambda: "docs/bread/salt_copper_v12.json",
     ]
-    return [(f"{text()} {r.choice(good if i % 2 else bad)()} {text()}", i % 2) for i in range(n)]
+    kinds = [*((f, 1) for f in good), *((f, 0) for f in bad)]
+    return [(f"{text()} {kinds[i % len(kinds)][0]()} {text()}", kinds[i % len(kinds)][1], i % len(kinds)) for i in range(n)]
 
 
 def test_planted_secrets_are_found_and_false_alarms_left(spark, forest, language):
-    rows = planted(800)
-    got = secrets.scan_secrets(documents(spark, [t for t, _ in rows]), forest, language).filter("secret").select("doc_id").distinct().collect()
+    rows = planted(960)
+    got = secrets.scan_secrets(documents(spark, [t for t, *_ in rows]), forest, language).filter("secret").select("doc_id").distinct().collect()
     found = {r.doc_id for r in got}
-    assert np.mean([i in found for i, (_, y) in enumerate(rows) if y]) >= 0.9
-    assert np.mean([i in found for i, (_, y) in enumerate(rows) if not y]) <= 0.1
+    share = lambda kind: np.mean([i in found for i, (*_, k) in enumerate(rows) if k == kind])
+    shares = {k: share(k) for k in range(16)}
+    assert all(shares[k] >= 0.8 for k in range(8)) and np.mean([shares[k] for k in range(8)]) >= 0.9, shares
+    assert all(shares[k] <= 0.2 for k in range(8, 16)) and np.mean([shares[k] for k in range(8, 16)]) <= 0.1, shares
 
 
 def test_secrets_in_odd_tables(spark, forest, language):
