@@ -100,8 +100,10 @@ def classify_by_keyword(items: DataFrame, name: str = "normalized_name", entries
     """
     entries = entries or KEYWORDS
     words = F.broadcast(items.sparkSession.createDataFrame(entries, "root string, code string, confidence double"))
-    # each distinct name is cleaned once; long expressions stay in projections of their own
-    once = items.select(F.col(name).alias("_name")).distinct().withColumn("_clean", clean_name(F.col("_name")))
+    # each distinct name is cleaned once, and a few names are dealt over all tasks, as they are much work for their
+    # bytes; long expressions stay in projections of their own
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = items.select(F.col(name).alias("_name")).distinct().repartition(tasks, "_name").withColumn("_clean", clean_name(F.col("_name")))
     told = once.select("_name", root_word(F.col("_clean"), [e[0] for e in entries], phrases).alias("root"), product_kind(F.col("_clean")).alias("kind"))
     joined = told.join(words, "root", "left")
     panel = (F.col("kind") == "sandwich_panel") & F.col("root").isin("панель", "isowall", "сэндвич", "sandwich", "isopan")

@@ -113,6 +113,21 @@ def cosine_pairs(vectors: DataFrame, threshold: float = 0.85, tile: int = TILE)
     return scored.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), score.alias("score")).filter(F.round("score", 9) >= threshold)
 
 
+def mean_cosine(vectors: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group_id, size, score): the mean cosine of all pairs of each of ``groups``
+    (group_id, id; two members or more) of vectors (id, word, w; w > 0 counts).
+
+    The pairs aren't made: all cosines of a group add up to the squared length of
+    the sum of its unit vectors, less one for each. An item without a vector is like none."""
+    kept = vectors.filter("w > 0")
+    norms = kept.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    unit = kept.join(norms, "id").join(groups, "id").select("group_id", "id", "word", (F.col("w") / F.col("norm")).alias("u"))
+    lengths = unit.groupBy("group_id", "word").agg(F.sum("u").alias("u")).groupBy("group_id").agg(F.sum(F.col("u") * F.col("u")).alias("whole"))
+    sizes = groups.join(norms, "id", "left").groupBy("group_id").agg(F.count("*").alias("size"), F.count("norm").alias("n"))
+    score = (F.coalesce("whole", F.lit(0.0)) - F.col("n")) / (F.col("size") * (F.col("size") - 1))
+    return sizes.join(lengths, "group_id", "left").filter("size > 1").select("group_id", "size", score.alias("score"))
+
+
 def fuzzy_pairs(items: DataFrame, name: str = "name", threshold: float = 0.85, unit: str = "bytes") -> DataFrame:
     """(a, b, score) of all names (id, name) with an edit similarity of ``threshold`` or more; an empty name is like none."""
     return edit_pairs(items.select("id", F.lower(F.trim(F.col(name))).alias("n")).filter("n <> ''"), threshold, unit)
@@ -229,8 +244,8 @@ def group_summary(links: DataFrame, groups: DataFrame, members: DataFrame, score
     return told.join(masters(groups.join(members, "id"), score), "group_id").select("group_id", "type", "score", "confidence", "size", "master_id")
 
 
-def known_groups(found: DataFrame, stored: DataFrame) -> DataFrame:
-    """Groups (hash, …) that are not among the stored ones yet."""
+def new_groups(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """Groups (hash, …) that are new: not among the stored ones yet."""
     return found.join(stored.select("hash"), "hash", "left_anti")
 
 

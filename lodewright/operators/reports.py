@@ -190,3 +190,30 @@ def benchmark_lookup(names: DataFrame, name: str, benchmarks: DataFrame) -> Data
 
 def top_counts(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(n)
+
+
+def waiting(df: DataFrame, status: str, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """A page of the rows whose state is missing or pending; a missing one is shown as pending."""
+    told = df.withColumn(status, F.coalesce(F.col(status), F.lit("pending")))
+    return page(told.filter(F.col(status) == "pending"), order, offset, limit)
+
+
+def incorrect(df: DataFrame, keys: list[str], more: list[str], limit: int = 100, status: str = "validation_status") -> DataFrame:
+    """(keys, more, total): the first distinct rows marked incorrect, in order, and how many distinct keys without nulls there are."""
+    wrong = df.filter(F.col(status) == "incorrect").select(*keys, *more).distinct()
+    whole = F.forall(F.array(*keys), lambda k: k.isNotNull())
+    total = wrong.filter(whole).select(*keys).distinct().agg(F.count("*").alias("total"))  # one row
+    return wrong.orderBy(*keys, *more).limit(limit).crossJoin(F.broadcast(total))
+
+
+def members(df: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    """``df`` plus merged_count and first_id of its row's group; a null key is a key. Groups meet their rows by a join, so that a large one may be split."""
+    groups = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("merged_count"), F.min(ident).alias("first_id"))
+    same = reduce(lambda a, b: a & b, (df[k].eqNullSafe(groups[f"_{k}"]) for k in keys))
+    return df.join(groups, same).drop(*[f"_{k}" for k in keys])
+
+
+def extent(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, items, matches, least, most, mean, without): of a whole number by key, nulls as 0."""
+    n = F.coalesce(F.col(value), F.lit(0)).cast("long")
+    return df.groupBy(key).agg(F.count("*").alias("items"), F.sum(n).alias("matches"), F.min(n).alias("least"), F.max(n).alias("most"), F.avg(n).alias("mean"), F.count(F.when(n == 0, 1)).alias("without"))

@@ -60,6 +60,24 @@ def master_references(items: DataFrame, key: str, name: str, reference: str) ->
     return items.groupBy(key).agg(F.min_by(reference, F.struct(F.lower(name), F.col(reference))).alias("master_reference"))
 
 
+def master_names(items: DataFrame, name: str, reference: str, normalize: Callable[[Column], Column]) -> DataFrame:
+    """(normalized_name, reference): of each normalised name the reference of the
+    first item by lower-case name; names that leave nothing are left out."""
+    told = items.withColumn("_bare", normalize(F.col(name))).filter("_bare <> ''")
+    return master_references(told, "_bare", name, reference).select(F.col("_bare").alias("normalized_name"), F.col("master_reference").alias("reference"))
+
+
+def normalize_upload(items: DataFrame, master: DataFrame, name: str, reference: str, normalize: Callable[[Column], Column]) -> DataFrame:
+    """``items`` plus normalized_name and normalized_reference: that of
+    ``master`` (normalized_name, reference), or the item's own where it has none.
+    A name of which nothing is left stays as it is; a null one stays null."""
+    bare = normalize(F.col(name))
+    told = items.withColumn("normalized_name", F.when(bare == "", F.col(name)).otherwise(bare))
+    known = master.select(F.col("normalized_name").alias("_name"), F.col("reference").alias("_reference"))
+    out = told.join(known, told["normalized_name"] == known["_name"], "left")
+    return out.withColumn("normalized_reference", F.coalesce("_reference", F.col(reference))).drop("_name", "_reference")
+
+
 def stage_state(stages: DataFrame, item: str, stage: str, output: str, upto: int | None = None) -> DataFrame:
     """The current name of each item: the output of its last stage, or of the last up to ``upto`` after a revert."""
     kept = stages if upto is None else stages.filter(F.col(stage) <= upto)

@@ -41,6 +41,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a scan of files, over at least half as many partitions as there are
+    cores: a small table of one file is dealt over all of them before work that is
+    long for each row, a large one stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """``df`` plus ``out``, the place of each row (from 1) in the order of its
     columns ``order``. Rows are dealt by ranges, ties by a number of their own;
@@ -55,11 +63,17 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     return told.join(F.broadcast(starts), "_range").withColumn(out, place).drop("_range", "_start", "_at")
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, as Hadoop's objects."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def remove(df_path: tuple[SparkSession, str]) -> None:
     spark, path = df_path
     with contextlib.suppress(Exception):  # the session has ended already; the folder's owner cleans up
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        where, files = hadoop_path(spark, path)
+        files.delete(where, True)
 
 
 def _clean() -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewright.functions import names
+from lodewright.operators.staging import spread
 
 #: Latin categories for the driver's names.
 CATEGORIES = {"fasteners": ["bolt", "screw", "nut"], "rings": ["ring", "gear"], "devices": ["widget", "gadget"]}
@@ -18,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, code, name, category, price): parts with sizes and stars in their names."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     size = F.when(F.col("p_partkey") % 3 == 0, "mm").when(F.col("p_partkey") % 3 == 1, " kg").otherwise("x20")
     star = F.when(F.col("p_partkey") % 5 == 0, " *").otherwise("")
     return p.select(
@@ -113,7 +114,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     things with the same words. A third of all names share a word."""
     k = F.col("p_partkey")
     pick = lambda words, i: F.element_at(F.array(*map(F.lit, words)), (i % len(words) + 1).cast("int"))
-    rows = table(spark, sf_dir, "part").select(k.alias("id"), (k % 5).alias("v"), F.floor(k / 5).cast("long").alias("q")).withColumn("h", F.md5(F.col("q").cast("string").cast("binary")))
+    rows = spread(table(spark, sf_dir, "part")).select(k.alias("id"), (k % 5).alias("v"), F.floor(k / 5).cast("long").alias("q")).withColumn("h", F.md5(F.col("q").cast("string").cast("binary")))
     rows = rows.withColumns({"noun": pick(_NOUNS, F.col("q")), "adj": pick(_ADJECTIVES, F.floor(F.col("q") / 12)), "tail": F.when(F.col("q") % 3 == 0, " опт").otherwise("")})
     rows = rows.withColumn("base", F.concat("noun", F.lit(" "), "adj", F.lit(" "), F.substring("h", 1, 12), "tail"))
     at = (F.lit(2) + F.col("q") % 5).cast("int")
@@ -152,7 +153,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, name): parts under Russian names, some with a size or an article behind."""
     k = F.col("p_partkey")
     tail = F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(F.lit(" "), (k % 50).cast("string"), F.lit("мм"))).otherwise(F.concat(F.lit(" арт. "), k.cast("string")))
-    return table(spark, sf_dir, "part").select(k.alias("id"), F.concat(F.element_at(F.array(*map(F.lit, SAMPLES)), (k % len(SAMPLES) + 1).cast("int")), tail).alias("name"))
+    return spread(table(spark, sf_dir, "part")).select(k.alias("id"), F.concat(F.element_at(F.array(*map(F.lit, SAMPLES)), (k % len(SAMPLES) + 1).cast("int")), tail).alias("name"))
 
 
 RUSSIAN = f"""samples AS (SELECT p_partkey AS id, {_listed(SAMPLES)}[(p_partkey % {len(SAMPLES)} + 1)::INT] || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' || (p_partkey % 50) || 'мм' ELSE ' арт. ' || p_partkey END AS name FROM part)"""

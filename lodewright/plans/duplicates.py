@@ -58,6 +58,17 @@ def tfidf_pairs(spark, d):
     return dedup.cosine_pairs(dedup.tfidf(catalog(spark, d), names.tokens(F.col("name")))).select("a", "b", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH RECURSIVE {_KEYS}, {_COSINE}, ends AS (SELECT a, b FROM alike WHERE round(score, 9) >= 0.85 UNION ALL SELECT b, a FROM alike WHERE round(score, 9) >= 0.85),
+  reach(id, m) AS (SELECT a, a FROM ends UNION SELECT r.id, e.b FROM reach r JOIN ends e ON r.m = e.a), groups AS (SELECT id, min(m) AS group_id FROM reach GROUP BY 1),
+  sizes AS (SELECT group_id, count(*) AS size FROM groups GROUP BY 1)
+  SELECT group_id, size, round(sum(p.score) / (size * (size - 1) / 2), 6) AS score FROM sizes s JOIN groups x USING (group_id) JOIN alike p ON p.a = x.id JOIN groups y ON y.id = p.b AND y.group_id = x.group_id GROUP BY group_id, size""")
+def semantic_groups(spark, d):
+    """Groups by cosine, with the mean of all their pairs."""
+    vectors = dedup.tfidf(catalog(spark, d), names.tokens(F.col("name")))
+    groups = dedup.components(dedup.cosine_pairs(vectors)).select("group_id", "id")
+    return dedup.mean_cosine(vectors, groups).withColumn("score", F.round("score", 6))
+
+
 _FOUND = f"""WITH RECURSIVE {_KEYS}, {_COSINE}, found AS (
   SELECT x.id AS b, min(x.id) OVER (PARTITION BY lower(trim(code))) AS a, 'exact' AS type, 1.0::DOUBLE AS score FROM catalog x WHERE trim(code) <> ''
   UNION SELECT b, a, 'fuzzy', score FROM ({_near('lowered', 0.85)}) UNION SELECT b, a, 'phonetic', score FROM ({_near('sounding', 0.9)})
@@ -106,9 +117,11 @@ def names_containing(spark, d):
 @query(f"""WITH {CATALOG}, h AS (SELECT md5('code-[' || string_agg(id::VARCHAR, ',' ORDER BY id) || ']') AS hash, min(id) AS first, count(*) AS size FROM catalog WHERE code <> '' GROUP BY lower(trim(code)) HAVING count(*) > 1)
   SELECT hash, size, CASE WHEN first % 2 = 0 THEN 'merged' ELSE 'open' END AS status FROM h""")
 def stored_groups(spark, d):
-    """Groups kept under their hash: a second run adds none, and some are marked."""
+    """Groups kept under their hash: a later run adds those that are new, a third none, and some are marked."""
     rows = catalog(spark, d).filter("code <> ''")
     g = rows.groupBy(F.lower(F.trim("code")).alias("key")).agg(F.sort_array(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
     g = g.select(dedup.group_hash("code", F.col("ids")).alias("hash"), F.size("ids").cast("long").alias("size"), F.col("ids")[0].alias("first"), F.lit("open").alias("status"))
-    kept = g.unionByName(dedup.known_groups(g, g))
+    stored = g.filter("first % 3 = 0")
+    kept = stored.unionByName(dedup.new_groups(g, stored))
+    kept = kept.unionByName(dedup.new_groups(g, kept))
     return dedup.mark(kept, g.filter("first % 2 = 0"), "merged").select("hash", "size", "status")

@@ -8,7 +8,7 @@ from lodewright.functions import answers, dictionaries, names, parsing, patterns
 from lodewright.functions.text import ascii_edges
 from lodewright.operators import classify, dedup, quality, reports, snapshots
 
-from . import cyrillic, duplicates, workflows  # noqa: F401  they register their queries
+from . import cyrillic, duplicates, rules, stored, workflows  # noqa: F401  they register their queries
 from .adapters import ITEMS, LINES, METRICS, NORMALIZED, RUSSIAN, items, lines, metrics, normalized, samples, table
 from .base import ORACLES, QUERIES, query  # noqa: F401
 
