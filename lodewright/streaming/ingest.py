@@ -30,11 +30,13 @@ def upsert_stream(rows: DataFrame, target: str, checkpoint: str, keys: tuple[str
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        # the batch is read twice below; what is lost of the copy is read from the files again
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
         touched = {r.bucket for r in new.select("bucket").distinct().collect()}  # at most ``buckets`` rows
         before = manifest(spark, target, number)
         stored = _rows(spark, target, {b: v for b, v in before.items() if b in touched}, new.schema).select(new.columns)
         upsert(stored, new, [*keys, "bucket"], seq).write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/version={number}")
+        new.unpersist()
         put_manifest(spark, target, number, before | dict.fromkeys(touched, number))
         if keep is not None:
             compact(spark, target, keep)
