@@ -49,6 +49,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
 
 
+def spread_runs(df: DataFrame) -> DataFrame:
+    """As ``spread``, but rows keep the order of their files: a partition holds whole
+    runs of up to 131,072 neighbouring rows, and partitions follow each other as the
+    files do. Sums of doubles, which depend on the order, come out alike in each run."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if 2 * df.rdd.getNumPartitions() >= cores:
+        return df
+    rows = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_run", F.shiftright("_at", 17))
+    return rows.repartitionByRange(cores, "_run").sortWithinPartitions("_at").drop("_run", "_at")
+
+
 def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """``df`` plus ``out``, the place of each row (from 1) in the order of its
     columns ``order``. Rows are dealt by ranges, ties by a number of their own;

@@ -17,9 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def items(spark: SparkSession, sf_dir: str, deal=spread) -> DataFrame:
     """(id, code, name, category, price): parts with sizes and stars in their names."""
-    p = spread(table(spark, sf_dir, "part"))
+    p = deal(table(spark, sf_dir, "part"))
     size = F.when(F.col("p_partkey") % 3 == 0, "mm").when(F.col("p_partkey") % 3 == 1, " kg").otherwise("x20")
     star = F.when(F.col("p_partkey") % 5 == 0, " *").otherwise("")
     return p.select(
@@ -50,11 +50,11 @@ def categorized_sql(c: str) -> str:
     return f"CASE {whens} ELSE {OTHER!r} END"
 
 
-def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+def normalized(spark: SparkSession, sf_dir: str, deal=spread) -> DataFrame:
     """``items`` plus normalized_name, group category, processing level and confidences."""
     level = F.element_at(F.array(*map(F.lit, ["basic", "enhanced", "ai_enhanced", "benchmark"])), (F.col("id") % 4 + 1).cast("int"))
     return (
-        items(spark, sf_dir)
+        items(spark, sf_dir, deal)
         .withColumn("normalized_name", names.normalize_name(F.col("name")))
         .withColumn("group_category", names.categorize(F.col("name"), CATEGORIES, OTHER))
         .withColumn("processing_level", level)

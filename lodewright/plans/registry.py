@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodewright.functions import answers, dictionaries, names, parsing, patterns, tokens, validators
 from lodewright.functions.text import ascii_edges
 from lodewright.operators import classify, dedup, quality, reports, snapshots
+from lodewright.operators.staging import spread_runs
 
 from . import cyrillic, duplicates, rules, stored, workflows  # noqa: F401  they register their queries
 from .adapters import ITEMS, LINES, METRICS, NORMALIZED, RUSSIAN, items, lines, metrics, normalized, samples, table
@@ -18,11 +19,20 @@ from .base import ORACLES, QUERIES, query  # noqa: F401
 @query(f"""WITH {NORMALIZED} SELECT group_category AS category, normalized_name, count(*) AS merged_count, min(id) AS first_id,
   round(avg(ai_confidence), 6) AS avg_confidence, max(ai_confidence) AS max_confidence FROM normalized GROUP BY 1, 2""")
 def norm_groups(spark, d):
-    """Items grouped by category and normalised name."""
-    n = normalized(spark, d)
-    return n.groupBy(F.col("group_category").alias("category"), "normalized_name").agg(
-        F.count("*").alias("merged_count"), F.min("id").alias("first_id"), F.round(F.avg("ai_confidence"), 6).alias("avg_confidence"), F.max("ai_confidence").alias("max_confidence")
+    """Items grouped by category and normalised name.
+
+    Confidences are added up in the order of the file, as the SQL does: a mean that lies
+    between two sixth decimals is rounded by the last bits of its sum.
+    """
+    n = normalized(spark, d, spread_runs).withColumn("part", F.spark_partition_id())
+    parts = n.groupBy(F.col("group_category").alias("category"), "normalized_name", "part").agg(
+        F.count("*").alias("n"), F.min("id").alias("id"), F.sum("ai_confidence").alias("total"), F.max("ai_confidence").alias("most")
+    )
+    groups = parts.groupBy("category", "normalized_name").agg(
+        F.sum("n").alias("merged_count"), F.min("id").alias("first_id"), F.sort_array(F.collect_list(F.struct("part", "total"))).alias("totals"), F.max("most").alias("max_confidence")
     )
+    mean = F.aggregate("totals", F.lit(0.0), lambda total, x: total + x["total"]) / F.col("merged_count")
+    return groups.select("category", "normalized_name", "merged_count", "first_id", (F.round(mean * 1e6) / 1e6).alias("avg_confidence"), "max_confidence")
 
 
 @query(f"WITH {NORMALIZED} SELECT id, name, normalized_name FROM normalized")
