@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Internal column names start with this, so that columns of the input never clash with them.
 P = "__lw_"
 
+#: Rows that go to a Python worker at once. Spark's 10,000 are tens of MB of whole texts, which JVM and worker hold several times over and seldom give back.
+ARROW_ROWS = 2_000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -65,6 +68,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on ``ARROW_ROWS`` rows go to Python at once, unless the session says how many."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

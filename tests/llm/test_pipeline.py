@@ -2,11 +2,13 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from lodewright.llm import jaccard, registry
+from lodewright.llm.common import ARROW_ROWS
 
 from .helpers import ODD, documents
 from .test_small import brute_components, brute_lines
@@ -82,3 +84,18 @@ def test_queries_over_whole_tables(spark, name):
         assert rows.count() == n
     else:
         assert rows.count() > 0
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 4])
+def test_stages_pass_few_texts_at_once(spark, k):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = documents(spark, ["a text", "another one"])
+    rows = spark.range(0, 9000, 1, 1)
+    most = lambda: max(r.n for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in batches), "n long").collect())
+    try:
+        for own, want in ((None, ARROW_ROWS), ("700", 700)):
+            spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+            cp.STAGES[k][1](spark, docs, SF)
+            assert most() == want
+    finally:
+        spark.conf.unset(key)
