@@ -557,12 +557,14 @@ def master_reference(spark, d):
 
 
 @query("""SELECT o_orderkey AS item, arg_max(l_shipinstruct, n) AS current_name, max(n)::INT AS last_stage, count(*) AS stages FROM
-  (SELECT l_orderkey AS o_orderkey, concat(l_returnflag, '-', l_linenumber, '-', l_partkey) AS l_shipinstruct, l_linenumber * 1000000000 + l_partkey AS k, l_linenumber AS n FROM lineitem WHERE l_linenumber <= 3
-   QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) = 1) GROUP BY 1""")
+  (SELECT l_orderkey AS o_orderkey, concat(l_returnflag, '-', l_linenumber, '-', l_partkey) AS l_shipinstruct, l_linenumber AS n FROM lineitem WHERE l_linenumber <= 3
+   QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_shipinstruct) = 1) GROUP BY 1""")
 def stage_revert(spark, d):
-    """Current names after going back to stage 3."""
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("stage"), "l_partkey", F.concat_ws("-", "l_returnflag", "l_linenumber", "l_partkey").alias("output"))
-    one = li.groupBy("item", "stage").agg(F.min_by("output", "l_partkey").alias("output"))
+    """Current names after going back to stage 3. Of several rows of a stage the one of the smallest part counts, of equals the first output in order."""
+    li = table(spark, d, "lineitem")
+    told = F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("l_returnflag", "l_linenumber", "l_partkey")])
+    li = li.select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").cast("int").alias("stage"), "l_partkey", told.alias("output"))
+    one = li.groupBy("item", "stage").agg(F.min_by("output", F.struct(F.isnull("l_partkey"), "l_partkey", "output")).alias("output"))
     return snapshots.stage_state(one, "item", "stage", "output", upto=3)
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 
+import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
@@ -34,3 +35,18 @@ def test_runs_keep_the_order_of_a_file(spark, tmp_path):
     parts = spread_runs(spark.read.parquet(str(tmp_path / "t.parquet"))).rdd.map(lambda r: r.k).glom().collect()
     assert list(itertools.chain(*parts)) == list(range(n))
     assert sum(map(bool, parts)) == 4
+
+
+def test_a_stage_with_two_rows_of_its_smallest_part_takes_the_first_output(spark, tmp_path):
+    rows = []
+    for order in range(40):  # two outputs of one part in either order, a part that is null, a flag that is null
+        flags = ["R", "A"] if order % 2 else ["A", "R"]
+        rows += [(order, 7, 1, flags[0]), (order, 7, 1, flags[1]), (order, 9, 2, "N"), (order, None, 2, "A"), (order, 3, 3, None), (order, 4, 3, "A"), (order, 1, 4, "A")]
+        rows += [(order + 100, 5, 1, f) for f in flags]
+    columns = dict(zip(("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"), zip(*rows, strict=True), strict=True))
+    pq.write_table(pa.table({k: pa.array(v, pa.string() if k == "l_returnflag" else pa.int32() if k == "l_linenumber" else pa.int64()) for k, v in columns.items()}), tmp_path / "lineitem.parquet")
+    found = sorted(map(tuple, registry.QUERIES["stage_revert"](spark, str(tmp_path)).collect()))
+    assert found == [(o, "-3-3", 3, 3) for o in range(40)] + [(o + 100, "A-1-5", 1, 1) for o in range(40)]
+    duck = duckdb.connect()
+    duck.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    assert sorted(duck.sql(registry.ORACLES["stage_revert"]).fetchall()) == found
