@@ -201,7 +201,8 @@ def candidates(low: DataFrame, tile: int = TILE) -> DataFrame:
     of the larger one (of equals, that of the smaller id) at a shift that leaves
     its edits; ``a`` is the larger one, with its own columns. Pairs with several
     such pieces come several times. A piece that many texts have is joined in
-    splits of both sides."""
+    splits of both sides. Runs are many times the texts whose size Spark knows,
+    so the join says itself that it is one by shuffle."""
     pieces = written(cut_texts(low, run_counts(low)), "pieces")
     runs_of = probes(low, [r[0] for r in pieces.select("length").distinct().collect()])
     often = pieces.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > tile).select("key", F.ceil(F.col("c") / tile).alias("splits"))
@@ -217,7 +218,7 @@ def candidates(low: DataFrame, tile: int = TILE) -> DataFrame:
     larger = (F.col("o_size") > F.col("x_size")) | ((F.col("o_size") == F.col("x_size")) & (F.col("o_id") < F.col("x_id")))
     fits = (F.col("o_at") < 0) | ((F.abs(shift) <= F.col("o_nth")) & (F.abs(longer - shift) <= F.col("o_most") - F.col("o_nth")))
     differ = F.bit_count(F.col("o_s0").bitwiseXOR(F.col("x_s0"))) + F.bit_count(F.col("o_s1").bitwiseXOR(F.col("x_s1")))
-    met = o.join(x, keys).filter(larger & fits & (F.abs(longer) <= F.col("o_most")) & (differ <= 2 * F.col("o_most")))
+    met = o.join(x.hint("merge"), keys).filter(larger & fits & (F.abs(longer) <= F.col("o_most")) & (differ <= 2 * F.col("o_most")))
     return met.select(F.col("o_id").alias("a"), F.col("o_n").alias("n"), F.col("o_size").alias("size"), F.col("o_most").alias("most"), F.col("x_id").alias("b"))
 
 

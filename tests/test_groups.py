@@ -69,6 +69,26 @@ def prepared(spark, rows):
     return spark.createDataFrame(rows, LOW).select("id", "n", F.length("n").alias("chars"), size.alias("size"), F.floor(size * 0.15 + 1e-6).cast("int").alias("most"))
 
 
+@pytest.fixture
+def small_broadcasts(spark):
+    """A table of 24 MB can't be broadcast: Spark knows the size of the texts, not that of the rows they become."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "24m")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def numbered_names(n=4000):
+    r = random.Random(21)
+    one = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12))
+    return [(i, f"k{i // 2}", f"{one()} {'red' if i % 2 else 'blue'} {'steel' if i % 3 else 'copper'} {one()}") for i in range(n)]
+
+
+def test_runs_of_names_are_not_broadcast_for_edits(spark, small_broadcasts):
+    rows = numbered_names()
+    items = spark.createDataFrame([*rows, *[(i + 5000, c, n[1:]) for i, c, n in rows[:40]]], "id long, code string, name string")
+    assert sorted((x.a, x.b) for x in dedup.fuzzy_pairs(items).collect()) == [(i, i + 5000) for i in range(40)]
+
+
 def test_no_texts_no_pairs(spark):
     assert dedup.edit_pairs(spark.createDataFrame([], LOW), 0.85).collect() == []
 
