@@ -89,6 +89,12 @@ def test_runs_of_names_are_not_broadcast_for_edits(spark, small_broadcasts):
     assert sorted((x.a, x.b) for x in dedup.fuzzy_pairs(items).collect()) == [(i, i + 5000) for i in range(40)]
 
 
+def test_runs_of_keys_are_not_broadcast_for_sounds(spark, small_broadcasts):
+    rows = numbered_names()
+    items = spark.createDataFrame([*rows, *[(i + 5000, c, n + "!") for i, c, n in rows[:40]]], "id long, code string, name string")
+    assert {(i, i + 5000) for i in range(40)} <= {(x.a, x.b) for x in dedup.phonetic_pairs(items).collect()}
+
+
 def test_no_texts_no_pairs(spark):
     assert dedup.edit_pairs(spark.createDataFrame([], LOW), 0.85).collect() == []
 
