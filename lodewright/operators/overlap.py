@@ -5,6 +5,8 @@ many, so items are linked with the first one that has the same subset. How
 many pairs of a group have exactly j words in common follows from how many
 items have each subset of words, by inclusion and exclusion. Items of very many
 shared words would have too many subsets; their pairs are counted one by one.
+Words and subsets are many times the items whose size Spark knows, so joins of
+them say themselves that they are by shuffle.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ def shared_sets(items: DataFrame, tokens: Column) -> DataFrame:
     sets = written(items.select("id", F.array_distinct(tokens).alias("set")).filter(F.size("set") > 0), "sets")
     each = sets.select("id", F.explode("set").alias("word"))
     often = each.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1").select("word")
-    kept = each.join(often, "word").groupBy("id").agg(F.array_sort(F.collect_list("word")).alias("words"))
+    kept = each.join(often.hint("merge"), "word").groupBy("id").agg(F.array_sort(F.collect_list("word")).alias("words"))
     told = sets.select("id", F.size("set").alias("size")).join(kept, "id", "left")
     return told.select("id", F.coalesce("words", F.array().cast("array<string>")).alias("words"), "size")
 
@@ -49,7 +51,7 @@ def _long_pairs(rows: DataFrame, *by: str) -> DataFrame:
     long = rows.filter(F.size("words") > WORDS)
     one = long.select(*by, F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("m").alias("a_m"), F.explode("words").alias("word"))
     other = rows.select(*by, F.col("id").alias("b"), F.col("size").alias("b_size"), F.col("m").alias("b_m"), (F.size("words") > WORDS).alias("b_long"), F.explode("words").alias("word"))
-    met = one.join(other, [*by, "word"]).filter("a <> b and (not b_long or a < b)")
+    met = one.join(other.hint("merge"), [*by, "word"]).filter("a <> b and (not b_long or a < b)")
     between = met.groupBy(*by, "a", "b", "a_size", "b_size", "a_m", "b_m").agg(F.count("*").alias("j")).select(*by, "a", "b", "j", "a_size", "b_size", (F.col("a_m") * F.col("b_m")).alias("pairs"))
     inside = long.filter("m > 1").select(*by, F.col("id").alias("a"), F.col("id").alias("b"), F.size("words").cast("long").alias("j"), F.col("size").alias("a_size"), F.col("size").alias("b_size"), F.expr("m * (m - 1) div 2").alias("pairs"))
     return between.unionByName(inside)
@@ -61,11 +63,11 @@ def star_links(shared: DataFrame, least: int) -> DataFrame:
     many common words reach."""
     rows = written(classes(shared.filter(F.size("words") >= least)), "classes")
     first = rows.select("words", "size", F.col("id").alias("a"))
-    same = shared.join(first, ["words", "size"]).filter("id <> a").select("a", F.col("id").alias("b"))
+    same = shared.join(first.hint("merge"), ["words", "size"]).filter("id <> a").select("a", F.col("id").alias("b"))
     each = rows.filter(F.size("words") <= WORDS) if least > 1 else rows
     keyed = each.select("id", F.explode(subsets(F.col("words"), least, least)).alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a")
-    links = keyed.join(hubs, "key").filter("id <> a").select("a", F.col("id").alias("b"))
+    links = keyed.join(hubs.hint("merge"), "key").filter("id <> a").select("a", F.col("id").alias("b"))
     out = same.unionByName(links)
     if least > 1:
         out = out.unionByName(_long_pairs(rows).filter(F.col("j") >= least).filter("a <> b").select("a", "b"))

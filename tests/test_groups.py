@@ -103,6 +103,19 @@ def test_runs_of_stored_names_are_not_broadcast(spark, small_broadcasts, tmp_pat
         assert sorted(map(tuple, dedup.containing(batch, items, asked_most=most).collect())) == [(i, i) for i in range(0, 4000, 50)]
 
 
+def test_subsets_of_words_are_not_broadcast(spark, small_broadcasts):
+    n = 2000  # two names of the same ten words each, one of which has a word of its own
+    words = lambda i: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.substring(F.md5(F.concat_ws("-", i, k).cast("binary")), 1, 12))
+    sets = spark.range(2 * n).select("id", F.concat(words(F.floor(F.col("id") / 2)), F.when(F.col("id") % 2 == 1, F.array(F.concat(F.lit("own"), "id"))).otherwise(F.array().cast("array<string>"))).alias("t"))
+    shared = overlap.shared_sets(sets, F.col("t"))
+    assert sorted(map(tuple, overlap.star_links(shared, 3).collect())) == [(i, i + 1) for i in range(0, 2 * n, 2)]
+
+
+def test_merged_groups_without_large_broadcasts(spark, small_broadcasts):
+    items = spark.createDataFrame([(i, f"k{i}", n) for i, _, n in numbered_names()] + [(i + 5000, "", n[1:]) for i, _, n in numbered_names(40)], "id long, code string, name string")
+    assert sorted((x.group_id, x.id) for x in dedup.duplicate_groups(items, common_words=3).collect()) == sorted((i, j) for i in range(40) for j in (i, i + 5000))
+
+
 def test_no_texts_no_pairs(spark):
     assert dedup.edit_pairs(spark.createDataFrame([], LOW), 0.85).collect() == []
 
