@@ -116,6 +116,13 @@ def test_merged_groups_without_large_broadcasts(spark, small_broadcasts):
     assert sorted((x.group_id, x.id) for x in dedup.duplicate_groups(items, common_words=3).collect()) == sorted((i, j) for i in range(40) for j in (i, i + 5000))
 
 
+def test_links_of_groups_without_large_broadcasts(spark, small_broadcasts):
+    items = spark.createDataFrame(numbered_names(), "id long, code string, name string")
+    groups, links = dedup.found_groups(items, common_words=3)
+    assert groups.count() == 4000
+    assert sorted(map(tuple, links.collect())) == [(i, "exact", 1, 1.0) for i in range(0, 4000, 2)]
+
+
 def test_no_texts_no_pairs(spark):
     assert dedup.edit_pairs(spark.createDataFrame([], LOW), 0.85).collect() == []
 
