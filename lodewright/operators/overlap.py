@@ -38,9 +38,9 @@ def classes(shared: DataFrame, *by: str) -> DataFrame:
     return shared.groupBy(*by, "words", "size").agg(F.min("id").alias("id"), F.count("*").alias("m"))
 
 
-def subsets(words: Column, least: int, most: int) -> Column:
-    """All subsets of ``least`` to ``most`` words, each in the order of the array."""
-    start = F.array(F.array().cast("array<string>"))
+def subsets(words: Column, least: int, most: int, kind: str = "string") -> Column:
+    """All subsets of ``least`` to ``most`` words (of the type ``kind``), each in the order of the array."""
+    start = F.array(F.array().cast(f"array<{kind}>"))
     grown = F.aggregate(words, start, lambda a, w: F.concat(a, F.transform(F.filter(a, lambda s: F.size(s) < most), lambda s: F.array_append(s, w))))
     return F.filter(grown, lambda s: F.size(s) >= least)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodewright.functions import dictionaries, names
@@ -30,6 +31,11 @@ _COSINE = """t AS (SELECT count(*) AS n FROM catalog), f AS (SELECT word, count(
   alike AS (SELECT p.id AS a, q.id AS b, sum(p.x * q.x) / any_value(g.norm * h.norm) AS score FROM v p JOIN v q ON p.word = q.word AND p.id < q.id JOIN m g ON g.id = p.id JOIN m h ON h.id = q.id GROUP BY 1, 2)"""
 
 
+def _millionths(score: str) -> Column:
+    """A score from 0 to 1 rounded to six decimals, without a decimal number for each of hundreds of millions of pairs."""
+    return F.floor(F.col(score) * 1e6 + 0.5) / 1e6
+
+
 @query(f"WITH {_KEYS} SELECT a, b, round(score, 6) AS score FROM ({_near('lowered', 0.85)})")
 def fuzzy_pairs(spark, d):
     return dedup.fuzzy_pairs(catalog(spark, d)).select("a", "b", F.round("score", 6).alias("score"))
@@ -43,14 +49,14 @@ def phonetic_pairs(spark, d):
 @query(f"WITH {_KEYS} SELECT a, b, common, round(score, 6) AS score FROM ({_OVERLAP}) WHERE common >= 2")
 def word_overlap_pairs(spark, d):
     pairs = dedup.word_overlap_pairs(catalog(spark, d), names.tokens(F.col("name")), 2)
-    return pairs.select("a", "b", F.col("common").cast("long").alias("common"), F.round("score", 6).alias("score"))
+    return pairs.select("a", "b", F.col("common").cast("long").alias("common"), _millionths("score").alias("score"))
 
 
 @query(f"WITH {_KEYS} SELECT a, b, common, round(longest, 6) AS score FROM ({_OVERLAP}) WHERE common >= 3")
 def table_word_overlap(spark, d):
     """Common words over the larger set."""
     pairs = dedup.word_overlap_pairs(catalog(spark, d), names.tokens(F.col("name")), 3, "longest")
-    return pairs.select("a", "b", F.col("common").cast("long").alias("common"), F.round("score", 6).alias("score"))
+    return pairs.select("a", "b", F.col("common").cast("long").alias("common"), _millionths("score").alias("score"))
 
 
 @query(f"WITH {_KEYS}, {_COSINE} SELECT a, b, round(score, 6) AS score FROM alike WHERE round(score, 9) >= 0.85")

@@ -107,6 +107,36 @@ def test_phonetic_pairs_are_those_of_all_pairs(spark, letters, threshold):
     assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+@pytest.mark.parametrize("measure", ["jaccard", "longest"])
+def test_word_overlap_meets_hardly_more_than_it_gives(spark, monkeypatch, measure):
+    rows = [(i, f"n{i % 4} a{i % 9} {'t' if i % 3 else 's'} h{i // 2}") for i in range(1440)]
+    met, meet = [], dedup._meet
+
+    def counted(*args, **named):
+        out = meet(*args, **named)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(dedup, "_meet", counted)
+    got = dedup.word_overlap_pairs(spark.createDataFrame(rows, "id long, name string"), F.split("name", " "), 3, measure).collect()
+    sets = {i: set(n.split()) for i, n in rows}
+    want = {(i, j): len(sets[i] & sets[j]) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 3}
+    assert {(x.a, x.b): x.common for x in got} == want and len(got) == len(want)
+    assert all(abs(x.score - (x.common / (8 - x.common) if measure == "jaccard" else x.common / 4)) < 1e-12 for x in got)
+    assert sum(met) < 1.1 * len(want)
+
+
+@pytest.mark.parametrize("least", [1, 2, 5, 12])
+def test_word_overlap_of_long_and_short_names(spark, least):
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(r.sample(words[: r.choice((15, 40))], r.choice((1, 3, 8, 10, 11, 14))))) for i in range(70)] + [(100, " ".join(words[:14]) + " own"), (101, " ".join(words[:14])), (102, None), (103, "")]
+    got = dedup.word_overlap_pairs(spark.createDataFrame(rows, "id long, name string"), F.split("name", " "), least, tile=7).collect()
+    sets = {i: set(n.split(" ")) for i, n in rows if n is not None}
+    want = {(i, j): (len(x & y), len(x & y) / len(x | y)) for i, x in sets.items() for j, y in sets.items() if i < j and len(x & y) >= least}
+    assert sorted((x.a, x.b, x.common, round(x.score, 9)) for x in got) == sorted((*k, n, round(s, 9)) for k, (n, s) in want.items())
+
+
 def test_upsert_and_latest(spark):
     stored = spark.createDataFrame([("a", 1, 0), ("b", 2, 1), ("d", 9, 7)], "code string, v int, seq int")
     new = spark.createDataFrame([("b", 3, 0), ("b", 4, 1), ("c", 5, 2), ("c", 6, 2), ("d", 8, 6)], "code string, v int, seq int")
